@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from quarrylight.llm.bpe import encode_documents, id_text
 from quarrylight.llm.common import table
 from quarrylight.llm.packing import pack_documents
+from quarrylight.llm.pii import BASE, find_spans, span_text
+from quarrylight.llm.sharding import feistel_shards
+from quarrylight.llm.simhash import simhash_components
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,11 +20,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), threshold=2, shingle=3)
+
+
 def op4_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = feistel_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return encoded.select(
@@ -32,8 +44,21 @@ def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, BASE)
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_simhash_anchors": op1_simhash_anchors,
     "op4_kk_packing": op4_kk_packing,
+    "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
+    "op9_boosted_pii": op9_boosted_pii,
 }
 ORACLE_SQL: dict[str, str] = {}

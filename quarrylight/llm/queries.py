@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.bpe import encode_documents, id_text
 from quarrylight.llm.common import table
+from quarrylight.llm.line_dedup import drop_boilerplate
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.pii import BASE, find_spans, span_text
+from quarrylight.llm.quality_rules import apply_rules
 from quarrylight.llm.sharding import feistel_shards
 from quarrylight.llm.simhash import simhash_components
 
@@ -29,6 +31,32 @@ def op4_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents"), host_col="source", ratio=0.05, least_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+x AS (SELECT DISTINCT host, text, unnest(string_split(text, chr(10))) AS line FROM p),
+seen AS (SELECT host, line, count(*) AS n FROM x WHERE regexp_matches(line, '[^ 	-]') GROUP BY host, line),
+often AS (SELECT seen.host, list(line) AS drops FROM seen JOIN totals ON seen.host = totals.host
+          WHERE n >= 5 AND n > CAST(0.05 AS DOUBLE) * pages GROUP BY seen.host),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, coalesce(drops, []) AS drops
+      FROM documents LEFT JOIN often ON coalesce(source, '') = host),
+k AS (SELECT doc_id, text, lines, list_filter(lines, z -> NOT list_contains(drops, z)) AS kept FROM d)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text
+FROM k
+"""
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = feistel_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,8 +85,10 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
     "op4_kk_packing": op4_kk_packing,
+    "op5_decision_list": op5_decision_list,
+    "op6_site_lines": op6_site_lines,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op9_boosted_pii": op9_boosted_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_site_lines": OP6_SQL}

@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.bpe import encode_documents, id_text
+from quarrylight.llm.chat import format_conversations
+from quarrylight.llm.classifier import quality_scores
 from quarrylight.llm.common import table
+from quarrylight.llm.cover_tree import quantised, top_k
 from quarrylight.llm.line_dedup import drop_boilerplate
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.pii import BASE, find_spans, span_text
@@ -26,6 +29,44 @@ def op1_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), threshold=2, shingle=3)
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = """
+WITH RECURSIVE
+c AS (SELECT conv_id, turn, 'turn-' || turn AS call_id, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+r AS (SELECT conv_id, 'turn-' || (turn - 1) AS call_id, min(text) AS content, min(turn) AS turn, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
+l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2)
+      UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, l.level AS level,
+             coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results, c.text AS text, c.turn AS asked, r.content AS content,
+             CASE WHEN c.n IS NULL THEN 'no call' WHEN r.n IS NULL THEN 'no result' ELSE '' END AS errors
+      FROM c LEFT JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, turn, CAST(level AS INTEGER) AS level, n_calls, n_results, errors,
+       '{"arguments":' || CASE WHEN asked IS NULL THEN 'null' ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || asked || '}' END
+       || ',"call_id":' || to_json(call_id)::VARCHAR || ',"content":' || coalesce(to_json(content)::VARCHAR, 'null')
+       || ',"errors":' || CASE WHEN errors = '' THEN '[]' ELSE '["' || errors || '"]' END
+       || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"name":' || CASE WHEN asked IS NULL THEN 'null' ELSE '"reply"' END || '}' AS json
+FROM j
+"""
+
+
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("v"))
+    return top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,12 +85,13 @@ OP6_SQL = r"""
 WITH p AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 x AS (SELECT DISTINCT host, text, unnest(string_split(text, chr(10))) AS line FROM p),
-seen AS (SELECT host, line, count(*) AS n FROM x WHERE regexp_matches(line, '[^ 	-]') GROUP BY host, line),
+seen AS (SELECT host, line, count(*) AS n FROM x WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY host, line),
 often AS (SELECT seen.host, list(line) AS drops FROM seen JOIN totals ON seen.host = totals.host
           WHERE n >= 5 AND n > CAST(0.05 AS DOUBLE) * pages GROUP BY seen.host),
 d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, coalesce(drops, []) AS drops
       FROM documents LEFT JOIN often ON coalesce(source, '') = host),
-k AS (SELECT doc_id, text, lines, list_filter(lines, z -> NOT list_contains(drops, z)) AS kept FROM d)
+k AS (SELECT doc_id, text, lines, list_filter(lines, lambda z: NOT list_contains(drops, z)) AS kept FROM d)
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text
@@ -82,13 +124,23 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = quality_scores(docs, labels.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
+    "op2_tool_calls": op2_tool_calls,
+    "op3_cover_tree": op3_cover_tree,
     "op4_kk_packing": op4_kk_packing,
     "op5_decision_list": op5_decision_list,
     "op6_site_lines": op6_site_lines,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op9_boosted_pii": op9_boosted_pii,
+    "op10_random_indexing": op10_random_indexing,
 }
-ORACLE_SQL: dict[str, str] = {"op6_site_lines": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_cover_tree": OP3_SQL, "op6_site_lines": OP6_SQL}

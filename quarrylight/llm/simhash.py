@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import ship_package, written
 
+#: Fingerprints of each kind in a sketch of :func:`near_copies`.
+SEEDS = 6
 #: Fingerprints at an anchor beyond which the finest code takes over.
 CROWD = 32
 #: Generator polynomial of the binary Golay code, 1 + x2 + x4 + x5 + x6 + x10 + x11.
@@ -70,6 +72,32 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("fingerprint", T.LongType())]))
 
 
+def _majorities(hashes: np.ndarray, seeds: int) -> np.ndarray:
+    """A fingerprint of the hashes for each seed, as signed 64-bit integers."""
+    out = np.zeros(seeds, np.uint64)
+    with np.errstate(over="ignore"):
+        for seed in range(seeds if len(hashes) else 0):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(hashes), 1 << 14):
+                mixed = (hashes[at : at + (1 << 14)] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed ^= mixed >> np.uint64(32)
+                ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[seed] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out.view(np.int64)
+
+
+def sketch(text: str | None, shingle: int = 5, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a text's set of words and of its set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    parts = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else {b" ".join(words)} - {b""}
+    hashed = (np.fromiter(map(xxh64_intdigest, group, repeat(42)), np.uint64, len(group)) for group in (set(words), parts))
+    own, runs = (_majorities(h, seeds) for h in hashed)
+    return own, runs
+
+
 def _syndrome(words: np.ndarray) -> np.ndarray:
     """Remainder of each word's polynomial by the generator."""
     words = words.copy()
@@ -167,3 +195,60 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = named.join(least, "root").select("fingerprint", "component_id")
     return marked.join(of_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = SEEDS, crowd: int = CROWD) -> DataFrame:
+    """-> id, ``group_id``: the smallest id of the near copies that a document is
+    linked with, itself included.
+
+    For each of several seeds the fingerprints of the texts' sets of words meet at
+    the anchors within two bits of each other.  A pair that met is linked if the
+    fingerprints of its sets of word shingles, all seeds together, differ in no more
+    bits than two sets of that Jaccard similarity do on average.  Fingerprints at a
+    crowded anchor are linked through the finest code, as in :func:`links`."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([source.schema["doc_id"], T.StructField("words", longs), T.StructField("runs", longs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t.as_py(), shingle, seeds) for t in batch.column("text")]
+            columns = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
+
+    marked = written(source.mapInArrow(run, schema).withColumn("node", F.xxhash64("words", "runs")), "near-sketches")
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"), F.first("runs").alias("runs")), "near-nodes")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def anchors(seed: pd.Series, column: pd.Series) -> pd.Series:
+        above = seed.to_numpy(np.int64) << (BLOCKS * LENGTH)
+        return pd.Series([a | s for a, s in zip(anchors_of(column.to_numpy(np.int64), 1), above, strict=True)])
+
+    each = nodes.select("node", F.posexplode("words").alias("seed", "print"))
+    placed = written(each.select("node", "seed", "print", F.explode(anchors("seed", "print")).alias("anchor")), "near-anchors")
+    sizes = placed.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
+    cells = placed.join(sizes, "anchor")
+    few = cells.filter(F.col("members") <= crowd)
+    left = few.select("anchor", F.col("node").alias("a"), F.col("print").alias("pa"))
+    right = few.select("anchor", F.col("node").alias("b"), F.col("print").alias("pb"))
+    met = left.join(right, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 8)).select("a", "b")
+    many = cells.filter(F.col("members") > crowd).select("seed", "print", "node").distinct()
+    least = many.groupBy("seed", "print").agg(F.min("node").alias("own"))
+    spokes = many.join(least, ["seed", "print"]).filter("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b"))
+    flips = [0, *np.array([1 << b for b in range(64)], np.uint64).view(np.int64).tolist()]
+    points = least.select("seed", "own", F.col("print"), F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+    points = points.groupBy("seed", F.col("print").bitwiseXOR(F.col("flip")).alias("point")).agg(F.sort_array(F.collect_list("own")).alias("m")).filter(F.size("m") > 1)
+    # consecutive members of a point, at most 65
+    chain = points.select(F.explode(F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("a"), F.slice("m", 2, 65).alias("b"))).alias("e")).select("e.a", "e.b")
+    pairs = met.unionByName(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(chain).distinct()
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(64 * seeds * np.arccos(cosine) / np.pi)
+    one, two = (nodes.select(F.col("node").alias(n), F.col("runs").alias(f"r{n}")) for n in "ab")
+    differ = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    linked = pairs.join(one, "a").join(two, "b").filter(differ <= most).select("a", "b")
+    roots = components(linked)
+    named = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    of_root = named.groupBy("root").agg(F.min("first").alias("group_id"))
+    return marked.select("doc_id", "node").join(named.join(of_root, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from quarrylight.plans import documents, pages, state
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share their first 24 words."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.sha2(F.col("text"), 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+QUERIES = documents.QUERIES | pages.QUERIES | state.QUERIES
+ORACLE_SQL = documents.SQL | pages.SQL | state.SQL
+flagship = documents.doc_prefix_duplicates

@@ -36,8 +36,9 @@ from quarrylight.llm.common import ship_package, written
 
 #: Fingerprints of each kind in a sketch of :func:`near_copies`.
 SEEDS = 6
-#: Fingerprints at an anchor beyond which the finest code takes over.
-CROWD = 32
+#: Fingerprints at an anchor beyond which the finest code takes over: of one kind,
+#: and of the several kinds of a sketch, which meet the same pair many times.
+CROWD, SKETCH_CROWD = 32, 12
 #: Generator polynomial of the binary Golay code, 1 + x2 + x4 + x5 + x6 + x10 + x11.
 GOLAY = 0b110001110101
 LENGTH, BLOCKS = 23, 2
@@ -197,7 +198,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return marked.join(of_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = SEEDS, crowd: int = CROWD) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = SEEDS, crowd: int = SKETCH_CROWD) -> DataFrame:
     """-> id, ``group_id``: the smallest id of the near copies that a document is
     linked with, itself included.
 

@@ -53,6 +53,12 @@ def normalize_organizer(value: Column) -> Column:
     return _without(value, rules.ORGANIZER_SUFFIXES)
 
 
+def sealed(value: Column) -> Column:
+    """The same value, which the optimizer computes once and doesn't take apart: for
+    wide structs whose fields are used many times over."""
+    return F.element_at(F.transform(F.array(value), lambda v: v), 1)
+
+
 def contains_any(value: Column, terms: tuple[str, ...]) -> Column:
     return reduce(lambda out, term: out | value.contains(term), terms, F.lit(False))
 

@@ -130,7 +130,7 @@ def choose_urls(requested: Column, final: Column, declared: Column, links: Colum
     own = normalize_url(F.coalesce(final, requested))
     web = lambda u: u.startswith("http://") | u.startswith("https://")
     told = F.transform(F.filter(F.array_compact(declared), web), normalize_url)
-    deep = lambda u: F.trim(F.lit("/"), path_of(u)) != ""
+    deep = lambda u: path_of(u).rlike("[^/]")
     usable = F.filter(told, lambda u: same_site(u, own) & (deep(u) | ~deep(own)))
     every = F.array_distinct(F.concat(F.transform(F.filter(F.array_compact(F.array(requested, final)), web), normalize_url), told, F.transform(F.filter(F.array_compact(links), web), normalize_url)))
     registers = F.filter(every, (lambda u: is_registration_url(u)) if domains is None else (lambda u: is_trusted_registration_url(u, domains)))

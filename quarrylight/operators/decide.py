@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight import rules
+from quarrylight.functions.text import sealed
 
 
 def verify(events: DataFrame, as_of: Column, *, roles: tuple[str, ...] = ("university_student",), online_abroad: bool = True, historical: bool = False, corroborating: Column | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def verify(events: DataFrame, as_of: Column, *, roles: tuple[str, ...] = ("unive
         "authority": (F.col("authority") >= rules.TRUSTED_AUTHORITY) | ((corroborating if corroborating is not None else F.lit(1)) >= 2),
         "confidence": F.col("overall_confidence") >= 0.75,
     }
-    df = events.withColumn("gates", F.struct(*(F.coalesce(g, F.lit(False)).alias(n) for n, g in gates.items())))
+    df = events.withColumn("gates", sealed(F.struct(*(F.coalesce(g, F.lit(False)).alias(n) for n, g in gates.items()))))
     failed = lambda n: ~F.col(f"gates.{n}")
     closed = (state == "CLOSED") | past
     codes = [
@@ -95,6 +96,6 @@ def score(events: DataFrame, as_of: Column, *, preferred_cities: tuple[str, ...]
         "authority": authority_points(F.col("authority")),
         "lead_time": F.when(days >= 21, w["lead_time"]).when(days >= 7, min(3, w["lead_time"])).otherwise(0),
     }
-    df = events.withColumn("components", F.struct(*(c.cast("int").alias(n) for n, c in parts.items())))
+    df = events.withColumn("components", sealed(F.struct(*(c.cast("int").alias(n) for n, c in parts.items()))))
     total = F.least(F.lit(100), sum((F.col(f"components.{n}") for n in parts), F.lit(0)))
     return df.withColumn("total", total).withColumn("tier", tier(F.col("total")))

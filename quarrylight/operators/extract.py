@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import rules
 from quarrylight.functions import dates
-from quarrylight.functions.text import contains_any, edition_key, edition_year, fold_text, normalize_organizer, normalize_text, normalize_title, sentences, tokens
+from quarrylight.functions.text import contains_any, edition_key, edition_year, fold_text, normalize_organizer, normalize_text, normalize_title, sealed, sentences, tokens
 from quarrylight.functions.urls import host_of, is_listing_url, is_registration_url, normalize_url
 from quarrylight.operators.classify import classify_category, classify_document
 
@@ -98,8 +98,8 @@ def extract_facts(docs: DataFrame, as_of: Column) -> DataFrame:
         **{f"_{n}": c for n, c in labelled.items()},
         "_category": classify_category(F.col("_all")),
         "_kind": kind,
-        "_location": extract_location(F.col("_all"), F.col("url")),
-        "_eligibility": extract_eligibility(F.col("_all")),
+        "_location": sealed(extract_location(F.col("_all"), F.col("url"))),
+        "_eligibility": sealed(extract_eligibility(F.col("_all"))),
         "_registration": F.when(F.size(registers) > 0, normalize_url(F.get(registers, 0))),
         "_norm": normalize_title(F.col("_title")),
         "_org": normalize_organizer(F.col("organizer")),
@@ -120,7 +120,7 @@ def extract_facts(docs: DataFrame, as_of: Column) -> DataFrame:
         event_phase(description, start["value"], F.lit(None).cast("timestamp"), F.col("_kind"), as_of).alias("event_phase"),
         registration_state(description, F.col("_registration_deadline"), F.col("_kind"), as_of).alias("registration_state"),
     )
-    df = df.withColumn("facts", facts)
+    df = df.withColumn("facts", sealed(facts))
     has_date = F.col("facts.registration_deadline.value").isNotNull() | F.col("facts.event_start.value").isNotNull()
     unknown = F.col("facts.category") == "UNKNOWN"
     no_title = F.col("facts.title").isNull()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text as ``functions.text.normalize_text`` gives it, in SQL.
@@ -13,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's rows to the folder that the cluster shares and read them back: the
+    next step plans from a table, and lost executors cost a reread."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrylight-shared"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -10,19 +10,20 @@ from quarrylight.functions.urls import authority, host_of
 from quarrylight.operators.decide import score, verify
 from quarrylight.operators.extract import extract_facts
 from quarrylight.operators.resolve import leaders
+from quarrylight.plans.common import staged
 
 
 def judged(docs: DataFrame, as_of: Column, domains: dict[str, int] | None = None) -> DataFrame:
     """Documents (id, url, title, snippet, text, organizer, published, links) with facts,
     gates, rejections and score."""
-    facts = extract_facts(docs, as_of).withColumn("authority", authority(host_of(F.col("url")), domains))
-    return score(verify(facts, as_of), as_of)
+    facts = staged(extract_facts(docs, as_of).withColumn("authority", authority(host_of(F.col("url")), domains)), "facts")
+    return score(staged(verify(facts, as_of), "verified"), as_of)
 
 
 def detections(docs: DataFrame, as_of: Column, domains: dict[str, int] | None = None) -> DataFrame:
     """Accepted documents, one for each announcement: of those that open alike, or have
     one address, the first by (published, id)."""
-    rows = judged(docs, as_of, domains).filter("accepted").withColumn("prefix", content_prefix_hash(F.concat_ws(" ", "facts.title", "facts.description")))
+    rows = staged(judged(docs, as_of, domains), "judged").filter("accepted").withColumn("prefix", content_prefix_hash(F.concat_ws(" ", "facts.title", "facts.description")))
     by_text = leaders(rows, "prefix", ["published"]).filter("leader = id").drop("leader")
     by_url = by_text.withColumn("address", F.col("facts.canonical_url"))
     return leaders(by_url, "address", ["published"]).filter("leader = id").drop("leader", "address", "prefix")

@@ -84,11 +84,10 @@ def leaders(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.join(first, key, "left").withColumn("leader", F.coalesce("leader", "id"))
 
 
-def similar_in_block(rows: DataFrame, block: str, text: str, least: float = rules.CONTENT_RATIO) -> DataFrame:
-    """Pairs within a block whose word sets are alike: id_a < id_b, score.
-
-    Blocks must be narrow: rows that agree on a rare key."""
-    a = rows.select(F.col("id").alias("id_a"), F.col(block).alias("block"), normalize_text(F.col(text)).alias("ta"))
-    b = rows.select(F.col("id").alias("id_b"), F.col(block).alias("block"), normalize_text(F.col(text)).alias("tb"))
-    pairs = a.join(b, "block").filter("id_a < id_b")
-    return pairs.withColumn("score", content_ratio("ta", "tb")).filter(F.col("score") >= least).select("id_a", "id_b", "score")
+def similar_to_leader(rows: DataFrame, block: str, text: str, least: float = rules.CONTENT_RATIO) -> DataFrame:
+    """Rows whose words are those of their block's leader (its smallest id), at least to
+    that ratio: id, leader, score.  One comparison a row, however large a block is."""
+    own = rows.select("id", F.col(block).alias("block"), normalize_text(F.col(text)).alias("t")).filter("block is not null")
+    first = own.groupBy("block").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    pairs = own.join(first, "block").filter(F.col("id") != F.col("first.id"))
+    return pairs.withColumn("score", content_ratio("t", "first.t")).filter(F.col("score") >= least).select("id", F.col("first.id").alias("leader"), "score")

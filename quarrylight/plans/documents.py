@@ -14,7 +14,7 @@ from quarrylight.operators.classify import classify_category, classify_document,
 from quarrylight.operators.decide import authority_points, tier
 from quarrylight.operators.extract import confidence, extract_eligibility, extract_location, merge_fill_only
 from quarrylight.operators.leads import mentions
-from quarrylight.operators.resolve import leaders, similar_in_block
+from quarrylight.operators.resolve import leaders, similar_to_leader
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
 
 #: A rules table whose terms occur in the invented prose of ``documents``.
@@ -185,13 +185,13 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", summarise(F.col("text")).alias("summary"))
 
 
-def doc_similar_in_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share their first six words and most of the others; equal texts
-    are folded first, so a frequent text is one row."""
+def doc_similar_to_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share their first six words with a smaller one, the leader, and
+    most of the others; equal texts are folded first, so a frequent text is one row."""
     d = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     first = F.slice(tokens(normalize_text(F.col("text"))), 1, 6)
-    blocked = d.withColumn("block", F.when(F.size(first) == 6, F.sha2(F.array_join(first, " "), 256))).filter("block is not null")
-    return similar_in_block(blocked, "block", "text")
+    blocked = d.withColumn("block", F.when(F.size(first) == 6, F.sha2(F.array_join(first, " "), 256)))
+    return similar_to_leader(blocked, "block", "text")
 
 
 def order_labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +247,7 @@ def thread_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("lead_key").agg(F.min("normalized_name").alias("normalized_name"), F.min("query").alias("query"), F.count("*").alias("sightings"))
 
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_in_block, order_labelled_dates, thread_classify, thread_merge_longest, thread_leads)}
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_to_leader, order_labelled_dates, thread_classify, thread_merge_longest, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,

@@ -1,7 +1,8 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
-Rows are dealt into blocks by their nearest pivot (so that blocks are compact) and a
-salt (so that none is large).  Queries form groups in the same way.  Every group
+Rows are dealt into blocks by their nearest pivot, so that blocks are compact; a pivot
+with many rows has several blocks, so that none is large.  Queries form groups in the
+same way.  Every group
 meets every block; in each meeting a cover tree of the queries and one of the rows
 are descended together.  A pair of nodes is given up if the largest score that their
 covering radii leave possible is below the worst kth score of the node's queries.
@@ -35,8 +36,9 @@ from quarrylight.llm.common import ship_package, written
 
 #: Rows in a block and queries in a group, about; pivots; rows of the first sample.
 BLOCK, GROUP, PIVOTS, SAMPLE = 8192, 1024, 32, 2048
-#: Points that a leaf of a tree holds at most, and how much a level shrinks radii.
-LEAF, SHRINK = 48, 0.6
+#: Points that a leaf of a tree holds at most, children that a node has at most, and
+#: how much a level shrinks radii if so many children can.
+LEAF, FANOUT, SHRINK = 64, 16, 0.6
 
 
 @dataclass
@@ -56,25 +58,25 @@ class Node:
 
 
 def cover_tree(vectors: np.ndarray, rows: np.ndarray | None = None, first: int | None = None) -> Node:
-    """Children's centres are points of the node, more than the child scale apart,
-    and cover all of its points within that scale."""
+    """Children's centres are points of the node, found by going to the farthest point
+    again and again: all points lie within the scale at which that ends of a centre,
+    and the centres lie farther than that from one another.  It ends when the scale has
+    shrunk enough, or at :data:`FANOUT` centres."""
     rows = np.arange(len(vectors)) if rows is None else rows
     first = int(rows[0]) if first is None else first
-    away = np.sqrt(((vectors[rows] - vectors[first]) ** 2).sum(axis=1))
+    own = vectors[rows]
+    away = np.sqrt(((own - vectors[first]) ** 2).sum(axis=1))
     node = Node(vectors[first], float(away.max(initial=0.0)), rows)
     if len(rows) <= LEAF or node.radius == 0:
         return node
-    scale, left, centre = node.radius * SHRINK, rows, first
-    while len(left):
-        gap = away if centre == first else np.sqrt(((vectors[left] - vectors[centre]) ** 2).sum(axis=1))
-        near = gap <= scale
-        node.children.append(cover_tree(vectors, left[near], centre))
-        left, gap = left[~near], gap[~near]
-        if centre == first:
-            away = gap
-        # the point farthest from the last centre is next
-        if len(left):
-            centre = int(left[gap.argmax()])
+    centres, nearest = [first], np.zeros(len(rows), np.int64)
+    while len(centres) < FANOUT and away.max() > node.radius * SHRINK:
+        centre = int(rows[away.argmax()])
+        gap = np.sqrt(((own - vectors[centre]) ** 2).sum(axis=1))
+        closer = gap < away
+        nearest[closer], away[closer] = len(centres), gap[closer]
+        centres.append(centre)
+    node.children = [cover_tree(vectors, rows[nearest == k], centre) for k, centre in enumerate(centres)]
     return node
 
 
@@ -124,7 +126,8 @@ class DualTree:
         self.visited += len(a.points) * len(b.points)
         scores = self.q_float[a.points] @ self.r_float[b.points].T
         ids = self.ri[b.points]
-        for n, i in enumerate(a.points.tolist()):
+        hopeful = (scores >= self.kth[a.points][:, None]).any(axis=1) | self.exact
+        for n, i in ((n, int(a.points[n])) for n in np.flatnonzero(hopeful)):
             fit = np.flatnonzero((scores[n] >= self.kth[i] - abs(self.kth[i]) * 1e-9) & (ids != self.qi[i])) if self.exact and np.isfinite(self.kth[i]) else np.flatnonzero((scores[n] >= self.kth[i]) & (ids != self.qi[i]))
             if not len(fit):
                 continue
@@ -161,43 +164,48 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
     order = Window.partitionBy("v").orderBy("id")
     kept = take(rows).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     kept = written(kept.select("id", "v"), "topk-rows")
-    asked = written(take(queries).distinct(), "topk-queries")
-    counts = (kept.count(), asked.count())
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not all(counts):
-        return empty
     # at most SAMPLE rows and PIVOTS of them as pivots, whatever the table's size
     sample = kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    width = max(set(map(len, (r.v for r in sample))), key=[len(r.v) for r in sample].count)
+    if not sample:
+        return empty
+    lengths = [len(r.v) for r in sample]
+    width = max(set(lengths), key=lengths.count)
     sample = [r for r in sample if len(r.v) == width]
     ids, points = np.array([r.id for r in sample]), np.array([r.v for r in sample], np.int64)
     pivots = points[_spread(points, PIVOTS)].astype(np.float64)
     shared = spark.sparkContext.broadcast((ids, points, pivots))
-    row_salts, query_salts = (max(1, -(-n // (size * len(pivots)))) for n, size in zip(counts, (BLOCK, GROUP), strict=True))
 
-    def dealt(batches, salts: int, with_start: bool):
+    def placed(batches, with_start: bool):
         near_ids, near, centres = shared.value
         for batch in batches:
             batch = batch[batch["v"].map(len) == width]
-            if not len(batch):
-                continue
-            vectors = _matrix(batch["v"])
-            as_float = vectors.astype(np.float64)
-            block = ((centres**2).sum(axis=1) - 2 * as_float @ centres.T).argmin(axis=1)
-            out = pd.DataFrame({"id": batch["id"].to_numpy(), "v": batch["v"].to_numpy(), "block": block * salts + batch["id"].to_numpy() % salts})
-            if with_start:
-                out["start"] = _first_scores(vectors, batch["id"].to_numpy(), near, near_ids, k)
-            yield out
-
-    blocks = kept.mapInPandas(lambda it: dealt(it, row_salts, False), "id long, v array<long>, block long")
-    groups = asked.mapInPandas(lambda it: dealt(it, query_salts, True), "id long, v array<long>, block long, start double")
-    # few pivots hold few rows each in a small table: neighbouring parts are put together
-    n_blocks = max(1, -(-counts[0] // BLOCK))
-    n_groups = max(1, -(-counts[1] // GROUP))
-    merge = lambda df, n, all_parts: df.withColumn("block", F.expr(f"block * {min(n, all_parts)} div {all_parts}"))
-    n_blocks, n_groups = min(n_blocks, row_salts * len(pivots)), min(n_groups, query_salts * len(pivots))
-    blocks = merge(blocks, n_blocks, row_salts * len(pivots)).select(F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), "id", "v")
-    groups = merge(groups, n_groups, query_salts * len(pivots)).select(F.col("block").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "id", "v", "start")
+            if len(batch):
+                vectors, own = _matrix(batch["v"]), batch["id"].to_numpy()
+                pivot = ((centres**2).sum(axis=1) - 2 * vectors.astype(np.float64) @ centres.T).argmin(axis=1)
+                out = pd.DataFrame({"id": own, "v": batch["v"].to_numpy(), "pivot": pivot})
+                yield out.assign(start=_first_scores(vectors, own, near, near_ids, k)) if with_start else out
+
+    def dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        """Rows with a number (``name``) of parts of about that size, near rows together."""
+        counts = {r.pivot: r.n for r in df.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+        first, parts, number, room = [0] * len(pivots), [1] * len(pivots), -1, 0
+        for pivot, n in sorted(counts.items()):
+            if n > room:
+                number, room = number + 1, size
+            first[pivot], parts[pivot] = number, max(1, -(-n // size))
+            number += parts[pivot] - 1
+            room = room - n if parts[pivot] == 1 else 0
+        at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("pivot") + 1).cast("int"))
+        return df.withColumn(name, at(first) + F.pmod(F.xxhash64("id"), at(parts)).cast("int")), number + 1
+
+    blocks = written(kept.mapInPandas(lambda it: placed(it, False), "id long, v array<long>, pivot long"), "topk-blocks")
+    groups = written(take(queries).distinct().mapInPandas(lambda it: placed(it, True), "id long, v array<long>, pivot long, start double"), "topk-groups")
+    (blocks, n_blocks), (groups, n_groups) = dealt(blocks, BLOCK, "b"), dealt(groups, GROUP, "g")
+    if not n_groups:
+        return empty
+    blocks = blocks.select("b", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), "id", "v")
+    groups = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "id", "v", "start")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -4,9 +4,9 @@ written as canonical JSON.  DataFrame functions only.
 Calls and results are joined by conversation and call identifier.  Repeated rows of
 an identifier are folded before the join (the earliest counts, ``n_calls`` and
 ``n_results`` tell how many there were), so no key can multiply.  A call's level is
-one more than that of the highest call that it depends on; levels come round by
-round, each written to the shared folder, and a round handles all calls whose
-dependencies are settled.  Sorting by level, turn and identifier is a topological
+one more than that of the highest call that it depends on; levels come in rounds, each
+written to the shared folder, whose number grows with the logarithm of a chain's
+length.  Sorting by level, turn and identifier is a topological
 order, so no conversation has to be gathered in one place.
 
 Canonical JSON: no blanks, object keys sorted, nulls written out.
@@ -72,26 +72,37 @@ def _problems(schemas: dict[str, dict]) -> Column:
 
 def levels(calls: DataFrame) -> DataFrame:
     """Key and ``after`` of distinct calls -> key, ``level`` (null in a cycle or
-    behind one), ``lacks`` (a dependency is not there)."""
+    behind one), ``lacks`` (a dependency is not there).
+
+    In a round every edge to a settled call turns into a number, and every edge to a
+    call with one dependency alone is moved on to that one: chains halve each round."""
     wanted = calls.select(*KEY, F.explode(F.array_distinct("after")).alias("dep"))
     there = calls.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("there"))
     edges = wanted.join(there, ["conv_id", "dep"], "left")
     lacking = edges.filter("there is null").select(*KEY).distinct().withColumn("lacks", F.lit(True))
-    left = written(edges.filter("there").select(*KEY, "dep"), "chat-edges")
+    # level = the largest base (number) or level of dep and far
+    left = written(edges.filter("there").select(*KEY, "dep", F.lit(1).alias("far"), F.lit(None).cast("int").alias("base")), "chat-edges")
     settled = written(calls.select(*KEY).join(left, KEY, "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    rounds, level = [settled], 0
-    while not left.isEmpty():
-        level += 1
-        done = settled.select("conv_id", F.col("call_id").alias("dep"))
-        waiting = written(left.join(done, ["conv_id", "dep"], "left_anti"), "chat-edges")
-        # what had an edge and has none now is settled a level above
-        settled = written(left.join(waiting, KEY, "left_anti").select(*KEY).distinct().withColumn("level", F.lit(level)), "chat-levels")
-        if settled.isEmpty():
-            break  # what is left is a cycle or waits for one
-        rounds.append(settled)
-        left = waiting
-    known = reduce(DataFrame.unionByName, rounds)
-    return calls.select(*KEY).join(known, KEY, "left").join(lacking, KEY, "left")
+    idle, remaining = 0, left.count()
+    # a chain of n calls is through after log2(n) rounds; what moves no more is a cycle
+    while remaining and idle <= remaining.bit_length() + 1:
+        done = settled.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("own"))
+        alone = left.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("dep").alias("next"), F.min("far").alias("step")).filter("n = 1 and next is not null")
+        alone = alone.select("conv_id", F.col("call_id").alias("dep"), "next", "step")
+        open_edges = left.filter("dep is not null").join(done, ["conv_id", "dep"], "left").join(alone, ["conv_id", "dep"], "left")
+        moved = open_edges.select(
+            *KEY,
+            F.when(F.col("own").isNull(), F.coalesce("next", "dep")).alias("dep"),
+            (F.col("far") + F.when(F.col("own").isNull(), F.coalesce("step", F.lit(0))).otherwise(0)).alias("far"),
+            (F.col("own") + F.col("far")).alias("base"),
+        )
+        now = written(moved.unionByName(left.filter("dep is null")), "chat-edges")
+        ready = now.groupBy(*KEY).agg(F.count("dep").alias("n"), F.max("base").alias("level")).filter("n = 0").select(*KEY, "level")
+        settled = written(settled.unionByName(ready), "chat-levels")
+        left = written(now.join(settled, KEY, "left_anti"), "chat-edges")
+        before, remaining = remaining, left.count()
+        idle = idle + 1 if remaining == before else 0
+    return calls.select(*KEY).join(settled, KEY, "left").join(lacking, KEY, "left")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -442,6 +442,20 @@ def test_tool_calls(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_levels_of_long_chains_and_cycles(spark):
+    from quarrylight.llm.chat import levels
+
+    draw = np.random.default_rng(2)
+    after = {i: [i - 1] if i % 50 and i < 200 else sorted({int(x) for x in draw.integers(0, i, 2)}) if i > 200 else [] for i in range(260)}
+    want = {}
+    for i, own in after.items():
+        want[i] = 1 + max((want[j] for j in own), default=-1)
+    after |= {300: [302], 301: [300], 302: [301], 303: [302, 5], 304: [5, 999]}
+    frame = spark.createDataFrame([(1, str(i), list(map(str, own))) for i, own in after.items()], "conv_id long, call_id string, after array<string>")
+    got = {int(r.call_id): r.level for r in levels(frame).collect()}
+    assert got == want | {300: None, 301: None, 302: None, 303: None, 304: want[5] + 1}
+
+
 def test_conversations_have_each_turn_once(spark):
     from quarrylight.llm.chat import format_conversations
 

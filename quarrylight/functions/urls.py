@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight import rules
@@ -135,3 +135,25 @@ def choose_urls(requested: Column, final: Column, declared: Column, links: Colum
     every = F.array_distinct(F.concat(F.transform(F.filter(F.array_compact(F.array(requested, final)), web), normalize_url), told, F.transform(F.filter(F.array_compact(links), web), normalize_url)))
     registers = F.filter(every, (lambda u: is_registration_url(u)) if domains is None else (lambda u: is_trusted_registration_url(u, domains)))
     return F.coalesce(F.get(usable, 0), own), F.get(registers, 0)
+
+
+def is_public_url(url: Column) -> Column:
+    """A web address without credentials whose host is no private or special IPv4
+    literal (names are not resolved here)."""
+    host, scheme = host_of(url), F.lower(_part(url, 1))
+    octet = [F.regexp_extract(host, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i).try_cast("int") for i in (1, 2, 3, 4)]
+    a, b, c, d = octet
+    private = (a == 10) | (a == 127) | (a == 0) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b.isin(18, 19) | ((b == 51) & (c == 100)))) | ((a == 203) & (b == 0) & (c == 113))
+    wrong = (a > 255) | (b > 255) | (c > 255) | (d > 255)
+    signed = F.trim(url).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#@]*@")
+    return scheme.isin("http", "https") & (host != "") & (host != "localhost") & ~signed & ~F.coalesce(private | wrong, F.lit(False))
+
+
+def with_policy(rows: DataFrame, host: str, policies: DataFrame) -> DataFrame:
+    """Rows with the columns of the most specific policy for their host.  ``policies``:
+    domain, exact (no subdomains) and any values; an equi-join on suffixes."""
+    keyed = rows.select(F.col(host).alias("_host")).distinct().select("_host", F.posexplode(suffixes(F.col("_host"))).alias("_at", "domain"))
+    values = [c for c in policies.columns if c not in ("domain", "exact")]
+    hits = keyed.join(policies, "domain").filter((F.col("_at") == 0) | ~F.coalesce("exact", F.lit(False)))
+    best = hits.groupBy("_host").agg(F.min_by(F.struct(*values), "_at").alias("_policy")).select("_host", "_policy.*")
+    return rows.join(best, rows[host] == best["_host"], "left").drop("_host")

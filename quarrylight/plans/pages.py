@@ -104,5 +104,25 @@ def page_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "p.title", F.size("p.links").alias("n_links"), F.size("p.metadata").alias("n_meta"), F.sha2("p.text", 256).alias("text_hash"), F.char_length("p.text").alias("n_text"))
 
 
-QUERIES = {f.__name__: f for f in (page_url_normalized, page_host_authority, page_url_flags, page_link_trust, page_title_links, page_host_counts, page_content_hash, page_parsed)}
-SQL = {"page_url_normalized": PAGE_URL, "page_host_authority": PAGE_AUTHORITY, "page_url_flags": PAGE_FLAGS, "page_link_trust": PAGE_TRUST, "page_title_links": PAGE_LINKS, "page_host_counts": PAGE_HOSTS, "page_content_hash": PAGE_HASH}
+def page_fetch_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests a minute for each page's host: the most specific domain's."""
+    policies = spark.createDataFrame([("example.org", False, 3), ("example.net", True, 4), ("spam-farm.example.org", False, 0), ("blog.ththan.example.net", True, 9)], "domain string, exact boolean, per_minute int")
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"))
+    return urls.with_policy(pages, "host", policies).select("page_id", F.coalesce("per_minute", F.lit(6)).alias("per_minute"))
+
+
+PAGE_POLICY = f"SELECT page_id, CASE WHEN {HOST} = 'blog.ththan.example.net' THEN 9 WHEN {below(HOST, ('spam-farm.example.org',))} THEN 0 WHEN {below(HOST, ('example.org',))} THEN 3 WHEN {HOST} = 'example.net' THEN 4 ELSE 6 END AS per_minute FROM pages"
+ADDRESSES = ("10.1.2.3", "127.0.0.1", "172.20.0.1", "172.40.0.1", "192.168.1.1", "8.8.8.8", "169.254.169.254", "user:pw@8.8.4.4", "239.1.1.1")
+
+
+def page_public_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pages, some moved to literal addresses, may be fetched."""
+    host = F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("page_id") % len(ADDRESSES) + 1).cast("int"))
+    moved = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace(F.col("url"), F.lit("^(https?://)[^/]*"), F.concat(F.lit("$1"), host)))
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_public_url(moved).alias("public"))
+
+
+PAGE_PUBLIC = f"SELECT page_id, page_id % 2 = 0 OR list_extract([{', '.join(repr(a in ('172.40.0.1', '8.8.8.8')).lower() for a in ADDRESSES)}], CAST(page_id % {len(ADDRESSES)} + 1 AS INTEGER)) AS public FROM pages"
+
+QUERIES = {f.__name__: f for f in (page_url_normalized, page_host_authority, page_url_flags, page_link_trust, page_title_links, page_host_counts, page_content_hash, page_parsed, page_fetch_policy, page_public_address)}
+SQL = {"page_url_normalized": PAGE_URL, "page_host_authority": PAGE_AUTHORITY, "page_url_flags": PAGE_FLAGS, "page_link_trust": PAGE_TRUST, "page_title_links": PAGE_LINKS, "page_host_counts": PAGE_HOSTS, "page_content_hash": PAGE_HASH, "page_fetch_policy": PAGE_POLICY, "page_public_address": PAGE_PUBLIC}

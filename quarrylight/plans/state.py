@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import dates
-from quarrylight.operators import history, leads, reports
+from quarrylight.operators import history, leads, notify, reports
 from quarrylight.plans.common import table
 
 NOW = "2024-02-15 00:00:00"
@@ -186,6 +186,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_STREAM = "SELECT user_id, event_type, arg_min(event_id, struct_pack(ts := ts, event_id := event_id)) AS event_id FROM events GROUP BY user_id, event_type"
 
 
+def event_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts about the changes of a user's day, one for each."""
+    kinds = {"signup": "REGISTRATION_OPENED", "purchase": "DEADLINE_EXTENDED", "click": "LOCATION_CHANGED", "error": "EVENT_CANCELLED", "view": "PRIZE_CHANGED"}
+    change = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")]
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("event_id"), F.dayofmonth("ts").alias("version"), change.alias("change"), (F.col("event_type") != "view").alias("notify"))
+    return notify.change_alerts(rows).select("dedupe_key", "headline", "changes", "urgent")
+
+
+EVENT_ALERTS = """WITH c AS (SELECT user_id, day(ts) AS version, list_sort(list(DISTINCT CASE event_type WHEN 'signup' THEN 'REGISTRATION_OPENED' WHEN 'purchase' THEN 'DEADLINE_EXTENDED' WHEN 'click' THEN 'LOCATION_CHANGED' ELSE 'EVENT_CANCELLED' END)) AS l FROM events WHERE event_type <> 'view' GROUP BY ALL)
+SELECT 'change:' || user_id || ':' || version AS dedupe_key, CASE WHEN len(l) > 1 THEN len(l) || ' changes' ELSE CASE l[1] WHEN 'REGISTRATION_OPENED' THEN 'Registration Opened' WHEN 'DEADLINE_EXTENDED' THEN 'Deadline Extended' WHEN 'LOCATION_CHANGED' THEN 'Location Changed' ELSE 'Event Cancelled' END END AS headline,
+array_to_string(l, ',') AS changes, list_contains(l, 'EVENT_CANCELLED') OR list_contains(l, 'REGISTRATION_OPENED') AS urgent FROM c"""
+
+
 def order_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders matched to customers by either of two keys: a union of equi-joins."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -249,11 +262,11 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TABLE_TOTALS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("events", "orders", "customer", "pages"))
 
-QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_stream, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
+QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
 SQL = {
     "event_latest_per_user": EVENT_LATEST, "event_retention": EVENT_RETENTION, "event_asof_purchase": EVENT_ASOF, "event_changes": EVENT_CHANGES, "event_versions": EVENT_VERSIONS,
     "event_debounce": EVENT_DEBOUNCE, "event_state_counts": EVENT_STATES, "event_reason_counts": EVENT_REASONS, "event_json_filter": EVENT_JSON, "event_last_success": EVENT_SUCCESS,
     "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED,
-    "event_stream": EVENT_STREAM, "order_two_keys": ORDER_KEYS, "customer_announced": CUSTOMER_ANNOUNCED, "order_month_total": ORDER_TOTAL, "order_top_then_filter": ORDER_TOP,
+    "event_stream": EVENT_STREAM, "event_change_alerts": EVENT_ALERTS, "order_two_keys": ORDER_KEYS, "customer_announced": CUSTOMER_ANNOUNCED, "order_month_total": ORDER_TOTAL, "order_top_then_filter": ORDER_TOP,
     "order_overlay": ORDER_OVERLAY, "query_templates": QUERY_TEMPLATES, "table_totals": TABLE_TOTALS,
 }

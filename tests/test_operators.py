@@ -209,3 +209,47 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     spark.createDataFrame([("b", 4), ("c", 5)], "k string, v int").write.mode("append").parquet(source)
     run()
     assert rows(spark.read.parquet(target), "k") == [("a",), ("b",), ("c",)]
+
+
+def test_thread_records_and_merging(spark):
+    from quarrylight.sources import threads
+
+    payload = 'for (;;);{"a":[{"message":{"text":"A call for entries"},"post_id":12345,"url":"https://x.test/1"}]} {"body":{"text":"a comment of some length"},"id":"c1"} broken'
+    got = threads.records(payload)
+    assert [(r["kind"], r["post_id"], r["comment_id"]) for r in got] == [("post", "12345", None), ("comment", None, "c1")]
+    assert threads.records(None) == [] and threads.records("[" * 2000) == []
+    df = spark.createDataFrame([(payload,), (None,)], "p string")
+    assert df.select(F.explode(threads.json_records("p"))).count() == 2
+    row = spark.createDataFrame([("see https://a.test/x). and https://l.facebook.com/l.php?u=https%3A%2F%2Fb.test%2Fy", ["https://a.test/x", None, "https://www.facebook.com/events/5"], "Ann\n3 h\nLike\nHello there\n12", "ann")], "t string, h array<string>, b string, a string")
+    urls = threads.extract_urls(F.col("t"), F.col("h"))
+    r = row.select(urls.alias("u"), threads.outbound(urls).alias("o"), threads.clean_lines(F.col("b"), F.col("a")).alias("c")).first()
+    assert r.u == ["https://a.test/x", "https://b.test/y", "https://www.facebook.com/events/5"] and r.o == r.u and r.c == "Hello there"
+    seen = spark.createDataFrame([("p", 1, "short", ["u1"], None, None, "l1"), ("p", 2, "much longer", ["u2", "u1"], "ann", None, "l2")], "id string, seen int, text string, urls array<string>, author string, created_at timestamp, permalink string")
+    m = threads.merge_threads(seen).first()
+    assert (m.text, m.urls, m.author, m.permalink) == ("much longer", ["u1", "u2"], "ann", "l1")
+
+
+def test_custom_elements(spark):
+    from quarrylight.sources import threads
+
+    page = '<shreddit-post id="t3_a" post-title="T" score="5" created-timestamp="2026-01-02T03:04:05Z"><p>body</p></shreddit-post><shreddit-post id="t3_b" ad-type="x" created-timestamp="2026-01-02T03:04:05Z"></shreddit-post><shreddit-post id="t3_c" created-timestamp="never"></shreddit-post>'
+    got = threads.submissions(spark.createDataFrame([("p", page), ("q", None)], "page string, html string"))
+    assert rows(got, "id", "title", "body", "score") == [("a", "T", "body", 5)]
+
+
+@pytest.mark.parametrize(("url", "want"), [("https://a.test/x", True), ("http://10.0.0.1/", False), ("http://8.8.8.8/", True), ("https://u:p@a.test/", False), ("ftp://a.test", False), ("http://localhost/", False)])
+def test_public_urls(spark, url, want):
+    from quarrylight.functions.urls import is_public_url
+
+    assert spark.createDataFrame([(url,)], "u string").select(is_public_url(F.col("u"))).first()[0] is want
+
+
+def test_alerts_and_outbox(spark):
+    from quarrylight.operators import notify
+
+    changes = spark.createDataFrame([("e", 2, "DATES_CHANGED", True), ("e", 2, "VENUE_CHANGED", True), ("e", 3, "EVENT_CANCELLED", True), ("e", 4, "PRIZE_CHANGED", False)], "event_id string, version int, change string, notify boolean")
+    alerts = notify.change_alerts(changes)
+    assert rows(alerts, "dedupe_key", "headline", "urgent") == [("change:e:2", "2 changes", False), ("change:e:3", "Event Cancelled", True)]
+    receipts = spark.createDataFrame([("change:e:2", "SENT"), ("change:e:3", "FAILED")], "dedupe_key string, state string")
+    assert rows(notify.pending(alerts, receipts), "dedupe_key") == [("change:e:3",)]
+    assert spark.range(1).select(notify.redacted(F.lit("token=abc http://u:p@h/"))).first()[0] == "token=[redacted] http://[redacted]@h/"

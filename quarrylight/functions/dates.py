@@ -106,3 +106,24 @@ def parse_epoch(value: Column, milliseconds_from: float = 1e12) -> Column:
     number = value.try_cast("double")
     seconds = F.when(number >= milliseconds_from, number / 1000).otherwise(number)
     return F.coalesce(F.timestamp_seconds(seconds), F.try_to_timestamp(value))
+
+
+def retry_at(value: Column, now: Column) -> Column:
+    """Moment that a Retry-After header names: seconds (1 to a day), an HTTP date, or an
+    hour from now."""
+    seconds = F.greatest(F.lit(1), F.least(F.trim(value).try_cast("bigint"), F.lit(86400)))
+    # the weekday is left to the date; its zone is always GMT
+    dated = F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3},\s*|\s*GMT$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    later = F.when(F.trim(value).try_cast("bigint").isNotNull(), F.timestamp_seconds(F.unix_timestamp(now) + seconds)).when(dated.isNotNull(), F.greatest(F.timestamp_seconds(F.unix_timestamp(now) + 1), dated))
+    return F.coalesce(later, F.timestamp_seconds(F.unix_timestamp(now) + 3600))
+
+
+def freshness_since(since: Column, today: Column) -> Column:
+    """The narrowest search period that reaches back to a day."""
+    days = F.greatest(F.lit(0), F.datediff(today, since))
+    return F.when(days <= 1, "pd").when(days <= 7, "pw").when(days <= 31, "pm").otherwise("py")
+
+
+def local_day(value: Column) -> Column:
+    """A UTC moment as a day where the events take place."""
+    return F.date_format(F.from_utc_timestamp(value, rules.ZONE), "d MMM yyyy")

@@ -137,3 +137,21 @@ def merge_fill_only(base: Column, offered: Column, evidence: Column, corpus: Col
     """The base value; where it is missing, the offered one if its quote is in the text."""
     proven = F.coalesce((F.trim(evidence) != "") & F.lower(corpus).contains(F.lower(F.trim(evidence))), F.lit(False))
     return F.coalesce(F.nullif(base, F.lit("")), F.when(proven, offered))
+
+
+def escalations(rows: DataFrame, budget: int, order: list[Column], least: float = 0.70) -> DataFrame:
+    """Rows (overall_confidence, ambiguities) that the second model may see: those still
+    thin after the first, as many as the budget allows."""
+    thin = rows.filter(should_use_model(F.col("overall_confidence"), F.col("ambiguities"), least))
+    return thin.orderBy(*order).limit(budget)
+
+
+def merge_models(rows: DataFrame, outputs: DataFrame, fields: list[str], key: str = "id", corpus: str = "text") -> DataFrame:
+    """Fill missing fields from models' outputs (key, tier, field, value, quote), lower
+    tiers first; a value counts only if its quote is in the text.  What was read
+    directly is never replaced, and nor is a lower tier's answer."""
+    quoted = outputs.join(rows.select(key, F.col(corpus).alias("_corpus")), key)
+    proven = quoted.filter((F.trim("quote") != "") & F.lower("_corpus").contains(F.lower(F.trim("quote"))) & (F.coalesce("value", F.lit("")) != ""))
+    best = proven.groupBy(key).agg(*(F.min_by("value", F.when(F.col("field") == f, F.col("tier"))).alias(f"_{f}") for f in fields))
+    joined = rows.join(best, key, "left")
+    return joined.withColumns({f: F.coalesce(F.nullif(f, F.lit("")), F.col(f"_{f}")) for f in fields}).drop(*(f"_{f}" for f in fields))

@@ -43,3 +43,29 @@ def interleave(lists: dict[str, DataFrame], order: list[Column]) -> DataFrame:
 
     parts = [df.withColumn("_list", F.lit(i)).withColumn("turn", F.row_number().over(Window.partitionBy("_list").orderBy(*order))) for i, df in enumerate(lists.values())]
     return reduce(DataFrame.unionByName, parts).orderBy("turn", "_list").drop("_list")
+
+
+def accuracy(judged: DataFrame, pairs: dict[str, tuple[str, str]], seconds: str) -> DataFrame:
+    """How many rows a model got right for each measure (found, expected), and its mean
+    time."""
+    right = [F.sum(F.col(a).eqNullSafe(F.col(b)).cast("int")).alias(n) for n, (a, b) in pairs.items()]
+    return judged.groupBy("model").agg(F.count("*").alias("documents"), *right, F.avg(seconds).alias("seconds"))
+
+
+def kind_histogram(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
+    """Rows of each kind before and after a change of rules."""
+    counted = [df.groupBy(kind).agg(F.count("*").alias(n)) for df, n in ((before, "before"), (after, "after"))]
+    return counted[0].join(counted[1], kind, "full").select(kind, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+def rejections(candidates: DataFrame, code: str, k: int) -> DataFrame:
+    """The k candidates touched last that have a reason, by exact membership."""
+    return candidates.filter(F.array_contains("reasons", code)).orderBy(F.desc("updated_at"), "id").limit(k)
+
+
+def upcoming(events: DataFrame, as_of: Column, k: int, place: Column | None = None) -> DataFrame:
+    """Of the k events that start next (without a date: last), those that start later
+    than now or have no date, and are in a place: the limit comes first."""
+    first = events.orderBy(F.col("start").asc_nulls_last(), "id").limit(k)
+    rows = first.filter(F.col("start").isNull() | (F.col("start") >= as_of))
+    return rows if place is None else rows.filter(place)

@@ -253,3 +253,42 @@ def test_alerts_and_outbox(spark):
     receipts = spark.createDataFrame([("change:e:2", "SENT"), ("change:e:3", "FAILED")], "dedupe_key string, state string")
     assert rows(notify.pending(alerts, receipts), "dedupe_key") == [("change:e:3",)]
     assert spark.range(1).select(notify.redacted(F.lit("token=abc http://u:p@h/"))).first()[0] == "token=[redacted] http://[redacted]@h/"
+
+
+@pytest.mark.parametrize(
+    ("header", "want"),
+    [("90", dt.datetime(2026, 8, 30, 0, 1, 30)), ("0", dt.datetime(2026, 8, 30, 0, 0, 1)), ("999999", dt.datetime(2026, 8, 31)), ("Sun, 30 Aug 2026 02:00:00 GMT", dt.datetime(2026, 8, 30, 2)), ("soon", dt.datetime(2026, 8, 30, 1)), (None, dt.datetime(2026, 8, 30, 1))],
+)
+def test_retry_at(spark, header, want):
+    from quarrylight.functions.dates import retry_at
+
+    assert spark.createDataFrame([(header,)], "h string").select(retry_at(F.col("h"), F.lit(NOW))).first()[0] == want
+
+
+def test_thread_seeds(spark):
+    at = dt.datetime(2026, 8, 20)
+    posts = spark.createDataFrame(
+        [("p1", False, "event", "Title\nbody", ["https://devpost.com/x", "https://b.test"], "perma1", at), ("p1:c", True, "event", "reply", [], "perma2", None), ("p2", False, "question_with_link", "q", ["https://devpost.com/x"], "perma3", dt.datetime(2026, 8, 21)), ("p3", True, "question_with_link", "q", ["https://kaggle.com/y"], "perma4", at), ("p4", False, "event", "old", [], "perma5", dt.datetime(2025, 1, 1))],
+        "source_key string, reply boolean, kind string, body string, urls array<string>, permalink string, created_at timestamp",
+    )
+    got = rows(leads.thread_seeds(posts, F.lit(dt.datetime(2026, 1, 1))), "source_key", "url", "title", "content")
+    assert got == [("p1", "https://devpost.com/x", "Title", None), ("p1:c", "perma2", "reply", "reply")]
+
+
+def test_models_fill_and_never_replace(spark):
+    from quarrylight.operators.extract import merge_models
+
+    docs = spark.createDataFrame([(1, "The City Hack by Acme", "kept", None), (2, "nothing", None, None)], "id int, text string, title string, organizer string")
+    outputs = spark.createDataFrame([(1, 0, "title", "other", "City Hack"), (1, 1, "organizer", "Second", "Acme"), (1, 0, "organizer", "Acme", "by Acme"), (2, 0, "organizer", "Made up", "not there")], "id int, tier int, field string, value string, quote string")
+    assert rows(merge_models(docs, outputs, ["title", "organizer"]), "id", "title", "organizer") == [(1, "kept", "Acme"), (2, None, None)]
+
+
+def test_reports(spark):
+    from quarrylight.operators import reports
+
+    j = spark.createDataFrame([("m", "A", "A", 1.0), ("m", None, "B", 3.0)], "model string, got string, want string, s double")
+    assert rows(reports.accuracy(j, {"kind": ("got", "want")}, "s")) == [("m", 2, 1, 2.0)]
+    a, b = (spark.createDataFrame([(k,) for k in ks], "kind string") for ks in ("xxy", "xz"))
+    assert rows(reports.kind_histogram(a, b, "kind")) == [("x", 2, 1), ("y", 1, 0), ("z", 0, 1)]
+    e = spark.createDataFrame([(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 9, 1)), (3, None)], "id int, start timestamp")
+    assert rows(reports.upcoming(e, F.lit(NOW), 2), "id") == [(2,)] and rows(reports.upcoming(e, F.lit(NOW), 3), "id") == [(2,), (3,)]

@@ -34,10 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where that is unset (tests on one machine) a local folder is used."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/quarrylight-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or f"file://{tempfile.gettempdir()}/quarrylight-shared").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,18 +47,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_written(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    jvm = spark.sparkContext._jvm
-    parents = {str(Path(f.split(":", 1)[1]).parent) for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        if folder.split("//", 1)[-1].split(":", 1)[-1].lstrip("/") in parent:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

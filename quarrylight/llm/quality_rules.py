@@ -33,6 +33,8 @@ LABELLED = 20_000
 RULES, CONDITIONS, STEPS = 8, 3, 24
 #: Share of rejects among the rows, set aside, that a rule covers.
 PRECISION = 0.95
+#: The same share, had the rule covered three more rows wrongly: rules need support.
+SURE = 0.75
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
@@ -161,16 +163,18 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, *, text_col: str = "
     return written(rows.withColumn("_aside", F.pmod(F.xxhash64("_id", F.lit("aside")), F.lit(3)) == 0), "labelled").coalesce(4)
 
 
-def learn(rows: DataFrame, *, most_rules: int = RULES, precision: float = PRECISION) -> list[list[Condition]]:
+def learn(rows: DataFrame, *, most_rules: int = RULES, precision: float = PRECISION, sure: float = SURE) -> list[list[Condition]]:
     """Sequential covering over labelled statistics that pass the base rules."""
     names = list(RATIOS)
     rows = rows.filter(~base_failed()).select("_reject", "_aside", *(make().alias(n) for n, make in RATIOS.items()))
-    shares = [k / STEPS for k in range(1, STEPS)]
-    edges = rows.agg(*(F.percentile_approx(n, shares).alias(n) for n in names)).first()
-    cuts = {n: sorted(set(edges[n] or [])) for n in names}
-    value = lambda n: F.col(n)
-    bins = {n: sum(((value(n) > c).cast("int") for c in cuts[n]), F.lit(0)) for n in names}
-    rows = written(rows.select("*", *(b.alias(f"_bin_{n}") for n, b in bins.items())), "binned").coalesce(4)
+    rows = written(rows, "learning").coalesce(4)
+    shares = [k / STEPS for k in range(STEPS)]
+
+    def thresholds(left: DataFrame) -> dict[str, list[float]]:
+        """Quantiles of all rows and of the rejects: few rejects lie in a tail."""
+        of = lambda n, when: F.percentile_approx(F.when(when, F.col(n)), shares)
+        edges = left.filter("not _aside").agg(*(of(n, w).alias(f"{n}{i}") for n in names for i, w in enumerate((F.lit(True), F.col("_reject") == 1)))).first()
+        return {n: sorted({*(edges[f"{n}0"] or []), *(edges[f"{n}1"] or [])}) for n in names}
 
     def matches(rule: list[Condition]) -> Column:
         out = F.lit(True)
@@ -180,9 +184,12 @@ def learn(rows: DataFrame, *, most_rules: int = RULES, precision: float = PRECIS
 
     def grown(left: DataFrame) -> list[Condition]:
         rule: list[Condition] = []
+        cuts = thresholds(left)
+        # a value that equals a threshold lies below it
+        bins = {n: sum(((F.col(n) > c).cast("int") for c in cuts[n]), F.lit(0)) for n in names}
         while len(rule) < CONDITIONS:
             inside = left.filter(~F.col("_aside") & matches(rule))
-            each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_bin_{n}").alias("bin")) for n in names)))
+            each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), bins[n].alias("bin")) for n in names)))
             counts = inside.select("_reject", each.alias("e")).groupBy("e.name", "e.bin").agg(F.count("*").alias("n"), F.sum("_reject").alias("p")).collect()
             best = (0.0, None)
             for name in names:
@@ -219,7 +226,8 @@ def learn(rows: DataFrame, *, most_rules: int = RULES, precision: float = PRECIS
         scores = [(p - n) / (p + n) if p + n else -1.0 for p, n in worth]
         keep = scores.index(max(scores))
         p, n = worth[keep]
-        if not p or p < precision * (p + n):
+        # three more wrong rows could have been seen with some luck
+        if not p or p < precision * (p + n) or p < sure * (p + n + 3):
             break
         rules.append(centred(left, rule[: keep + 1]))
         left = left.filter(~matches(rules[-1]))

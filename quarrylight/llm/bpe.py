@@ -146,8 +146,9 @@ def codec(path: str) -> ForcedBoundaryCodec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """-> id, ``ids`` (binary, little-endian unsigned 32-bit), ``decoded`` (if asked for).
+def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, as_text: bool = False) -> DataFrame:
+    """-> id, ``ids`` (binary, little-endian unsigned 32-bit), and if asked for ``decoded``
+    and ``id_text`` (decimal ids, joined by one space).
 
     One pass over the rows; nothing is shuffled."""
     ship_package(docs.sparkSession)
@@ -155,6 +156,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     fields = [source.schema["doc_id"], T.StructField("ids", T.BinaryType())]
     if decode:
         fields.append(T.StructField("decoded", T.StringType()))
+    if as_text:
+        fields.append(T.StructField("id_text", T.StringType()))
     rows = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +169,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
                 columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([own.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+                if as_text:
+                    columns.append(pa.array([" ".join(map(str, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))
-
-
-def id_text(ids):
-    """Decimal ids joined by one space, from a binary ids column."""
-
-    @F.pandas_udf(T.StringType())
-    def joined(column):
-        return column.map(lambda x: " ".join(map(str, np.frombuffer(x, "<u4").tolist())))
-
-    return joined(ids)

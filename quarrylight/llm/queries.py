@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.bpe import encode_documents, id_text
+from quarrylight.llm.bpe import encode_documents
 from quarrylight.llm.chat import format_conversations
 from quarrylight.llm.classifier import quality_scores
 from quarrylight.llm.common import table
@@ -105,11 +105,11 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    encoded = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), as_text=True)
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2(id_text("ids"), 256).alias("ids_sha256"),
+        F.sha2("id_text", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

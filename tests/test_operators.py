@@ -292,3 +292,18 @@ def test_reports(spark):
     assert rows(reports.kind_histogram(a, b, "kind")) == [("x", 2, 1), ("y", 1, 0), ("z", 0, 1)]
     e = spark.createDataFrame([(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 9, 1)), (3, None)], "id int, start timestamp")
     assert rows(reports.upcoming(e, F.lit(NOW), 2), "id") == [(2,)] and rows(reports.upcoming(e, F.lit(NOW), 3), "id") == [(2,), (3,)]
+
+
+def test_streams_keep_state_by_key(spark, tmp_path):
+    from quarrylight.streaming.seeds import debounced, first_sightings, not_older, read
+
+    at = lambda minute: dt.datetime(2026, 8, 1, 10, minute)
+    source = str(tmp_path / "in")
+    data = [("a", at(0)), ("a", at(10)), ("a", at(45)), ("b", at(5)), ("a", at(59))]
+    spark.createDataFrame(data, "k string, at timestamp").coalesce(1).write.parquet(source)
+    for name, make in (("calm", lambda s: debounced(s, "k", "at")), ("first", lambda s: first_sightings(not_older(s, "at", F.lit(dt.datetime(2026, 1, 1))), "k", "at").select("k"))):
+        query = make(read(spark, source, "k string, at timestamp")).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+    calm = [(k, dt.datetime.fromtimestamp(s, dt.UTC).minute) for k, s in rows(spark.table("calm"))]
+    assert calm == [("a", 0), ("a", 45), ("b", 5)]
+    assert rows(spark.table("first")) == [("a",), ("b",)]

@@ -132,6 +132,15 @@ def anchors_of(prints: np.ndarray, reach: int) -> list[np.ndarray]:
     return [row[keep] for row, keep in zip(every, new, strict=True)]
 
 
+def _by_crowd(placed: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Rows at anchors with at most ``crowd`` rows, and the others.
+
+    Chance meetings at an anchor grow with the square of the rows, so no row is made
+    for them: only crowded anchors are joined with, and pairs are tested as they meet."""
+    crowded = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("anchor")
+    return placed.join(crowded, "anchor", "left_anti"), placed.join(crowded, "anchor", "left_semi")
+
+
 def links(prints: DataFrame, *, threshold: int = 2, crowd: int = CROWD) -> DataFrame:
     """Distinct fingerprints (one long column) -> ``a < b``: links whose transitive
     closure is that of all pairs within the threshold (an even number of bits)."""
@@ -145,12 +154,10 @@ def links(prints: DataFrame, *, threshold: int = 2, crowd: int = CROWD) -> DataF
         return pd.Series(anchors_of(column.to_numpy(np.int64), reach))
 
     placed = written(prints.select("fingerprint", F.explode(anchors("fingerprint")).alias("anchor")), "simhash-anchors")
-    sizes = placed.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
-    cells = placed.join(sizes, "anchor")
-    few = cells.filter(F.col("members") <= crowd).select("anchor", "fingerprint")
+    few, many = _by_crowd(placed, crowd)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     pairs = few.withColumnRenamed("fingerprint", "a").join(few.withColumnRenamed("fingerprint", "b"), "anchor").filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    crowded = cells.filter(F.col("members") > crowd).select("fingerprint").distinct()
+    crowded = many.select("fingerprint").distinct()
     flips = [sum(1 << b for b in bits) for weight in range(reach + 1) for bits in combinations(range(64), weight)]
     signed = np.array(flips, np.uint64).view(np.int64).tolist()
     points = crowded.select("fingerprint", F.explode(F.array(*map(F.lit, signed))).alias("flip")).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("anchor"))
@@ -229,13 +236,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     each = nodes.select("node", F.posexplode("words").alias("seed", "print"))
     placed = written(each.select("node", "seed", "print", F.explode(anchors("seed", "print")).alias("anchor")), "near-anchors")
-    sizes = placed.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
-    cells = placed.join(sizes, "anchor")
-    few = cells.filter(F.col("members") <= crowd)
+    few, many = _by_crowd(placed, crowd)
     left = few.select("anchor", F.col("node").alias("a"), F.col("print").alias("pa"))
     right = few.select("anchor", F.col("node").alias("b"), F.col("print").alias("pb"))
     met = left.join(right, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 8)).select("a", "b")
-    many = cells.filter(F.col("members") > crowd).select("seed", "print", "node").distinct()
+    many = many.select("seed", "print", "node").distinct()
     least = many.groupBy("seed", "print").agg(F.min("node").alias("own"))
     spokes = many.join(least, ["seed", "print"]).filter("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b"))
     flips = [0, *np.array([1 << b for b in range(64)], np.uint64).view(np.int64).tolist()]

@@ -23,6 +23,7 @@ columns other than id and text are dropped, so clashing names cannot occur.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,11 +35,14 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import ship_package, written
 
-#: Fingerprints of each kind in a sketch of :func:`near_copies`.
-SEEDS = 6
-#: Fingerprints at an anchor beyond which the finest code takes over: of one kind,
-#: and of the several kinds of a sketch, which meet the same pair many times.
-CROWD, SKETCH_CROWD = 32, 12
+#: Fingerprints at an anchor beyond which the finest code takes over.
+CROWD = 32
+#: Documents with a shingle beyond which :func:`near_copies` links them in two steps.
+SHINGLE_CROWD = 8
+#: Words of 64 parity bits a document; share of the documents in which shingles are
+#: counted (one in so many), and how many frequent shingles at most are told apart.
+#: They change what is compared, never what is found.
+PARITIES, SAMPLED, FREQUENT = 8, 4, 200_000
 #: Generator polynomial of the binary Golay code, 1 + x2 + x4 + x5 + x6 + x10 + x11.
 GOLAY = 0b110001110101
 LENGTH, BLOCKS = 23, 2
@@ -73,30 +77,20 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("fingerprint", T.LongType())]))
 
 
-def _majorities(hashes: np.ndarray, seeds: int) -> np.ndarray:
-    """A fingerprint of the hashes for each seed, as signed 64-bit integers."""
-    out = np.zeros(seeds, np.uint64)
-    with np.errstate(over="ignore"):
-        for seed in range(seeds if len(hashes) else 0):
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 1 << 14):
-                mixed = (hashes[at : at + (1 << 14)] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(32)
-                ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[seed] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-    return out.view(np.int64)
-
-
-def sketch(text: str | None, shingle: int = 5, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of a text's set of words and of its set of shingles."""
+def shingles_of(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's set of shingles; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     parts = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else {b" ".join(words)} - {b""}
-    hashed = (np.fromiter(map(xxh64_intdigest, group, repeat(42)), np.uint64, len(group)) for group in (set(words), parts))
-    own, runs = (_majorities(h, seeds) for h in hashed)
-    return own, runs
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)).view(np.int64))
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes fall on each of the bits: those of two sets
+    differ in at most as many bits as the sets differ in hashes."""
+    odd = np.bincount(hashes & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -205,56 +199,92 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return marked.join(of_print, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = SEEDS, crowd: int = SKETCH_CROWD) -> DataFrame:
+def _frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles, by a sample of documents, and their ranks."""
+    sample = marked.filter(F.pmod("node", F.lit(SAMPLED)) == 0).select("node", F.explode("shingles").alias("token"))
+    counts = sample.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT)
+    tokens = np.array([r.token for r in counts.select("token").collect()], np.int64)
+    by_hash = np.argsort(tokens)
+    return tokens[by_hash], len(tokens) - by_hash
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = SHINGLE_CROWD) -> DataFrame:
     """-> id, ``group_id``: the smallest id of the near copies that a document is
     linked with, itself included.
 
-    For each of several seeds the fingerprints of the texts' sets of words meet at
-    the anchors within two bits of each other.  A pair that met is linked if the
-    fingerprints of its sets of word shingles, all seeds together, differ in no more
-    bits than two sets of that Jaccard similarity do on average.  Fingerprints at a
-    crowded anchor are linked through the finest code, as in :func:`links`."""
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at
+    least ``similarity``; groups are the transitive closure of all such links.
+
+    Candidates come from prefix filtering: with the shingles of every text in one
+    order, frequent ones last, two texts that similar share one among the first
+    n - similarity * n + 1 of either.  Those that share one are compared unless sizes,
+    positions or parity bits rule the similarity out (none of these bounds can fail),
+    and each candidate is verified by its shingles.  At a shingle of more than
+    ``crowd`` texts the least node and the text with the fewest rarer shingles are
+    compared with all others first; then all pairs that aren't in one group yet."""
     spark = docs.sparkSession
     ship_package(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([source.schema["doc_id"], T.StructField("words", longs), T.StructField("runs", longs)])
+    schema = T.StructType([source.schema["doc_id"], T.StructField("shingles", longs), T.StructField("odd", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py(), shingle, seeds) for t in batch.column("text")]
-            columns = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
-
-    marked = written(source.mapInArrow(run, schema).withColumn("node", F.xxhash64("words", "runs")), "near-sketches")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"), F.first("runs").alias("runs")), "near-nodes")
+            sets = [shingles_of(t.as_py(), shingle) for t in batch.column("text")]
+            odd = [parities(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=schema.names)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def anchors(seed: pd.Series, column: pd.Series) -> pd.Series:
-        above = seed.to_numpy(np.int64) << (BLOCKS * LENGTH)
-        return pd.Series([a | s for a, s in zip(anchors_of(column.to_numpy(np.int64), 1), above, strict=True)])
+    marked = written(source.mapInArrow(run, schema).withColumn("node", F.xxhash64("shingles")), "near-shingles")
+    bits = [f"o{k}" for k in range(PARITIES)]
+    nodes = marked.select("node", "doc_id", F.size("shingles").alias("n"), *(F.col("odd")[k].alias(c) for k, c in enumerate(bits)))
+    nodes = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.max(c).alias(c) for c in ("n", *bits))), "near-nodes")
+    frequent, rank = _frequent(marked)
 
-    each = nodes.select("node", F.posexplode("words").alias("seed", "print"))
-    placed = written(each.select("node", "seed", "print", F.explode(anchors("seed", "print")).alias("anchor")), "near-anchors")
-    few, many = _by_crowd(placed, crowd)
-    left = few.select("anchor", F.col("node").alias("a"), F.col("print").alias("pa"))
-    right = few.select("anchor", F.col("node").alias("b"), F.col("print").alias("pb"))
-    met = left.join(right, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 8)).select("a", "b")
-    many = many.select("seed", "print", "node").distinct()
-    least = many.groupBy("seed", "print").agg(F.min("node").alias("own"))
-    spokes = many.join(least, ["seed", "print"]).filter("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b"))
-    flips = [0, *np.array([1 << b for b in range(64)], np.uint64).view(np.int64).tolist()]
-    points = least.select("seed", "own", F.col("print"), F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-    points = points.groupBy("seed", F.col("print").bitwiseXOR(F.col("flip")).alias("point")).agg(F.sort_array(F.collect_list("own")).alias("m")).filter(F.size("m") > 1)
-    # consecutive members of a point, at most 65
-    chain = points.select(F.explode(F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("a"), F.slice("m", 2, 65).alias("b"))).alias("e")).select("e.a", "e.b")
-    pairs = met.unionByName(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(chain).distinct()
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * seeds * np.arccos(cosine) / np.pi)
-    one, two = (nodes.select(F.col("node").alias(n), F.col("runs").alias(f"r{n}")) for n in "ab")
-    differ = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    linked = pairs.join(one, "a").join(two, "b").filter(differ <= most).select("a", "b")
-    roots = components(linked)
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.asarray(h.values, np.int64) for h in batch.column("shingles")]
+            tokens, places = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for h in sets:
+                n = len(h) and len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                k = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
+                late = np.where(frequent[k] == h, rank[k], 0) if len(frequent) else np.zeros(len(h), np.int64)
+                tokens.append(h[np.argsort(late, kind="stable")[: min(n, len(h))]])
+                places.append(np.arange(len(tokens[-1]), dtype=np.int32))
+            each = np.repeat(batch.column("node").to_numpy(), list(map(len, tokens[1:])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(each), pa.array(np.concatenate(places))], names=["token", "node", "at"])
+
+    placed = marked.select("node", "shingles").mapInArrow(prefixes, "token long, node long, at int").repartition("token")
+    placed = placed.groupBy("token", "node").agg(F.min("at").alias("at"))
+    shared = placed.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.min(F.struct("at", "node"))["node"].alias("plainest")).filter("c > 1")
+    shared = written(placed.join(shared, "token").join(nodes.drop("first"), "node"), "near-shared")
+
+    cols = ["token", "node", "at", "n", *bits]
+    side = lambda df, x, *more: df.select(*(F.col(c).alias(c if c == "token" else f"{c}_{x}") for c in (*cols, *more)))
+    both = F.col("n_a") + F.col("n_b")
+    overlap = F.lit(similarity / (1 + similarity)) * both - 1e-6
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col(f"{bits[0]}_a").bitwiseXOR(F.col(f"{bits[0]}_b"))))
+    after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    may = (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-6) & (after >= overlap) & (both - differ >= 2 * overlap)
+    ends = lambda df: df.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct(), "near-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s"))
+        one, two = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return written(pairs.join(one, "a").join(two, "b").filter(common >= F.lit(similarity / (1 + similarity)) * (F.size("sa") + F.size("sb")) - 1e-6).select("a", "b"), "near-links")
+
+    few, many = shared.filter(F.col("c") <= crowd), shared.filter(F.col("c") > crowd)
+    met = side(few, "a").join(side(few, "b"), "token").filter((F.col("node_a") < F.col("node_b")) & may)
+    stars = [side(many, "a").join(side(many.filter(F.col("node") == F.col(end)), "b"), "token").filter((F.col("node_a") != F.col("node_b")) & may) for end in ("least", "plainest")]
+    linked = verified(reduce(DataFrame.unionByName, map(ends, (met, *stars))))
+    roots = components(linked).withColumnRenamed("node", "of")
+    many = written(many.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of"), "near-crowds")
+    mixed = many.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    many = many.join(mixed, "token", "left_semi")
+    apart = side(many, "a", "root").join(side(many, "b", "root"), "token").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & may)
+    roots = components(linked.unionByName(verified(ends(apart))))
     named = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     of_root = named.groupBy("root").agg(F.min("first").alias("group_id"))
     return marked.select("doc_id", "node").join(named.join(of_root, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

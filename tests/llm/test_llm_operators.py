@@ -213,6 +213,44 @@ def test_near_copies(spark, texts):
     assert len({got[i] for i in firsts}) == len(firsts)
 
 
+def five_word_sets(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_groups(texts, least=0.8):
+    """The smallest number of each text's group, by all pairs."""
+    sets, group = [five_word_sets(t) for t in texts], np.arange(len(texts))
+    place = {s: k for k, s in enumerate(set().union(*sets))}
+    has = np.zeros((len(texts), len(place)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [place[s] for s in own]] = 1
+    common, sizes = has @ has.T, has.sum(axis=1)
+    for i, j in np.argwhere(common >= least * (sizes[:, None] + sizes - common) - 1e-3):
+        if group[i] != group[j]:
+            group[group == max(group[i], group[j])] = min(group[i], group[j])
+    return group.tolist()
+
+
+def edited(words, edits, draw):
+    out = list(words)
+    for k in draw.choice(len(words), edits, replace=False):
+        out[k] = f"edit{draw.integers(10**9)}"
+    return " ".join(out)
+
+
+def test_near_copies_of_a_large_group(spark):
+    from quarrylight.llm.simhash import near_copies
+
+    draw = np.random.default_rng(3)
+    words = [f"w{n}" for n in range(304)]
+    texts = [" ".join(words)] + [edited(words, int(e), draw) for e in draw.integers(4, 8, 1200)]
+    order = draw.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    got = [r.group_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == brute_groups(texts)
+
+
 def brute_top(vectors, queries, k):
     out = []
     for q in queries:

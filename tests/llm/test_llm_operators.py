@@ -239,6 +239,24 @@ def edited(words, edits, draw):
     return " ".join(out)
 
 
+@pytest.mark.parametrize("crowd", [1, 8])
+def test_near_copies_link_at_the_threshold_and_not_below(spark, crowd):
+    from quarrylight.llm.simhash import near_copies
+
+    draw = np.random.default_rng(7)
+    texts = []
+    for _ in range(12):  # four and five edits of 204 words: pairs on both sides of 0.8
+        words = [f"w{n}" for n in draw.integers(0, 10**6, 204)]
+        texts += [" ".join(words), *(edited(words, e, draw) for e in (3, 4, 4, 5, 6))]
+    # 200 shingles each, of which 22 and 23 differ: 178 / 222 and 177 / 223 in common
+    words = [f"x{n}" for n in range(204)]
+    texts += [" ".join(words), " ".join(words[:182] + [f"y{n}" for n in range(22)]), " ".join([f"z{n}" for n in range(23)] + words[23:])]
+    got = {r.doc_id: r.group_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crowd=crowd).collect()}
+    want = dict(enumerate(brute_groups(texts)))
+    assert got == want and len(set(want.values())) > 12
+    assert got[73] == got[72] and got[74] == 74
+
+
 def test_near_copies_of_a_large_group(spark):
     from quarrylight.llm.simhash import near_copies
 

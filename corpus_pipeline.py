@@ -4,8 +4,9 @@ packing.  Counted as part of the subpackage ``quarrylight.llm``.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``.  All stages but the last return
 the columns of ``documents``; ``n_chars`` follows the text.  Null and empty texts fail
-the first stage; rows that share an id stay or go together; columns of ``docs`` beyond
-those of ``documents`` pass through the first four stages.
+the first stage; each row is judged by its own text, whether its id is null or shared
+with other rows; columns of ``docs`` beyond those of ``documents`` pass through the first
+four stages.
 """
 
 from __future__ import annotations
@@ -39,9 +40,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    surplus = near_copies(docs).filter("doc_id <> group_id").select("doc_id").distinct()
-    return docs.join(written(surplus, "surplus"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: the one with the smallest id, null last, and
+    of several such the one with the least hash; of rows equal in all columns, any."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    keyed = docs.withColumn("_row", key)
+    found = written(near_copies(keyed, id_col="_row").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n")), "near-rows")
+    kept = F.col("doc_id") == F.col("group_id")
+    others = found.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("_row"))
+    repeated = found.filter(kept & (F.col("n") > 1)).select(F.col("doc_id").alias("_row"))
+    once = keyed.join(others, "_row", "left_anti")
+    return once.unionByName(keyed.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

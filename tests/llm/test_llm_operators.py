@@ -537,6 +537,15 @@ def test_pipeline_stages(spark, docs):
     assert set(counts) == set(range(len(ODD))) and math.isfinite(sum(counts.values()))
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{n}" for n in range(60)) for x in "ab")
+    found = [(None, a, "en", "s", 1), (None, a, "en", "t", 1), (None, b, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "en", "s", 1), (7, "quite another text", "en", "s", 1), (8, b + " more", "en", "s", 1)]
+    kept = rows(dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, spark.createDataFrame(found, DOCS), SF), "doc_id", "text")
+    assert kept == [(7, b), (7, "quite another text"), (None, a)]
+
+
 def test_oracles(spark):
     from pathlib import Path
 

@@ -240,9 +240,10 @@ THREAD_LONGEST = "SELECT conv_id, arg_max(text, length(text) * 1000000 - turn) A
 
 
 def thread_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that turns mention: the turn's first word before a head term."""
+    """Names that turns mention, each turn a post or reply of its own: the turn's first
+    word before a head term."""
     named = F.concat(F.lit("anyone joining the "), F.regexp_extract("text", r"^(\p{L}+)", 1), F.lit(" hackathon 2026? "), F.col("text"))
-    posts = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").cast("string").alias("source_url"), F.lit("group").alias("platform"), named.alias("body"), F.lit("question").alias("kind"))
+    posts = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("source_url"), F.lit("group").alias("platform"), named.alias("body"), F.lit("question").alias("kind"))
     found = mentions(posts)
     return found.groupBy("lead_key").agg(F.min("normalized_name").alias("normalized_name"), F.min("query").alias("query"), F.count("*").alias("sightings"))
 

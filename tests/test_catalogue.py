@@ -46,6 +46,23 @@ def test_others_run(spark, name):
     assert df.count() >= 0
 
 
+def test_thread_leads_count_every_turn(spark, duck):
+    import re
+    from collections import Counter
+
+    from quarrylight.operators.leads import competition_name
+
+    want = Counter()
+    for (text,) in duck.sql("SELECT text FROM conversations").fetchall():
+        first = re.match(r"[^\W\d_]+", text)
+        found = competition_name(f"anyone joining the {first.group() if first else ''} hackathon 2026? {text}")
+        if found:
+            want[found[1], found[2]] += 1
+    got = QUERIES["thread_leads"](spark, SF).collect()
+    assert sum(r.sightings for r in got) == sum(want.values()) > duck.sql("SELECT count(*) FROM conversations WHERE turn = 0").fetchall()[0][0]
+    assert sorted(r.sightings for r in got) == sorted(want.values())
+
+
 def test_no_plan_compares_all_with_all(spark):
     for name in ("doc_leaders", "order_two_keys", "page_host_authority", "event_upsert"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

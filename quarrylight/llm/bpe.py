@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import ship_package
 
-#: Chunks that a worker remembers, twice (a young and an old generation).
-REMEMBERED = 1 << 19
+#: Chunks that a worker remembers, twice (a young and an old generation), and the
+#: length up to which it remembers one: what it holds is bounded in bytes.
+REMEMBERED, LONGEST = 1 << 19, 48
 #: White space of the tokenizer's patterns. str.split() also cuts at 1C to 1F.
 _GAPS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_GAPS = re.compile(r"[\x1c-\x1f]")
@@ -47,13 +48,16 @@ def byte_alphabet() -> list[str]:
 
 
 class Memory(dict):
-    """chunk -> value, computed when first asked for; bounded by two generations."""
+    """chunk -> value, computed when first asked for; bounded by two generations of
+    chunks of bounded length."""
 
     def __init__(self, compute, limit: int = REMEMBERED):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.compute(key)
         value = self.old.get(key) or self.compute(key)
         if len(self) >= self.limit:
             self.old = dict(self)

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +41,27 @@ GROUP, FINEST, SLACK = 128, 512, 10
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Deal the indices of ``sizes`` into ``windows`` nearly equal lists."""
-    flat = [0] * (windows - 1)
-    none: list[list[int]] = [[] for _ in flat]
-    # (imbalance, tie-break, sums from large to small less their least, members)
-    heap = [(-s, i, np.array([s, *flat]), [[i], *none]) for i, s in enumerate(sizes)]
+    """Deal the indices of ``sizes`` into ``windows`` nearly equal lists.
+
+    A partial partition is its windows that hold something, from full to empty."""
+    fullest = itemgetter(0)
+    # (imbalance, tie-break, windows as (sum, members))
+    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     count = len(heap)
     while len(heap) > 1:
-        _, _, a, members = heapq.heappop(heap)
-        _, _, b, others = heapq.heappop(heap)
-        sums = a + b[::-1]
-        members = list(map(list.__add__, members, reversed(others)))
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        # the fullest of a meet the empty windows of b; what is left meets b's emptiest
+        alone = min(len(a), windows - len(b))
+        free = len(b) - (len(a) - alone)
+        both = [(x + y, own + other) for (x, own), (y, other) in zip(a[alone:], reversed(b[free:]), strict=True)]
+        merged = a[:alone] + b[:free] + both
+        merged.sort(key=fullest, reverse=True)
         count += 1
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), count, sums - sums[-1], [members[k] for k in order.tolist()]))
-    return heap[0][3] if heap else [[] for _ in range(windows)]
+        heapq.heappush(heap, ((merged[-1][0] if len(merged) == windows else 0) - merged[0][0], count, merged))
+    packed = [members for _, members in heap[0][2]] if heap else []
+    return packed + [[] for _ in range(windows - len(packed))]
 
 
 def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -68,15 +74,17 @@ def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, finest: int = FINEST, slack: int = SLACK) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, finest: int = FINEST, slack: int = SLACK, checksum: bool = False) -> DataFrame:
     """-> a row per piece: id, ``start``, ``length``, ``ids`` (binary, little-endian
-    unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
+    unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.  With ``checksum`` their
+    CRC-32 (``ids_crc32``, long) stands in for the ids, which then never leave the worker."""
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     longs = ("doc_tokens", "sequence_id", "offset")
-    schema = T.StructType([source.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in longs)])
+    schema = T.StructType([source.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()) if checksum else T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in longs)])
     finest, slack = min(finest, capacity), min(slack, capacity // 8)
     end = np.array([end_id], "<u4").tobytes()
+    given = crc32 if checksum else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
@@ -95,19 +103,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end
             for window in pack_sizes([p[2] for p in pieces], capacity):
                 offset = 0
                 for i in window:
-                    out.append((*pieces[i], sequence, offset))
-                    offset += pieces[i][2]
+                    doc_id, start, length, ids, total = pieces[i]
+                    out.append((doc_id, start, length, given(ids), total, sequence, offset))
+                    offset += length
                 sequence += 1
 
         types: list[pa.DataType] = []
         for rows in batches:
-            types = [rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            types = [rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64() if checksum else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
                 ids = own.encode(text.as_py() or "") + end
                 total = len(ids) // 4
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):
-                    out.append((doc_id, start, capacity, ids[4 * start : 4 * (start + capacity)], total, sequence, 0))
+                    out.append((doc_id, start, capacity, given(ids[4 * start : 4 * (start + capacity)]), total, sequence, 0))
                     sequence += 1
                 for start in range(whole, total, finest):
                     length = min(finest, total - start)

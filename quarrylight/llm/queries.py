@@ -68,8 +68,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op4_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), checksum=True)
 
 
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

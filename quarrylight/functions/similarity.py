@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight.shipping import ship_package
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word a character."""
@@ -40,10 +42,20 @@ def set_ratio(a: str, b: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
-def content_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _content_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+def title_ratio(a, b):
+    ship_package()
+    return _title_ratio(a, b)
+
+
+def content_ratio(a, b):
+    ship_package()
+    return _content_ratio(a, b)

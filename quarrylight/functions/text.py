@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight import rules
+from quarrylight.shipping import ship_package
 
 
 @F.pandas_udf(T.StringType())
@@ -22,6 +23,7 @@ def fold_text(value: Column) -> Column:
     """Compatibility composition, case and punctuation kept; null gives ''.
 
     The only text function without a built-in; apply it once, at the source."""
+    ship_package()
     return _nfkc(value)
 
 
@@ -121,7 +123,7 @@ def summarise(value: Column, limit: int = 240) -> Column:
         full = state["full"] | (F.char_length(joined) > limit)
         return F.struct(F.when(full, state["text"]).otherwise(joined).alias("text"), full.alias("full"))
 
-    return F.aggregate(F.filter(F.transform(sentences(value), F.trim), prose), start, add, lambda s: s["text"])
+    return F.aggregate(F.filter(F.transform(sentences(value), lambda s: F.trim(s)), prose), start, add, lambda s: s["text"])
 
 
 def lead_key(name: Column, hint: Column) -> Column:

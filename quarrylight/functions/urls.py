@@ -6,12 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight import rules
 from quarrylight.functions.text import contains_any
+from quarrylight.shipping import ship_package
 
 #: scheme, host, port, path, query
-PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -88,7 +90,8 @@ def suffixes(host: Column) -> Column:
 
 
 def authority(host: Column, domains: dict[str, int] | None = None) -> Column:
-    """Trust in a host from 0 to 100: configured domains in order, then kinds of host."""
+    """Trust in a host from 0 to 100: configured domains (organizers' among them) in
+    order, then kinds of host."""
     chain = F.when(F.lit(False), F.lit(0))
     for domain, trust in (domains or {}).items():
         chain = chain.when((host == domain) | host.endswith(f".{domain}"), F.lit(trust))
@@ -137,16 +140,59 @@ def choose_urls(requested: Column, final: Column, declared: Column, links: Colum
     return F.coalesce(F.get(usable, 0), own), F.get(registers, 0)
 
 
+#: First address and prefix length of the special IPv4 blocks.
+SPECIAL_IPV4 = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3),
+)
+
+
 def is_public_url(url: Column) -> Column:
-    """A web address without credentials whose host is no private or special IPv4
-    literal (names are not resolved here)."""
-    host, scheme = host_of(url), F.lower(_part(url, 1))
-    octet = [F.regexp_extract(host, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i).try_cast("int") for i in (1, 2, 3, 4)]
-    a, b, c, d = octet
-    private = (a == 10) | (a == 127) | (a == 0) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b.isin(18, 19) | ((b == 51) & (c == 100)))) | ((a == 203) & (b == 0) & (c == 113))
-    wrong = (a > 255) | (b > 255) | (c > 255) | (d > 255)
+    """A web address without credentials whose host is a name, or a public address.
+
+    Names are not resolved here; the local host's name isn't public.  IPv4 addresses
+    may be dotted or one number, with or without a last dot; other spellings of numbers
+    (hexadecimal, fewer than four parts) are refused.  IPv6 addresses are public in the
+    global unicast range 2000::/3 without its documentation and tunnel blocks."""
+    host, scheme = F.regexp_replace(host_of(url), r"\.$", ""), F.lower(_part(url, 1))
+    octets = [F.regexp_extract(host, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i).try_cast("long") for i in (1, 2, 3, 4)]
+    dotted = F.when(reduce(Column.__and__, (o <= 255 for o in octets)), octets[0] * 2**24 + octets[1] * 2**16 + octets[2] * 2**8 + octets[3])
+    number = F.coalesce(dotted, F.when(host.rlike("^[0-9]{1,10}$"), host.try_cast("long")))
+    blocks = []
+    for first, length in SPECIAL_IPV4:
+        low = reduce(lambda n, part: n * 256 + int(part), first.split("."), 0)
+        blocks.append(number.between(low, low + 2 ** (32 - length) - 1))
+    numeric = host.rlike(r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+))*$")
+    v4 = number.isNotNull() & (number < 2**32) & ~reduce(Column.__or__, blocks)
+    v6 = host.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:.]*\]$") & ~host.rlike(r"^\[(?:2001:0?db8:|2001:0{0,4}:|2002:)")
+    named = ~host.startswith("[") & ~numeric & (host != "") & (host != "localhost") & ~host.endswith(".localhost")
     signed = F.trim(url).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#@]*@")
-    return scheme.isin("http", "https") & (host != "") & (host != "localhost") & ~signed & ~F.coalesce(private | wrong, F.lit(False))
+    return F.coalesce(scheme.isin("http", "https") & ~signed & (named | F.coalesce(v4, F.lit(False)) | v6), F.lit(False))
+
+
+def displayable_image(url: Column, domains: dict[str, int] | None = None) -> Column:
+    """The image's address if its link is trusted enough to show, else null."""
+    return F.when(link_trust(url, domains) == "CLICKABLE", url)
+
+
+@F.pandas_udf(T.StringType())
+def _ascii_host(hosts):
+    return hosts.map(_encoded_host)
+
+
+def _encoded_host(host: str | None) -> str | None:
+    try:
+        return host if not host or host.isascii() else host.encode("idna").decode("ascii")
+    except UnicodeError:
+        return host
+
+
+def ascii_url(url: Column) -> Column:
+    """The address with an international host in its ASCII spelling; like folding of
+    text, applied once at the source (encoding a host has no built-in)."""
+    ship_package()
+    host = _part(F.coalesce(url, F.lit("")), 2)
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.replace(url, host, _ascii_host(host))).otherwise(url)
 
 
 def with_policy(rows: DataFrame, host: str, policies: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def extract_eligibility(text: Column) -> Column:
     allowed = F.when(contains_any(lowered, rules.EXCLUDES_TERMS), False).when(contains_any(lowered, rules.ALLOWS_TERMS), True)
     student = contains_any(lowered, rules.STUDENT_TERMS)
     only = student & contains_any(lowered, rules.STUDENT_ONLY_TERMS)
-    told = F.array_join(F.transform(F.filter(sentences(text), lambda s: contains_any(F.lower(s), rules.ELIGIBILITY_MARKERS)), F.trim), " ")
+    told = F.array_join(F.transform(F.filter(sentences(text), lambda s: contains_any(F.lower(s), rules.ELIGIBILITY_MARKERS)), lambda s: F.trim(s)), " ")
     true_or_null = lambda c: F.when(c, True)
     return F.struct(
         F.nullif(F.substring(told, 1, 1000), F.lit("")).alias("text"),
@@ -108,16 +108,18 @@ def extract_facts(docs: DataFrame, as_of: Column) -> DataFrame:
     start = F.col("_event_start")
     month = F.when(dates.trustworthy(start), F.month(start["value"]))
     year = F.year(start["value"])
+    # no text labels an end or a prize that can be trusted: models fill these in
+    nowhere = F.lit(None).cast(df.schema["_event_start"].dataType)
     description = F.substring(F.coalesce("text", F.lit("")), 1, 4000)
     series = F.concat(F.col("_org"), F.lit(":"), F.trim(F.regexp_replace("_norm", r"\b20[0-9]{2}\b", "")))
     facts = F.struct(
         F.nullif("title", F.lit("")).alias("title"), F.col("_norm").alias("normalized_title"), F.col("_category").alias("category"), "organizer",
         F.col("_org").alias("organizer_normalized"), description.alias("description"), F.col("_registration_open_date").alias("registration_open_date"),
-        F.col("_registration_deadline").alias("registration_deadline"), start.alias("event_start"), F.col("_location").alias("location"),
+        F.col("_registration_deadline").alias("registration_deadline"), start.alias("event_start"), nowhere.alias("event_end"), F.col("_location").alias("location"),
         F.col("_eligibility").alias("eligibility"), normalize_url(F.col("url")).alias("canonical_url"), F.col("_registration").alias("registration_url"),
-        F.col("_kind").alias("document_kind"), F.filter(F.array(*map(F.lit, rules.TOPICS)), lambda t: F.array_contains("_words", t)).alias("topics"),
+        F.lit(None).cast("string").alias("prize_information"), F.col("_kind").alias("document_kind"), F.filter(F.array(*map(F.lit, rules.TOPICS)), lambda t: F.array_contains("_words", t)).alias("topics"),
         edition_key(F.col("_norm"), year, month).alias("edition_key"), edition_year(F.col("_norm"), year).alias("edition_year"), series.alias("series_key"),
-        event_phase(description, start["value"], F.lit(None).cast("timestamp"), F.col("_kind"), as_of).alias("event_phase"),
+        event_phase(description, start["value"], nowhere["value"], F.col("_kind"), as_of).alias("event_phase"),
         registration_state(description, F.col("_registration_deadline"), F.col("_kind"), as_of).alias("registration_state"),
     )
     df = df.withColumn("facts", sealed(facts))
@@ -146,6 +148,31 @@ def escalations(rows: DataFrame, budget: int, order: list[Column], least: float
     return thin.orderBy(*order).limit(budget)
 
 
+#: Confidence of what a model had a part in, at most; kinds from the strongest claim to
+#: act down, a model may only go down.
+MODEL_MOST = 0.83
+
+
+def downgraded(kind: Column, offered: Column, proven: Column) -> Column:
+    """The kind after a model's word: an event may turn out to be none, if its quote is
+    in the text; what is no event never becomes one."""
+    weaker = kind.isin(*rules.EVENT_KINDS) & offered.isin(*rules.NON_ACTIONABLE)
+    return F.when(weaker & proven, offered).otherwise(kind)
+
+
+def unproven(outputs: DataFrame, texts: DataFrame, key: str = "id", corpus: str = "text") -> DataFrame:
+    """Keys whose extraction is rejected: a model (key, field, value, quote) gives a value
+    whose quote is empty or not in the text."""
+    told = outputs.filter(F.coalesce("value", F.lit("")) != "").join(texts.select(key, F.col(corpus).alias("_corpus")), key)
+    quote = F.lower(F.trim(F.coalesce("quote", F.lit(""))))
+    return told.filter((quote == "") | ~F.coalesce(F.lower("_corpus").contains(quote), F.lit(False))).select(key).distinct()
+
+
+def model_confidence(signals: list[Column]) -> Column:
+    """Confidence recomputed after a model filled fields in, at most :data:`MODEL_MOST`."""
+    return F.least(F.lit(MODEL_MOST), confidence(signals))
+
+
 def merge_models(rows: DataFrame, outputs: DataFrame, fields: list[str], key: str = "id", corpus: str = "text") -> DataFrame:
     """Fill missing fields from models' outputs (key, tier, field, value, quote), lower
     tiers first; a value counts only if its quote is in the text.  What was read

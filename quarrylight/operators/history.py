@@ -55,10 +55,11 @@ def change_columns(before: str, after: str) -> Column:
         ("REGISTRATION_CLOSED", False, becomes("registration_state", "CLOSED")),
         ("DEADLINE_EXTENDED", True, F.coalesce(a(deadline) > b(deadline), F.lit(False))),
         ("DEADLINE_CHANGED", True, F.coalesce(a(deadline) < b(deadline), F.lit(False))),
-        ("DATES_CHANGED", True, moved("event_start.value")),
+        ("DATES_CHANGED", True, moved("event_start.value") | moved("event_end.value")),
         ("LOCATION_CHANGED", True, differs("location.city")),
         ("VENUE_CHANGED", True, differs("location.venue")),
         ("ELIGIBILITY_CHANGED", True, F.exists(F.array(*(differs(f"eligibility.{r}") for r in rules.ELIGIBILITY_RULES)), lambda x: x)),
+        ("PRIZE_CHANGED", False, differs("prize_information")),
         ("EVENT_CANCELLED", True, becomes("event_phase", "CANCELLED")),
         ("EVENT_POSTPONED", True, becomes("event_phase", "POSTPONED")),
     ]
@@ -98,8 +99,57 @@ def last_judged(trace: Column) -> Column:
 def smoothed(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
     """Exponentially weighted mean of each key's values in order; the first starts it.
 
-    A key's values are folded in one array: for keys with bounded histories."""
-    series = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s"))
-    start = F.get("s", 0)[value].cast("double")
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), start, lambda m, x: (1 - weight) * m + weight * x[value])
-    return series.select(key, fold.alias("smoothed"))
+    The mean is a weighted sum by the place from the end, so ranks and a sum do; no
+    history is gathered in memory, however long."""
+    back = Window.partitionBy(key).orderBy(F.desc(order))
+    ranked = rows.select(key, F.col(value).cast("double").alias("_v"), F.row_number().over(back).alias("_r"), F.lead(order).over(back).isNull().alias("_first"))
+    part = F.pow(F.lit(1 - weight), F.col("_r") - 1) * F.when(F.col("_first"), 1.0).otherwise(weight)
+    return ranked.groupBy(key).agg(F.sum(F.col("_v") * part).alias("smoothed"))
+
+
+def failures_in_a_row(rows: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
+    """How many of a key's latest rows failed without a success after them."""
+    marked = rows.select(key, F.col(order).alias("_o"), failed.alias("_f"))
+    last = marked.groupBy(key).agg(F.max(F.when(~F.col("_f"), F.col("_o"))).alias("_ok"))
+    return marked.join(last, key).groupBy(key).agg(F.sum((F.col("_ok").isNull() | (F.col("_o") > F.col("_ok"))).cast("int")).alias("failures"))
+
+
+def touch(current: DataFrame, seen: DataFrame, key: str, at: str, keep: list[str]) -> DataFrame:
+    """Candidates with sightings merged in: new keys come in with their latest sighting,
+    known ones get the later moment and, of the columns to ``keep``, a new value only
+    where the sighting has one."""
+    newest = latest(seen, [key], [F.desc(at)]).select(key, F.col(at).alias("_at"), *(F.nullif(c, F.lit("")).alias(f"_{c}") for c in keep))
+    both = current.join(newest, key, "full")
+    return both.select(key, F.greatest(at, "_at").alias(at), *(F.coalesce(f"_{c}", c).alias(c) for c in keep), *(c for c in current.columns if c not in (key, at, *keep)))
+
+
+def append_snapshots(held: DataFrame, fetched: DataFrame, key: str, digest: str) -> DataFrame:
+    """Fetched rows to append: those whose content isn't that of the key's newest
+    snapshot (``fetched_at`` orders them)."""
+    newest = latest(held, [key], [F.desc("fetched_at")]).select(key, F.col(digest).alias("_digest"))
+    return fetched.join(newest, key, "left").filter(~F.col(digest).eqNullSafe(F.col("_digest"))).drop("_digest")
+
+
+def created(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New events (id, facts, source_url, at) as rows of three tables: the event, its
+    first version with the digest of its facts, and its canonical source."""
+    events = found.select("id", "facts", F.col("at").alias("created_at"), F.lit("EVENT_CREATED").alias("state"))
+    first = found.select(F.col("id").alias("event_id"), F.lit(1).alias("version"), F.sha2(F.to_json("facts"), 256).alias("digest"), "at")
+    sources = found.select(F.col("id").alias("event_id"), F.col("source_url").alias("url"), F.lit(True).alias("canonical"), F.col("at").alias("last_seen"))
+    return events, first, sources
+
+
+def attach_sources(sources: DataFrame, seen: DataFrame) -> DataFrame:
+    """Sources (event_id, url, canonical, last_seen) with sightings (event_id, url, at):
+    new ones are attached, known ones get the later moment."""
+    newest = seen.groupBy("event_id", "url").agg(F.max("at").alias("_at"))
+    both = sources.join(newest, ["event_id", "url"], "full")
+    return both.select("event_id", "url", F.coalesce("canonical", F.lit(False)).alias("canonical"), F.greatest("last_seen", "_at").alias("last_seen"))
+
+
+def run_totals(steps: DataFrame) -> DataFrame:
+    """Steps of runs (run_id, kind, status, at) as a row a run: when it began and ended,
+    how many steps of each kind it made, and errors."""
+    kinds = ("query", "candidate", "processed", "lead", "lead_search")
+    each = [F.sum((F.col("kind") == k).cast("int")).alias(f"n_{k}") for k in kinds]
+    return steps.groupBy("run_id").agg(F.min("at").alias("started_at"), F.max("at").alias("ended_at"), *each, F.sum((F.col("status") == "FAILED").cast("int")).alias("n_error"))

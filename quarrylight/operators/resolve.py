@@ -67,8 +67,9 @@ def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *,
         found.append(got)
         left = left.join(got.select("id"), "id", "left_anti")
     if by_title:
-        i = _sides(left, "i_").withColumn("block", F.coalesce(F.nullif("i_organizer", F.lit("")), "i_title"))
-        t = s.withColumn("block", F.coalesce(F.nullif("s_organizer", F.lit("")), "s_title"))
+        # an organizer's events, else a series', else those of one title
+        block = lambda side: F.coalesce(*(F.nullif(f"{side}_{c}", F.lit("")) for c in ("organizer", "series_key") if c in stored.columns), F.col(f"{side}_title"))
+        i, t = _sides(left, "i_").withColumn("block", block("i")), s.withColumn("block", block("s"))
         pairs = i.join(t, "block").filter("i_id <> s_id").withColumn("action", compare("i_", "s_")).filter("action <> 'SEPARATE'")
         order = Window.partitionBy("i_id").orderBy(F.col("action") != "MERGE", "s_id")
         ranked = pairs.withColumn("n", F.row_number().over(order)).filter("n = 1")
@@ -84,6 +85,17 @@ def leaders(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.join(first, key, "left").withColumn("leader", F.coalesce("leader", "id"))
 
 
+def edition_leaders(rows: DataFrame, key: str, edition: str, order: list[str]) -> DataFrame:
+    """Each row with the first row of its key and edition (``leader``).  A row without an
+    edition contradicts none, so it follows the first edition of its key.  Two smallest
+    values by aggregation; no key is gathered in one task."""
+    own = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(edition).alias("_edition")).agg(F.min(F.struct(*order, F.col("id").alias("leader"))).alias("f"))
+    named = own.filter("_edition is not null").groupBy("_key").agg(F.min("f").alias("g"))
+    led = own.join(named, "_key", "left").select("_key", "_edition", F.when(F.col("_edition").isNull(), F.coalesce("g.leader", "f.leader")).otherwise(F.col("f.leader")).alias("leader"))
+    joined = rows.join(led, (F.col(key) == F.col("_key")) & F.col(edition).eqNullSafe(F.col("_edition")), "left")
+    return joined.withColumn("leader", F.coalesce("leader", "id")).drop("_key", "_edition")
+
+
 def similar_to_leader(rows: DataFrame, block: str, text: str, least: float = rules.CONTENT_RATIO) -> DataFrame:
     """Rows whose words are those of their block's leader (its smallest id), at least to
     that ratio: id, leader, score.  One comparison a row, however large a block is."""

@@ -16,12 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A temporary folder stands in for it on one machine only; on a cluster it would lose
+    data silently, so there an unset folder is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return (folder or f"file://{tempfile.gettempdir()}/quarrylight-shared").rstrip("/")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the folder that the cluster shares and read them back: the
     next step plans from a table, and lost executors cost a reread."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrylight-shared"
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from quarrylight.functions.text import content_prefix_hash
 from quarrylight.functions.urls import authority, host_of
 from quarrylight.operators.decide import score, verify
 from quarrylight.operators.extract import extract_facts
-from quarrylight.operators.resolve import leaders
+from quarrylight.operators.resolve import edition_leaders
 from quarrylight.plans.common import staged
 
 
@@ -22,8 +22,8 @@ def judged(docs: DataFrame, as_of: Column, domains: dict[str, int] | None = None
 
 def detections(docs: DataFrame, as_of: Column, domains: dict[str, int] | None = None) -> DataFrame:
     """Accepted documents, one for each announcement: of those that open alike, or have
-    one address, the first by (published, id)."""
-    rows = staged(judged(docs, as_of, domains), "judged").filter("accepted").withColumn("prefix", content_prefix_hash(F.concat_ws(" ", "facts.title", "facts.description")))
-    by_text = leaders(rows, "prefix", ["published"]).filter("leader = id").drop("leader")
-    by_url = by_text.withColumn("address", F.col("facts.canonical_url"))
-    return leaders(by_url, "address", ["published"]).filter("leader = id").drop("leader", "address", "prefix")
+    one address, and whose editions don't differ, the first by (published, id)."""
+    rows = staged(judged(docs, as_of, domains), "judged").filter("accepted")
+    rows = rows.withColumns({"prefix": content_prefix_hash(F.concat_ws(" ", "facts.title", "facts.description")), "address": F.col("facts.canonical_url"), "edition": F.col("facts.edition_key")})
+    by_text = edition_leaders(rows, "prefix", "edition", ["published"]).filter("leader = id").drop("leader")
+    return edition_leaders(by_text, "address", "edition", ["published"]).filter("leader = id").drop("leader", "address", "prefix", "edition")

@@ -15,6 +15,7 @@ from quarrylight.operators.decide import authority_points, tier
 from quarrylight.operators.extract import confidence, extract_eligibility, extract_location, merge_fill_only
 from quarrylight.operators.leads import mentions
 from quarrylight.operators.resolve import leaders, similar_to_leader
+from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
 
 #: A rules table whose terms occur in the invented prose of ``documents``.
@@ -230,28 +231,54 @@ WHEN ({_cat} AND ({any_of('x', rules.ACTION_HINTS)} OR regexp_matches(b, '\\b20[
 
 
 def thread_merge_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thread's longest text (the earliest of equals) and its roles in order."""
-    rows = table(spark, sf_dir, "conversations")
-    best = F.max(F.struct(F.char_length("text").alias("n"), (-F.col("turn")).alias("back"), "text"))
-    return rows.groupBy("conv_id").agg(best.alias("b"), F.count("*").alias("turns"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")).select("conv_id", F.col("b.text").alias("text"), "turns", "roles")
+    """A thread's turns as sightings of one post: its longest text (the earliest of
+    equals), the roles in order as addresses, the first author of odd turns."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"), F.min("role").alias("role"))
+    seen = rows.select(F.col("conv_id").alias("id"), F.col("turn").alias("seen"), "text", F.array("role").alias("urls"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("author"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("string").alias("permalink"))
+    return merge_threads(seen).select(F.col("id").alias("conv_id"), "text", F.array_join("urls", ",").alias("roles"), "author")
 
 
-THREAD_LONGEST = "SELECT conv_id, arg_max(text, length(text) * 1000000 - turn) AS text, count(*) AS turns, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM conversations GROUP BY conv_id"
+THREAD_LONGEST = """WITH t AS (SELECT conv_id, turn, min(text) AS text, min(role) AS role FROM conversations GROUP BY conv_id, turn),
+r AS (SELECT conv_id, role, min(turn) AS first_at FROM t GROUP BY conv_id, role), l AS (SELECT conv_id, string_agg(role, ',' ORDER BY first_at) AS roles FROM r GROUP BY conv_id),
+b AS (SELECT conv_id, arg_max(text, length(text) * 1000000 - turn) AS text, arg_min(role, turn) FILTER (WHERE turn % 2 = 1) AS author FROM t GROUP BY conv_id)
+SELECT b.conv_id, text, roles, author FROM b JOIN l ON b.conv_id = l.conv_id"""
+
+
+def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as payloads of nested JSON, read back: posts, remarks, their addresses, and
+    what of them leads off the platform; lines that the platform wrote are gone."""
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("Like\n"), F.col("text"), F.lit("\n3 h\nsee https://out.test/a), https://www.facebook.com/x"))
+    post = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(body.alias("text")).alias("message"), (F.col("conv_id") * 100 + F.col("turn")).alias("post_id"))).alias("edges")).alias("data")))
+    remark = F.to_json(F.struct(F.struct(body.alias("text")).alias("body"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id")))
+    payload = F.concat(F.lit("for (;;);"), F.when(F.col("role") == "user", post).otherwise(remark), F.lit(" broken"))
+    rows = c.select("conv_id", "turn", F.explode(json_records(payload)).alias("r"))
+    links = extract_urls(F.col("r.text"), F.array().cast("array<string>"))
+    return rows.select("conv_id", "turn", F.col("r.kind").alias("kind"), F.col("r.post_id").alias("post_id"), F.col("r.comment_id").alias("comment_id"), F.array_join(outbound(links), ",").alias("links"), F.md5(clean_lines(F.col("r.text"), F.lit(None).cast("string"))).alias("said"))
+
+
+_line = "list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '' AND NOT regexp_matches(replace(lower(l), ' ', ''), '^[0-9]+[smhdwy]$') AND NOT regexp_matches(l, '^[0-9]{1,4}$'))"
+THREAD_RECORDS = f"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'post' ELSE 'comment' END AS kind, CASE WHEN role = 'user' THEN CAST(conv_id * 100 + turn AS VARCHAR) END AS post_id,
+CASE WHEN role <> 'user' THEN 'c' || conv_id END AS comment_id, 'https://out.test/a' AS links, md5(array_to_string(list_append({_line}, 'see https://out.test/a), https://www.facebook.com/x'), chr(10))) AS said FROM conversations"""
 
 
 def thread_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that turns mention, each turn a post or reply of its own: the turn's first
     word before a head term."""
-    named = F.concat(F.lit("anyone joining the "), F.regexp_extract("text", r"^(\p{L}+)", 1), F.lit(" hackathon 2026? "), F.col("text"))
+    named = F.concat(F.lit("anyone joining the "), F.regexp_extract("text", r"^([A-Za-z]+)", 1), F.lit(" hackathon 2026? "), F.col("text"))
     posts = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("source_url"), F.lit("group").alias("platform"), named.alias("body"), F.lit("question").alias("kind"))
     found = mentions(posts)
     return found.groupBy("lead_key").agg(F.min("normalized_name").alias("normalized_name"), F.min("query").alias("query"), F.count("*").alias("sightings"))
 
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_to_leader, order_labelled_dates, thread_classify, thread_merge_longest, thread_leads)}
+_names = ", ".join(repr(w) for w in (*rules.NAME_STOPS, *rules.NAME_WEAK, *sorted({w + e for h in rules.NAME_HEADS for w in h.split() for e in ("", "s")})))
+THREAD_LEADS = f"""WITH n AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM conversations)
+SELECT left(sha256(w || ' hackathon|2026'), 48) AS lead_key, w || ' hackathon' AS normalized_name, w || ' hackathon 2026' AS query, count(*) AS sightings FROM n WHERE w <> '' AND w NOT IN ({_names}) GROUP BY w"""
+
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_to_leader, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,
     "doc_score_tier": DOC_SCORE, "doc_location": DOC_LOCATION, "doc_eligibility": DOC_ELIGIBILITY, "doc_merge_fill_only": DOC_MERGE, "order_labelled_dates": ORDER_DATES,
-    "thread_classify": THREAD_KIND, "thread_merge_longest": THREAD_LONGEST,
+    "thread_classify": THREAD_KIND, "thread_merge_longest": THREAD_LONGEST, "thread_records": THREAD_RECORDS, "thread_leads": THREAD_LEADS,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import dates
 from quarrylight.operators import history, leads, notify, reports
-from quarrylight.plans.common import table
+from quarrylight.plans.common import shared_folder, table
 
 NOW = "2024-02-15 00:00:00"
 
@@ -174,8 +174,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type, appended by a stream of micro-batches."""
     from quarrylight.streaming.seeds import append_new, read
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quarrylight-shared"
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = _events(spark, sf_dir)
     stream = read(spark, sf_dir, source.schema, only="events.parquet")
     first = lambda df: df.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("event_id"))

@@ -166,4 +166,31 @@ JOB_HINTS = (
 TALK_FORMATS = ("hackathon", "hackaton", "case competition", "ideathon", "datathon", "codefest")
 TALK_WORDS = ("conference", "webinar", "summit", "symposium", "convention", "congress", "seminar", "masterclass", "bootcamp", "call for papers", "call for abstracts")
 LEAD_KINDS = ("question", "question_with_link", "teammate", "recap")
+
+# Words that a competition's name ends in, stops at, or can't consist of.
+# longest first
+NAME_HEADS = (
+    "business case competition", "case competition", "case challenge", "pitch competition", "startup competition", "innovation challenge",
+    "hackathon", "hackaton", "ideathon", "datathon", "codefest", "competition", "challenge", "tilt",
+)
+# words that no name reaches across
+NAME_STOPS = (
+    "a", "an", "the", "this", "that", "these", "those", "some", "any", "every", "in", "on", "at", "of", "for", "to", "from", "with", "about", "by",
+    "into", "and", "or", "but", "if", "as", "than", "then", "so", "because", "is", "are", "was", "were", "be", "been", "being", "am", "i", "we",
+    "you", "he", "she", "it", "they", "me", "us", "them", "my", "our", "your", "his", "her", "its", "their", "joining", "join", "joined", "attend",
+    "attending", "attended", "register", "registered", "registering", "participate", "participating", "entering", "looking", "searching", "asking",
+    "know", "knows", "recommend", "planning", "upcoming", "next", "last", "recent", "past", "future", "current", "ongoing", "anyone", "someone",
+    "everyone", "nobody", "who", "what", "when", "where", "why", "how", "which", "there", "here", "still", "also", "just", "only", "not", "no",
+    "yes", "please", "thanks", "hi", "hello", "sa", "ng", "nga", "na", "po", "ba", "may", "meron", "yung", "ang", "mga", "ako", "ka", "siya", "kami",
+    "kayo", "sila", "nila", "niya", "namin", "natin", "ito", "iyon", "yan", "dito", "doon", "kung", "kapag", "para", "pero", "ay", "din", "rin",
+    "lang", "lamang", "daw", "raw", "pala", "kasi", "naman", "hindi", "wala", "mayroon", "pwede", "puwede", "sana", "baka", "tapos", "ano", "sino",
+    "saan", "kailan", "paano", "bakit", "alam", "tanong",
+)
+# words that tell no name from another
+NAME_WEAK = (
+    "national", "nationwide", "international", "global", "regional", "local", "annual", "yearly", "online", "virtual", "onsite", "hybrid", "free",
+    "open", "student", "students", "college", "university", "school", "youth", "junior", "coding", "code", "programming", "tech", "technology", "it",
+    "ai", "data", "big", "great", "good", "best", "first", "second", "third", "new", "another",
+)
+NAME_REACH, HINT_WINDOW = 4, 40
 # fmt: on

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight.shipping import ship_package
+
 LINKS, BLOCKS = 500, 20
 _text, _texts = T.StringType(), T.ArrayType(T.StringType())
 PAGE = T.StructType([T.StructField("title", _text), T.StructField("text", _text), T.StructField("links", _texts), T.StructField("metadata", T.MapType(_text, _text)), T.StructField("json_ld", _texts)])
@@ -57,12 +59,22 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
-def _valid(block: str) -> bool:
+def _loaded(block: str):
     try:
-        json.loads(block)
-    except ValueError:
+        return json.loads(block)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _is_event(value) -> bool:
+    """An object of a type that ends in Event, alone, in a list or in a graph."""
+    if isinstance(value, list):
+        return any(map(_is_event, value))
+    if not isinstance(value, dict):
         return False
-    return True
+    kinds = value.get("@type")
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    return any(str(k).endswith("Event") for k in kinds) or _is_event(value.get("@graph"))
 
 
 def parse(html: str | None, base: str | None) -> tuple:
@@ -71,7 +83,10 @@ def parse(html: str | None, base: str | None) -> tuple:
     page.close()
     lines = (" ".join(line.split()) for line in "".join(page.text).split("\n"))
     links = dict.fromkeys(u for h in page.hrefs if (u := _joined(base, h)).lower().startswith(("http://", "https://")))
-    blocks = [b for b in page.blocks if _valid(b)][:BLOCKS]
+    read = [(b, v) for b in page.blocks if (v := _loaded(b)) is not None]
+    if event := next((b for b, v in read if _is_event(v)), None):
+        page.meta["event_json_ld"] = event
+    blocks = [b for b, _ in read][:BLOCKS]
     return " ".join("".join(page.title).split()) or None, "\n".join(filter(None, lines)), list(links)[:LINKS], page.meta, blocks
 
 
@@ -82,9 +97,15 @@ def _joined(base: str | None, href: str) -> str:
         return ""
 
 
+def parse_html(html: Column, base: Column) -> Column:
+    """Everything that a page's markup says, in one pass; an event among its JSON-LD
+    blocks is ``event_json_ld`` of the metadata."""
+    ship_package()
+    return _parse_html(html, base)
+
+
 @F.pandas_udf(PAGE)
-def parse_html(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """Everything that a page's markup says, in one pass."""
+def _parse_html(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h, b) for h, b in zip(html, base, strict=True)], columns=["title", "text", "links", "metadata", "json_ld"])
 
 
@@ -110,3 +131,9 @@ def failure_of(status: Column) -> Column:
 
 def content_hash(body: Column) -> Column:
     return F.sha2(body, 256)
+
+
+def social_image(metadata: Column) -> Column:
+    """The first web address among the image members of a page's metadata."""
+    named = F.array(*(metadata[k] for k in ("og:image", "og:image:secure_url", "twitter:image", "twitter:image:src")))
+    return F.get(F.filter(named, lambda u: F.coalesce(F.lower(u).rlike("^https?://"), F.lit(False))), 0)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrylight import rules
+from quarrylight.shipping import ship_package
 
 
 def read(spark: SparkSession, folder: str, schema, format: str = "parquet", files: int = 16, only: str = "*") -> DataFrame:
@@ -48,6 +49,7 @@ def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str,
 def debounced(stream: DataFrame, key: str, at: str, minutes: int = rules.DEBOUNCE_MINUTES) -> DataFrame:
     """Key and moment of changes that no other change of the key came before within the
     minutes; the state of a key is one moment and ends when it no longer matters."""
+    ship_package(stream.sparkSession)
     gap = minutes * 60
 
     def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -127,16 +127,16 @@ def test_similar_to_the_leader(spark):
     assert rows(resolve.similar_to_leader(df, "b", "t"), "id", "leader", "score") == [(2, 1, 100.0)]
 
 
-FACTS = "registration_state:string,registration_deadline:struct<value:timestamp>,event_start:struct<value:timestamp>,location:struct<city:string,venue:string>,eligibility:struct<student_only:boolean,university_students_allowed:boolean,professionals_allowed:boolean,philippines_allowed:boolean>,event_phase:string"
+FACTS = "registration_state:string,registration_deadline:struct<value:timestamp>,event_start:struct<value:timestamp>,location:struct<city:string,venue:string>,eligibility:struct<student_only:boolean,university_students_allowed:boolean,professionals_allowed:boolean,philippines_allowed:boolean>,event_phase:string,event_end:struct<value:timestamp>,prize_information:string"
 
 
 def test_changes(spark):
     d = lambda *x: (dt.datetime(2026, *x),)
-    before = ("UNKNOWN", d(5, 1), d(6, 1), ("A", None), (None,) * 4, "UPCOMING")
-    after = ("OPEN", d(5, 9), (None,), ("A", "hall"), (True, None, None, None), "CANCELLED")
+    before = ("UNKNOWN", d(5, 1), d(6, 1), ("A", None), (None,) * 4, "UPCOMING", d(6, 2), None)
+    after = ("OPEN", d(5, 9), (None,), ("A", "hall"), (True, None, None, None), "CANCELLED", d(6, 3), "a cup")
     df = spark.createDataFrame([(before, after), (before, before)], f"b struct<{FACTS}>, a struct<{FACTS}>")
     got = [[c.change for c in r[0]] for r in df.select(history.change_columns("b", "a")).collect()]
-    assert got == [["REGISTRATION_OPENED", "DEADLINE_EXTENDED", "VENUE_CHANGED", "ELIGIBILITY_CHANGED", "EVENT_CANCELLED"], []]
+    assert got == [["REGISTRATION_OPENED", "DEADLINE_EXTENDED", "DATES_CHANGED", "VENUE_CHANGED", "ELIGIBILITY_CHANGED", "PRIZE_CHANGED", "EVENT_CANCELLED"], []]
 
 
 def test_retention_keeps_the_newest_of_each_key(spark):
@@ -165,8 +165,38 @@ def test_override_with_null(spark):
         (None, None),
     ],
 )
-def test_competition_names(body, want):
-    assert leads.competition_name(body) == want
+def test_competition_names(spark, body, want):
+    got = spark.createDataFrame([(body,)], "b string").select(leads.competition_name(F.col("b")).alias("n")).first().n
+    assert (tuple(got) if got and got.name else None) == want
+
+
+def test_organizers_words_dont_stop_a_name(spark):
+    row = spark.createDataFrame([("the may hackathon, others",)], "b string")
+    assert row.select(leads.competition_name(F.col("b"))).first()[0] is None or row.select(leads.competition_name(F.col("b"))["name"]).first()[0] is None
+    assert row.select(leads.competition_name(F.col("b"), ("may",))["name"]).first()[0] == "may hackathon"
+
+
+def test_editions_of_one_address_stay_apart(spark):
+    data = [("a", "u", "2026-03", 1), ("b", "u", "2026-09", 2), ("c", "u", "2026-03", 3), ("d", "u", None, 4), ("e", "v", None, 1), ("f", None, "2026", 1)]
+    df = spark.createDataFrame(data, "id string, url string, edition string, at int")
+    assert rows(resolve.edition_leaders(df, "url", "edition", ["at"]), "id", "leader") == [("a", "a"), ("b", "b"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "f")]
+
+
+def test_models_only_lower_a_kind_and_need_proof(spark):
+    from quarrylight.operators.extract import downgraded, model_confidence, unproven
+
+    df = spark.createDataFrame([("REGISTRATION_OPEN", "WEBINAR", True), ("REGISTRATION_OPEN", "WEBINAR", False), ("WEBINAR", "REGISTRATION_OPEN", True)], "k string, o string, p boolean")
+    assert [r[0] for r in df.select(downgraded(F.col("k"), F.col("o"), F.col("p"))).collect()] == ["WEBINAR", "REGISTRATION_OPEN", "WEBINAR"]
+    texts = spark.createDataFrame([(1, "The prize is a cup"), (2, "nothing"), (3, None)], "id int, text string")
+    told = spark.createDataFrame([(1, "prize", "cup", "a CUP"), (2, "prize", "cup", "a cup"), (2, "title", None, ""), (3, "title", "x", "x")], "id int, field string, value string, quote string")
+    assert rows(unproven(told, texts), "id") == [(2,), (3,)]
+    assert spark.range(1).select(model_confidence([F.lit(True)] * 6)).first()[0] == 0.83
+
+
+def test_state_writers(spark):
+    found = spark.createDataFrame([("e", ("t",), "u", 5)], "id string, facts struct<title:string>, source_url string, at int")
+    events, first, sources = history.created(found)
+    assert rows(events, "id", "state") == [("e", "EVENT_CREATED")] and rows(first, "event_id", "version") == [("e", 1)] and rows(sources, "url", "canonical") == [("u", True)]
 
 
 def test_leads_are_counted_and_due(spark):
@@ -215,11 +245,14 @@ def test_thread_records_and_merging(spark):
     from quarrylight.sources import threads
 
     payload = 'for (;;);{"a":[{"message":{"text":"A call for entries"},"post_id":12345,"url":"https://x.test/1"}]} {"body":{"text":"a comment of some length"},"id":"c1"} broken'
-    got = threads.records(payload)
+    df = spark.createDataFrame([(payload,), (None,), ("[" * 2000,)], "p string")
+    got = [r.r for r in df.select(F.explode(threads.json_records(F.col("p"))).alias("r")).collect()]
     assert [(r["kind"], r["post_id"], r["comment_id"]) for r in got] == [("post", "12345", None), ("comment", None, "c1")]
-    assert threads.records(None) == [] and threads.records("[" * 2000) == []
-    df = spark.createDataFrame([(payload,), (None,)], "p string")
-    assert df.select(F.explode(threads.json_records("p"))).count() == 2
+    said = spark.createDataFrame([("p", 1, "c", "ann", "Like\na long remark"), ("p", 2, "c", "bob", "another remark"), ("p", 3, None, "eve", "short"), ("p", 4, None, "eve", "no id but long")], "post string, at int, id string, author string, text string")
+    assert rows(threads.dom_comments(said), "at", "text") == [(1, "a long remark"), (4, "no id but long")]
+    keys = spark.createDataFrame([("https://x.test/groups/1/posts/77/",), ("https://x.test/story.php?story_fbid=5&id=1",), ("/r/a/comments/t9/x",), ("https://x.test/",)], "u string")
+    assert [r[0] for r in keys.select(threads.post_key(F.col("u"))).collect()] == ["77", "5", "t9", None]
+    assert keys.filter(threads.matches_terms(F.col("u"), F.lit(None), ("STORY".lower(),))).count() == 1
     row = spark.createDataFrame([("see https://a.test/x). and https://l.facebook.com/l.php?u=https%3A%2F%2Fb.test%2Fy", ["https://a.test/x", None, "https://www.facebook.com/events/5"], "Ann\n3 h\nLike\nHello there\n12", "ann")], "t string, h array<string>, b string, a string")
     urls = threads.extract_urls(F.col("t"), F.col("h"))
     r = row.select(urls.alias("u"), threads.outbound(urls).alias("o"), threads.clean_lines(F.col("b"), F.col("a")).alias("c")).first()

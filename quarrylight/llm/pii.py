@@ -22,8 +22,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ HINT = re.compile(r"[0-9@]")
 #: Proposals: (kind, pattern), each anchored at a digit or found around one.
 DIGITS = re.compile(r"[0-9]+(?:[\x20().-]{1,2}[0-9]+)*")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
+#: An account number as it is printed, in groups of four.
+GROUPED = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){3,7}(?:\x20[A-Z0-9]{1,3})?\b")
 CONTEXT = {
     "secret": ("token", "secret", "key", "passw", "bearer", "credential"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
@@ -83,12 +86,18 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _octet(part: str) -> bool:
+    """At most 255, however many zeros lead."""
+    own = part.lstrip("0")
+    return len(own) < 3 or (len(own) == 3 and own <= "255")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the four base kinds, by kind and start."""
     if not HINT.search(text):
         return []
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(_octet(p) for p in m.group().split("."))]
     for kind, pattern, least, most in (("card", CARD, 16, 19), ("phone", PHONE, 8, 15)):
         for m in pattern.finditer(text):
             digits = "".join(c for c in m.group() if c in "0123456789")
@@ -121,10 +130,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         lead = len(body) - len(body.lstrip("=-_/+"))
         body = body.strip("=-_/+")
         a += lead
-        if 16 <= len(body) <= 512:
+        if len(body) >= 16:
             out.add(("secret", a, a + len(body)))
         if 15 <= len(body) <= 34 and body[:2].isalpha():
             out.add(("iban", a, a + len(body)))
+    out.update(("iban", *m.span()) for m in GROUPED.finditer(text))
     return sorted(out)
 
 
@@ -140,7 +150,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     before, after = text[max(0, start - 28) : start], text[end : end + 2]
     told = before.casefold()
     touches = (before[-1:].isalnum() or before[-1:] in ("$", "#", "%", "_", "/")) or after[:1].isalnum() or after[:1] in ("%", "_", "/")
-    iban = body[:2].isalpha() and body[:2].isupper() and body[2:4].isdigit() and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1 if body.isascii() and body.isalnum() else False
+    number = body.replace(" ", "")
+    iban = kind == "iban" and number.isascii() and number.isalnum() and number[:2].isalpha() and number[:2].isupper() and number[2:4].isdigit() and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
     return [
         float(KINDS.index(kind)), len(body), len(digits), letters, len(digits) / max(1, len(body)), entropy, float(len(groups)),
         float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)), switches / max(1, len(body)),
@@ -185,7 +196,8 @@ def examples(n: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
         if r == 3:
             return "card", cue("card"), card(draw.choice((14, 15)), True), True
         if r == 4:
-            return "iban", draw.choice((cue("iban"), words() + " ")), iban(), True
+            number = iban()
+            return "iban", draw.choice((cue("iban"), words() + " ")), draw.choice((number, " ".join(number[i : i + 4] for i in range(0, len(number), 4)))), True
         if r == 5:
             return "national_id", cue("national_id"), f"{digit(3)}-{digit(2)}-{digit(4)}", True
         if r == 6:
@@ -242,32 +254,42 @@ def spans_of(text: str | None, model: BoostedTrees, thresholds: dict[str, float]
     if not text or not HINT.search(text):
         return [], []
     base = base_spans(text)
-    taken = [(a, b) for _, a, b in base]
-    proposed = [c for c in candidates(text) if not any(c[1] < b and a < c[2] for a, b in taken)] if len(taken) < 64 else _clear_of(candidates(text), taken)
+    free = Free((a, b) for _, a, b in base)
+    proposed = [c for c in candidates(text) if free.holds(*c[1:])]
     added: list[tuple[str, int, int]] = []
     if proposed:
-        scores = model.scores(np.array([features(text, *c) for c in proposed]))
+        scores = np.concatenate([model.scores(np.array([features(text, *c) for c in proposed[at : at + 4096]])) for at in range(0, len(proposed), 4096)])
         good = sorted((-s, c) for s, c in zip(scores.tolist(), proposed, strict=True) if s >= thresholds.get(c[0], 1.01))
-        ends: list[tuple[int, int]] = []
+        own = Free()
         for _, c in good:
-            if len(_clear_of([c], ends)):
-                ends.append(c[1:])
+            if own.holds(*c[1:]):
+                own.take(*c[1:])
                 added.append(c)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def _clear_of(spans: list, taken: list[tuple[int, int]]) -> list:
-    """The spans that overlap none of the taken ones."""
-    if not taken:
-        return spans
-    a = np.array(sorted(taken))
-    reach = np.maximum.accumulate(a[:, 1])
-    out = []
-    for s in spans:
-        k = int(np.searchsorted(a[:, 0], s[2]))
-        if not k or reach[k - 1] <= s[1]:
-            out.append(s)
-    return out
+class Free:
+    """What no span has taken yet; taken spans that touch or overlap become one."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def holds(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return not k or self.ends[k - 1] <= a
+
+    def take(self, a: int, b: int) -> None:
+        """A span that the free part holds."""
+        k = bisect_left(self.starts, b)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import table, written
+from quarrylight.llm.common import small, table, written
 from quarrylight.llm.line_dedup import drop_boilerplate
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.pii import redact
@@ -42,14 +42,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, null last, and
     of several such the one with the least hash; of rows equal in all columns, any."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    keyed = docs.withColumn("_row", key)
+    digest = F.xxhash64(*docs.columns)
+    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), digest.alias("hash")))
     found = written(near_copies(keyed, id_col="_row").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n")), "near-rows")
-    kept = F.col("doc_id") == F.col("group_id")
-    others = found.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("_row"))
-    repeated = found.filter(kept & (F.col("n") > 1)).select(F.col("doc_id").alias("_row"))
-    once = keyed.join(others, "_row", "left_anti")
-    return once.unionByName(keyed.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
+    first = F.col("doc_id") == F.col("group_id")
+    surplus = written(found.filter(~first).select(F.col("doc_id.hash").alias("_hash")), "near-surplus")
+    marked = docs.withColumn("_hash", digest)
+    once = marked.join(small(surplus), "_hash", "left_anti")
+    repeated = written(found.filter(first & (F.col("n") > 1)).select(F.col("doc_id.hash").alias("_hash")), "near-repeated")
+    if not repeated.isEmpty():
+        once = once.join(small(repeated), "_hash", "left_anti").unionByName(marked.join(small(repeated), "_hash", "left_semi").dropDuplicates(["_hash"]))
+    return once.select(*docs.columns)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

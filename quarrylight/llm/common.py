@@ -2,39 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.plans.common import shared_folder
+from quarrylight.shipping import ship_package
+
+__all__ = ["ship_package", "shared_folder", "small", "table", "words_of", "written"]
+
 #: The white space that separates words: space, and tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their
-    Python workers can import it wherever they run."""
-    context = spark.sparkContext
-    if getattr(context, "_quarrylight_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(target))
-    context._quarrylight_shipped = True
-
+#: Rows of a few longs up to which a counted table is broadcast (some tens of MB).
+BROADCAST_ROWS = 1 << 21
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is used."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"file://{tempfile.gettempdir()}/quarrylight-shared").rstrip("/")
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, broadcast if it is counted to be small, so
+    that texts aren't shuffled to meet it; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -563,3 +563,72 @@ def test_oracles(spark):
         assert columns == sorted(want.columns)
         at = [want.columns.index(c) for c in columns]
         assert sorted(str([r[c] for c in columns]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_spans_of_extreme_texts():
+    """Long runs of zeros, and many numbers in linear time."""
+    import time
+
+    from quarrylight.llm.pii import Free, base_spans, spans_of, trained
+
+    model, thresholds = trained()
+    assert base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
+    assert base_spans("0" * 5000 + "256.2.3.4 1.2.3.256") == []
+    took = []
+    for n in (2000, 20000):
+        begun = time.time()
+        base, spans = spans_of(" ".join(f"{i % 200}.2.3.4 {10**7 + 7 * i}" for i in range(n)), model, thresholds)
+        took.append(time.time() - begun)
+        assert len(base) == n and len(spans) >= n
+    assert took[1] < 40 * took[0] + 1
+    free = Free([(3, 5), (4, 9), (20, 22)])
+    assert [free.holds(*s) for s in ((0, 3), (0, 4), (8, 10), (9, 20), (21, 30), (22, 30))] == [True, False, False, True, False, True]
+    free.take(9, 20)
+    assert not free.holds(15, 16)
+
+
+def test_grouped_account_numbers():
+    from quarrylight.llm.pii import candidates, features
+
+    text = "pay to DE89 3704 0044 0532 0130 00 now"
+    found = [c for c in candidates(text) if c[0] == "iban"]
+    assert ("iban", 7, 34) in found and features(text, "iban", 7, 34)[14] == 1.0
+
+
+def test_differencing_balances_as_well_as_the_dense_form():
+    from quarrylight.llm.packing import difference
+
+    draw = np.random.default_rng(11)
+    for windows in (1, 2, 5, 16):
+        for n in (0, 1, 3, 40, 200):
+            sizes = draw.integers(1, 513, n).tolist()
+            packed = difference(sizes, windows)
+            assert len(packed) == windows and sorted(i for w in packed for i in w) == list(range(n))
+            if n >= 12 * windows:
+                sums = [sum(sizes[i] for i in w) for w in packed]
+                assert max(sums) - min(sums) <= 32
+
+
+def test_checksums_equal_those_of_the_ids(spark, docs):
+    import zlib
+
+    from quarrylight.llm.packing import pack_documents
+    from quarrylight.llm.queries import tokenizer_path
+
+    few = docs.select("doc_id", "text").limit(40).coalesce(1)
+    ids = {(r.doc_id, r.start): zlib.crc32(r.ids) for r in pack_documents(few, tokenizer_path()).collect()}
+    sums = {(r.doc_id, r.start): r.ids_crc32 for r in pack_documents(few, tokenizer_path(), checksum=True).collect()}
+    assert ids == sums
+
+
+def test_bounds_of_near_copies_never_fail():
+    from quarrylight.llm.simhash import alike, least_difference, packed, parities, shingles_of
+
+    draw = np.random.default_rng(2)
+    for n, m in ((30, 30), (300, 280), (5000, 90), (9000, 9500)):
+        words = [f"w{k}" for k in draw.integers(0, 10**6, n)]
+        a, b = shingles_of(" ".join(words)), shingles_of(" ".join(words[: m // 2] + [f"v{k}" for k in range(m // 2)]))
+        assert least_difference(parities(a), parities(b)) <= len(np.setxor1d(a, b))
+        jaccard = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert alike(packed(a), packed(b), jaccard) and not alike(packed(a), packed(b), jaccard + 0.01)
+    assert len(shingles_of("one two")) == 1 and len(shingles_of(" ")) == 0 and len(shingles_of(None)) == 0

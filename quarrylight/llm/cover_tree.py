@@ -13,7 +13,7 @@ Of rows with equal vectors only the ``k + 1`` with the smallest ids can be in an
 answer (one may be the query itself); the others are left out before the search.
 
 Scores are sums of integers, exact in doubles up to 2**53; larger ones are computed
-with Python integers.
+with Python integers; those beyond the range of a long count as its nearest end.
 
 Defined results: vectors that are null, empty, of another length than most of the
 sample, or that hold a null or a non-finite component take no part; with fewer than
@@ -39,6 +39,7 @@ BLOCK, GROUP, PIVOTS, SAMPLE = 8192, 1024, 32, 2048
 #: Points that a leaf of a tree holds at most, children that a node has at most, and
 #: how much a level shrinks radii if so many children can.
 LEAF, FANOUT, SHRINK = 64, 16, 0.6
+LEAST_LONG = -(2**63)
 
 
 @dataclass
@@ -211,7 +212,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         search = DualTree(_matrix(left["v"]), left["id"].to_numpy(), left["start"].to_numpy(), _matrix(right["v"]), right["id"].to_numpy(), k)
-        found = [(q, i, -s) for q, best in zip(left["id"].tolist(), search.run(), strict=True) for s, i in best]
+        found = [(q, i, max(LEAST_LONG, min(-s, -LEAST_LONG - 1))) for q, best in zip(left["id"].tolist(), search.run(), strict=True) for s, i in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     met = groups.groupBy("g", "b").cogroup(blocks.groupBy("g", "b")).applyInPandas(meet, "query_id long, vec_id long, score long")

@@ -320,7 +320,16 @@ def test_search_of_odd_rows(spark):
     a, b, c, d = [256, 128], [64, -1], [256 * 10**17] * 2, [256 * 10**17, -256 * 10**17]
     small = frame.filter("vec_id < 8")
     assert rows(top_k(small, small.filter("vec_id = 0"))) == [(0, 1, 6, 256 * 64 - 128)]
-    assert top_k(small.limit(0), small).count() == 0 and a and b and c and d
+    assert top_k(small.limit(0), small).count() == 0
+    # the large ones as well: exact integers, ends of the range beyond it
+    held = {0: a, 6: b, 8: [2**63 - 1] * 2, 9: [2**63 - 1, -(2**63)]}
+    assert {r.vec_id: r.v for r in frame.filter("vec_id in (0, 6, 8, 9)").collect()} == held and c[0] > held[8][0] and d[1] < held[9][1]
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q, x in held.items():
+        scored = sorted((-clip(x[0] * y[0] + x[1] * y[1]), i) for i, y in held.items() if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    assert rows(top_k(frame, frame, k=5)) == sorted(want)
 
 
 def slow_statistics(text):
@@ -632,3 +641,31 @@ def test_bounds_of_near_copies_never_fail():
         jaccard = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert alike(packed(a), packed(b), jaccard) and not alike(packed(a), packed(b), jaccard + 0.01)
     assert len(shingles_of("one two")) == 1 and len(shingles_of(" ")) == 0 and len(shingles_of(None)) == 0
+
+
+def test_word_vectors_against_brute_force(spark):
+    """Sums of neighbours' index vectors, unit means, scores of the network."""
+    from quarrylight.llm import classifier as c
+
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" if k % 7 else "A!" for k in draw.integers(0, 40, n)) for n in (0, 1, 2, 3, 30, 200)] + [None, "  "]
+    places, signs = c.index_vectors()
+    slow = np.zeros((c.BUCKETS, c.DIMS), np.int64)
+    for text in texts:
+        own = c.buckets_of(text).tolist()
+        for i, term in enumerate(own):
+            for j in range(max(0, i - c.REACH), min(len(own), i + c.REACH + 1)):
+                if j != i:
+                    for at, sign in zip(places[own[j]], signs[own[j]], strict=True):
+                        slow[term, at] += sign
+    fast = c.Neighbours()
+    for text in texts:
+        fast.add(c.buckets_of(text))
+    fast.flush()
+    assert (fast.sums.reshape(slow.shape) == slow).all() and slow.any()
+    vectors = c.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    length = np.maximum(np.linalg.norm(slow, axis=1, keepdims=True), 1)
+    assert np.allclose(vectors, slow / length, atol=1e-5)
+    own = c.buckets_of(texts[5])
+    mean = sum(vectors[b] for b in own.tolist()) / len(own)
+    assert np.allclose(c.pooled(texts[5], vectors), mean / np.linalg.norm(mean), atol=1e-4) and not c.pooled(None, vectors).any()

@@ -75,9 +75,9 @@ def first_match(value: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -
 
 
 def content_prefix_hash(value: Column) -> Column:
-    """Key of a text's first words; null if it has too few."""
-    start = F.slice(tokens(normalize_text(value)), 1, rules.PREFIX_WORDS)
-    return F.when(F.size(start) >= rules.PREFIX_LEAST, F.substring(F.sha2(F.array_join(start, " "), 256), 1, 32))
+    """Key of a text's first words; null if it has too few.  The text is folded once."""
+    start = sealed(F.slice(tokens(sealed(normalize_text(value))), 1, rules.PREFIX_WORDS))
+    return F.element_at(F.transform(F.array(start), lambda w: F.when(F.size(w) >= rules.PREFIX_LEAST, F.substring(F.sha2(F.array_join(w, " "), 256), 1, 32))), 1)
 
 
 def edition_key(normalized_title: Column, year: Column, month: Column) -> Column:

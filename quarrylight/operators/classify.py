@@ -8,12 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight import rules
+from quarrylight.functions.dates import let
 from quarrylight.functions.text import casefold, contains_any, first_match
 from quarrylight.functions.urls import host_in, host_of, is_news_url
 
 
 def classify_category(text: Column, table=rules.CATEGORY_TERMS, other=rules.OTHER_TERMS) -> Column:
-    lowered = casefold(text)
+    """The first category with a term in the text; the text is folded once."""
+    return let(casefold(text), lambda lowered: _category(lowered, table, other))
+
+
+def _category(lowered: Column, table, other=rules.OTHER_TERMS) -> Column:
     return F.coalesce(first_match(lowered, table), F.when(contains_any(lowered, other), "OTHER_COMPETITION"), F.lit("UNKNOWN"))
 
 
@@ -22,6 +27,10 @@ def classify_document(text: Column, title: Column, url: Column, r=rules) -> Colu
     whole text on a narrow one unless it calls for action."""
     whole = casefold(F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit("\n"), text)).otherwise(text))
     headline = casefold(F.coalesce(F.nullif(title, F.lit("")), F.substring(text, 1, r.HEADLINE_CHARS)))
+    return let(F.struct(whole.alias("whole"), headline.alias("headline")), lambda folded: _kind(folded["whole"], folded["headline"], url, r))
+
+
+def _kind(whole: Column, headline: Column, url: Column, r) -> Column:
     action, headline_action = contains_any(whole, r.ACTION_TERMS), contains_any(headline, r.ACTION_TERMS)
     has = lambda *terms: contains_any(whole, terms)
     return (
@@ -35,7 +44,7 @@ def classify_document(text: Column, title: Column, url: Column, r=rules) -> Colu
         .when(has("conference") & (~has("competition") | has("no competition")) & ~has("hackathon"), "CONFERENCE")
         .when(contains_any(whole, r.JOB_TERMS), "JOB_POSTING")
         .when(action, "REGISTRATION_OPEN")
-        .when(classify_category(whole, r.CATEGORY_TERMS) != "UNKNOWN", "EVENT_ANNOUNCEMENT")
+        .when(_category(whole, r.CATEGORY_TERMS) != "UNKNOWN", "EVENT_ANNOUNCEMENT")
         .otherwise("UNRELATED")
     )
 

@@ -62,7 +62,10 @@ def is_plausibly_relevant(text: Column, strong=rules.COMPETITION_TERMS + rules.C
 
 def detect_country(text: Column, home=rules.PH_TERMS, places=rules.FOREIGN_PLACES, markers=rules.MALAY_MARKERS, least=rules.MALAY_LEAST, marked="MY") -> Column:
     """The home country wins, then the first foreign place, then enough markers."""
-    lowered = casefold(text)
+    return let(casefold(text), lambda lowered: _country(lowered, home, places, markers, least, marked))
+
+
+def _country(lowered: Column, home, places, markers, least: int, marked: str) -> Column:
     hits = reduce(lambda n, m: n + lowered.contains(m).cast("int"), markers, F.lit(0))
     return F.coalesce(F.when(contains_any(lowered, home), "PH"), first_match(lowered, places), F.when(hits >= least, marked))
 

@@ -26,7 +26,11 @@ def combined_text(title: Column, snippet: Column, text: Column) -> Column:
 
 
 def extract_location(text: Column, url: Column) -> Column:
-    lowered = normalize_text(text)
+    """Where it takes place; the text is normalized once."""
+    return dates.let(normalize_text(text), lambda lowered: _location(lowered, url))
+
+
+def _location(lowered: Column, url: Column) -> Column:
     online, hybrid = contains_any(lowered, rules.ONLINE_TERMS), lowered.contains("hybrid")
     city = F.coalesce(*(F.when(lowered.contains(alias), F.lit(name)) for alias, name in rules.CITY_ALIASES))
     home = contains_any(lowered, rules.PH_TERMS) | city.isNotNull() | F.coalesce(host_of(url).endswith(".ph"), F.lit(False))
@@ -37,7 +41,10 @@ def extract_location(text: Column, url: Column) -> Column:
 
 def extract_eligibility(text: Column) -> Column:
     """Three-valued answers: true, false, or null where the text doesn't say."""
-    lowered = normalize_text(text)
+    return dates.let(normalize_text(text), lambda lowered: _eligibility(lowered, text))
+
+
+def _eligibility(lowered: Column, text: Column) -> Column:
     allowed = F.when(contains_any(lowered, rules.EXCLUDES_TERMS), False).when(contains_any(lowered, rules.ALLOWS_TERMS), True)
     student = contains_any(lowered, rules.STUDENT_TERMS)
     only = student & contains_any(lowered, rules.STUDENT_ONLY_TERMS)

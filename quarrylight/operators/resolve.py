@@ -1,21 +1,27 @@
 """Entity resolution: which incoming events are ones that we hold already.
 
-Rungs of equi-joins, each on the rows that the one before left over: a shared URL, a
-shared opening of the text, then similar titles within a block.  Merging is not
+Rungs, each on the rows that the one before left over: a shared URL, a shared opening of
+the text (equi-joins), the words of one of the most recent rows, then similar titles
+within a block.  Merging is not
 transitive (editions and dates veto it), so rows attach to the block's leader and not
 to one another; in a batch the leader is its smallest row by ``order``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight import rules
 from quarrylight.functions import dates
-from quarrylight.functions.similarity import content_ratio, title_ratio
-from quarrylight.functions.text import editions_conflict, normalize_text
+from quarrylight.functions.similarity import Crowd, content_ratio, title_ratio
+from quarrylight.functions.text import editions_conflict, normalize_text, tokens
+from quarrylight.plans.common import staged
+from quarrylight.shipping import ship_package
 
 
 def compatible(a: str, b: str) -> Column:
@@ -55,8 +61,58 @@ def _best(pairs: DataFrame, rung: str) -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("i_id").alias("id"), F.col("s_id").alias("match"), F.lit(rung).alias("rung"), "action")
 
 
-def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *, by_title: bool = True) -> DataFrame:
-    """``keys``: rung -> alternative key columns.  -> id, match, rung, action."""
+def _like_any(shared, least: float):
+    """Arrays of words -> the numbers of the shared (number, words) that are like them."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def like(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers = [n for n, _ in shared.value]
+        crowd = Crowd([other for _, other in shared.value])
+        for batch in batches:
+            yield pd.Series([[numbers[i] for i in crowd.like(frozenset(own), least)] for own in batch], dtype=object)
+
+    return like
+
+
+def similar_recent(incoming: DataFrame, stored: DataFrame, text: str, seen: str, as_of: Column, *, days: int = rules.CONTENT_DAYS, most: int = rules.CONTENT_RECENT, least: float = rules.CONTENT_RATIO, room: int = 1 << 25) -> DataFrame:
+    """Incoming rows with the stored rows whose words are theirs, at least to that ratio:
+    id, match, newness (1: seen last).
+
+    Stored are the ``most`` rows seen last (ties: the smaller id) within ``days`` before
+    ``as_of``: a stated set of at most so many rows, of which every one is compared with
+    every incoming row, so no block can hide a copy that opens otherwise.  Their distinct
+    words go to the workers in parts of about ``room`` characters.  Texts without a word
+    are like none; a row is no match of its own."""
+    spark = incoming.sparkSession
+    ship_package(spark)
+    words = lambda df: F.array_distinct(tokens(normalize_text(F.col(text))))
+    first = stored.filter(F.col(seen).between(as_of - F.make_interval(days=F.lit(days)), as_of)).orderBy(F.desc(seen), "id").limit(most)
+    parts, size = [[]], 0
+    for number, row in enumerate(first.select("id", words(first).alias("words")).toLocalIterator(), 1):
+        length = sum(map(len, row.words))
+        if parts[-1] and size + length > room:
+            parts.append([])
+            size = 0
+        parts[-1].append((number, row.id, frozenset(row.words)))
+        size += length
+    numbers = [(n, key) for part in parts for n, key, _ in part]
+    known = spark.createDataFrame(numbers, T.StructType([T.StructField("newness", T.IntegerType()), T.StructField("match", stored.schema["id"].dataType)]))
+    rows, found = incoming.select("id", words(incoming).alias("words")).filter(F.size("words") > 0), []
+    # a row costs as many comparisons as there are recent rows: few words, much work
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id")
+    for part in filter(None, parts):
+        like = _like_any(spark.sparkContext.broadcast([(n, own) for n, _, own in part]), least)
+        found.append(rows.select("id", F.explode(like("words")).alias("newness")))
+    if not found:
+        return rows.join(known.withColumnRenamed("match", "id"), "id").select("id", F.col("id").alias("match"), "newness")
+    pairs = reduce(DataFrame.unionByName, found).join(F.broadcast(known), "newness")
+    return pairs.filter(F.col("id") != F.col("match")).select("id", "match", "newness")
+
+
+def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *, by_title: bool = True, text: str | None = None, seen: str = "last_seen", as_of: Column | None = None) -> DataFrame:
+    """``keys``: rung -> alternative key columns.  With ``text`` and ``as_of``, a rung of
+    contents follows: of the recent rows (by ``seen``) with the same words the newest.
+    -> id, match, rung, action."""
     left, found = incoming, []
     s = _sides(stored, "s_")
     for rung, columns in keys.items():
@@ -66,6 +122,14 @@ def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *,
         got = _best(reduce(DataFrame.unionByName, pairs).withColumn("action", F.lit("MERGE")), rung)
         found.append(got)
         left = left.join(got.select("id"), "id", "left_anti")
+    if text is not None:
+        left = staged(left, "unmatched")
+        # written once: the rung runs in Python, and the next one asks what it left over
+        near = staged(similar_recent(left, stored, text, seen, as_of), "content")
+        pairs = _sides(left, "i_").join(near, F.col("i_id") == F.col("id")).join(s, F.col("match") == F.col("s_id")).filter(compatible("i_", "s_"))
+        got = pairs.groupBy(F.col("i_id").alias("id")).agg(F.min_by("s_id", "newness").alias("match"))
+        found.append(got.select("id", "match", F.lit("content").alias("rung"), F.lit("MERGE").alias("action")))
+        left = left.join(got.select("id"), "id", "left_anti")
     if by_title:
         # an organizer's events, else a series', else those of one title
         block = lambda side: F.coalesce(*(F.nullif(f"{side}_{c}", F.lit("")) for c in ("organizer", "series_key") if c in stored.columns), F.col(f"{side}_title"))

@@ -14,7 +14,7 @@ from quarrylight.operators.classify import classify_category, classify_document,
 from quarrylight.operators.decide import authority_points, tier
 from quarrylight.operators.extract import confidence, extract_eligibility, extract_location, merge_fill_only
 from quarrylight.operators.leads import mentions
-from quarrylight.operators.resolve import leaders, similar_to_leader
+from quarrylight.operators.resolve import leaders, similar_recent, similar_to_leader
 from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
 
@@ -195,6 +195,14 @@ def doc_similar_to_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_to_leader(blocked, "block", "text")
 
 
+def doc_similar_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document announces (its summary) against the recent announcements, seen
+    in the order of their ids, one a second: which of the 500 seen last have its words."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").alias("id"), summarise(F.col("text")).alias("announced"))
+    at = F.timestamp_seconds(F.lit(1767225600) + F.col("id") % 15552000)
+    return similar_recent(d, d.withColumn("seen", at), "announced", "seen", F.timestamp_seconds(F.lit(1767225600 + 15552000)))
+
+
 def order_labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written into announcements in three ways, read back."""
     o = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date") + F.expr("INTERVAL 22 YEARS"))
@@ -275,7 +283,7 @@ _names = ", ".join(repr(w) for w in (*rules.NAME_STOPS, *rules.NAME_WEAK, *sorte
 THREAD_LEADS = f"""WITH n AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM conversations)
 SELECT left(sha256(w || ' hackathon|2026'), 48) AS lead_key, w || ' hackathon' AS normalized_name, w || ' hackathon 2026' AS query, count(*) AS sightings FROM n WHERE w <> '' AND w NOT IN ({_names}) GROUP BY w"""
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_to_leader, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_to_leader, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,

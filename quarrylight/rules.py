@@ -136,6 +136,8 @@ NEARBY_REGIONS = ("cavite", "laguna", "rizal", "bulacan")
 PREFIX_WORDS = 24
 PREFIX_LEAST = 4
 CONTENT_RATIO = 85
+CONTENT_DAYS = 180
+CONTENT_RECENT = 500
 EDITION_GAP_DAYS = 45
 TRUSTWORTHY = 0.8
 SETTLED_REASONS = ("SEARCH_SNIPPET_ONLY", "LOW_AUTHORITY", "NO_COMPETITION", "NOT_PHILIPPINES_ELIGIBLE", "INTERNATIONAL_ONSITE", "RESULTS_ONLY", "REGISTRATION_CLOSED")

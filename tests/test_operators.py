@@ -340,3 +340,33 @@ def test_streams_keep_state_by_key(spark, tmp_path):
     calm = [(k, dt.datetime.fromtimestamp(s, dt.UTC).minute) for k, s in rows(spark.table("calm"))]
     assert calm == [("a", 0), ("a", 45), ("b", 5)]
     assert rows(spark.table("first")) == [("a",), ("b",)]
+
+
+def test_recent_rows_with_the_same_words(spark):
+    """Against brute force, on texts from nearly equal to unlike, and with rows too old."""
+    import itertools
+    import random
+
+    from quarrylight.functions.similarity import set_ratio
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdef", k=rng.randint(1, 7))) for _ in range(80)]
+    texts = [" ".join(rng.sample(vocabulary, rng.randint(1, 12))) for _ in range(30)]
+    texts += [f"{t} {rng.choice(vocabulary)}" for t in texts] + ["", "Dear all! " + texts[0]]
+    at = lambda i: NOW - dt.timedelta(days=i * 4)
+    df = spark.createDataFrame([(i, t, at(i)) for i, t in enumerate(texts)] + [(99, None, NOW)], "id int, t string, seen timestamp")
+    plain = [t.lower().replace("!", "") for t in texts]
+    held = [i for i in range(len(texts)) if i * 4 <= 180][:39]  # the row without a text is held, too
+    want = sorted((i, j) for i, j in itertools.product(range(len(texts)), held) if i != j and set_ratio(plain[i], plain[j]) >= 85)
+    for room in (1 << 25, 100):
+        got = resolve.similar_recent(df, df, "t", "seen", F.lit(NOW), most=40, room=room)
+        assert rows(got, "id", "match") == want
+    assert resolve.similar_recent(df, df.limit(0), "t", "seen", F.lit(NOW)).count() == 0
+
+
+def test_reworded_posts_resolve_by_content(spark):
+    kind = EVENT + ", words string, last_seen timestamp"
+    stored = spark.createDataFrame([(*event("s1", key="2026"), "join the river data challenge of delta", dt.datetime(2026, 8, 1)), (*event("s2", key="2025"), "join the river data challenge of delta", dt.datetime(2026, 8, 2)), (*event("s3"), "an old announcement of something", dt.datetime(2025, 8, 2))], kind)
+    incoming = spark.createDataFrame([(*event("i1", key="2026", title="x", organizer=""), "Sharing this: join the river data challenge of Delta!", NOW), (*event("i2", title="y", organizer=""), "an old announcement of something", NOW)], kind)
+    got = resolve.match(incoming, stored, {"url": ["canonical_url"]}, text="words", as_of=F.lit(NOW))
+    assert rows(got, "id", "match", "rung", "action") == [("i1", "s1", "content", "MERGE")]

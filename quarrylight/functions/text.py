@@ -126,6 +126,21 @@ def summarise(value: Column, limit: int = 240) -> Column:
     return F.aggregate(F.filter(F.transform(sentences(value), lambda s: F.trim(s)), prose), start, add, lambda s: s["text"])
 
 
+def summarise_eligibility(value: Column, limit: int = 200) -> Column:
+    """The first sentence, cut at a blank if it is longer; null if there is none."""
+    first = F.get(F.split(F.trim(value), r"(?<=[.!?])\s+"), 0)
+    head = F.substring(first, 1, limit)
+    cut = F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit("…"))
+    return F.nullif(F.when(F.char_length(first) > limit, cut).otherwise(first), F.lit(""))
+
+
+def escaped(value: Column) -> Column:
+    """Scraped text whose markdown shows as it is written: signs that would format it and
+    both brackets of a link are escaped, as are a line's leading quote or heading."""
+    signs = F.regexp_replace(F.coalesce(value, F.lit("")), r"([\\*_~`|\[\]])", r"\\$1")
+    return F.regexp_replace(signs, r"(?m)^(\s*)([>#-])", r"$1\\$2")
+
+
 def lead_key(name: Column, hint: Column) -> Column:
     material = F.concat(F.trim(F.coalesce(name, F.lit(""))), F.lit("|"), F.trim(F.coalesce(hint, F.lit(""))))
     return F.substring(F.sha2(material, 256), 1, 48)

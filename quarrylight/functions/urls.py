@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight import rules
-from quarrylight.functions.text import contains_any
+from quarrylight.functions.text import contains_any, escaped
 from quarrylight.shipping import ship_package
 
 #: scheme, host, port, path, query
@@ -175,6 +175,31 @@ def displayable_image(url: Column, domains: dict[str, int] | None = None) -> Col
     return F.when(link_trust(url, domains) == "CLICKABLE", url)
 
 
+def organizer_icon(url: Column, logos: dict[str, str] | None = None, domains: dict[str, int] | None = None) -> Column:
+    """The logo configured for a host's domain, else the site's own icon if its links may
+    be shown, else null."""
+    host = host_of(url)
+    chain = F.when(host == "", F.lit(None).cast("string"))
+    for domain, logo in (logos or {}).items():
+        chain = chain.when((host == domain) | host.endswith(f".{domain}"), F.lit(logo))
+    return chain.when(link_trust(url, domains) == "CLICKABLE", F.concat(F.lit("https://"), host, F.lit("/favicon.ico")))
+
+
+def rendered_links(urls: Column, domains: dict[str, int] | None = None, most: int = 5, room: int = 1024) -> Column:
+    """The first links of an array as lines: trusted ones can be clicked, others are
+    plain text, the platforms' own are left out; null if none remains."""
+    known = F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.struct(u.alias("url"), host_of(u).alias("host"), link_trust(u, domains).alias("trust")))
+    shown = F.slice(F.filter(known, lambda k: k["trust"] != "DROP"), 1, most)
+
+    def line(k: Column) -> Column:
+        label = escaped(F.when(k["host"] != "", k["host"]).otherwise(k["url"]))
+        link = F.concat(F.lit("["), label, F.lit("]("), k["url"], F.lit(")"))
+        short = F.when(host_in(k["host"], rules.SHORTENERS), F.lit(" (shortened link)")).otherwise(F.lit(""))
+        return F.when(k["trust"] == "CLICKABLE", link).otherwise(F.concat(F.lit("`"), k["url"], F.lit("`"), short))
+
+    return F.nullif(F.substring(F.array_join(F.transform(shown, line), "\n"), 1, room), F.lit(""))
+
+
 @F.pandas_udf(T.StringType())
 def _ascii_host(hosts):
     return hosts.map(_encoded_host)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight import rules
+from quarrylight.functions.text import content_prefix_hash
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -153,3 +154,10 @@ def run_totals(steps: DataFrame) -> DataFrame:
     kinds = ("query", "candidate", "processed", "lead", "lead_search")
     each = [F.sum((F.col("kind") == k).cast("int")).alias(f"n_{k}") for k in kinds]
     return steps.groupBy("run_id").agg(F.min("at").alias("started_at"), F.max("at").alias("ended_at"), *each, F.sum((F.col("status") == "FAILED").cast("int")).alias("n_error"))
+
+
+def with_prefix(events: DataFrame) -> DataFrame:
+    """Stored events (title, facts with a description) with the key of their opening, so
+    that those stored before it existed are met, too; a key that is there stays."""
+    opening = content_prefix_hash(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif(F.col("facts.description"), F.lit(""))))
+    return events.withColumn("content_prefix_hash", F.coalesce("content_prefix_hash", opening) if "content_prefix_hash" in events.columns else opening)

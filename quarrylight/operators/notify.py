@@ -41,3 +41,12 @@ def pending(outbox: DataFrame, receipts: DataFrame) -> DataFrame:
 def redacted(text: Column) -> Column:
     """Credentials in log lines replaced."""
     return F.regexp_replace(F.regexp_replace(text, r"(?i)\b(token|secret|password|api[_-]?key)(\s*[=:]\s*)\S+", "$1$2[redacted]"), r"://[^/\s:@]+:[^/\s@]+@", "://[redacted]@")
+
+
+def manual_alerts(events: DataFrame, at: Column, domains: dict[str, int] | None = None) -> DataFrame:
+    """Payloads of events that someone sends by hand: keys of their own, which neither an
+    earlier alert nor a second press in the same second can meet."""
+    nonce = F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)
+    told = new_event_alerts(events, domains)
+    key = F.concat_ws(":", F.lit("manual"), F.substring_index("dedupe_key", ":", -1), F.date_format(at, "yyyyMMddHHmmss"), nonce)
+    return told.withColumns({"dedupe_key": key, "kind": F.lit("MANUAL_SEND")})

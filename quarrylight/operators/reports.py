@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight import rules
+from quarrylight.functions.text import summarise
+from quarrylight.functions.urls import displayable_image, organizer_icon
+from quarrylight.operators.decide import tier
+
 
 def counts(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"))
@@ -69,3 +74,19 @@ def upcoming(events: DataFrame, as_of: Column, k: int, place: Column | None = No
     first = events.orderBy(F.col("start").asc_nulls_last(), "id").limit(k)
     rows = first.filter(F.col("start").isNull() | (F.col("start") >= as_of))
     return rows if place is None else rows.filter(place)
+
+
+def cards(events: DataFrame, notifications: DataFrame, *, domains: dict[str, int] | None = None, logos: dict[str, str] | None = None) -> DataFrame:
+    """A card an event (id, facts, image_url, total; null points count as none): what is needed to
+    judge it, images by the trust in their hosts, and whether it was announced."""
+    f = lambda path: F.col(f"facts.{path}")
+    place = F.nullif(F.concat_ws(" — ", F.nullif(f("location.city"), F.lit("")), F.nullif(f("location.region"), F.lit(""))), F.lit(""))
+    kind, points = f("location.location_type"), F.coalesce("total", F.lit(0))
+    ranked = F.when(points >= dict(rules.TIERS)["POSSIBLE"], tier(points)).otherwise("WEAK")
+    return announced(events, notifications, "id").select(
+        "id", f("title").alias("title"), f("organizer").alias("organizer"), F.initcap(F.replace(F.coalesce(f("category"), F.lit("")), F.lit("_"), F.lit(" "))).alias("category"),
+        summarise(f("description")).alias("summary"), displayable_image(F.col("image_url"), domains).alias("image_url"), organizer_icon(f("canonical_url"), logos, domains).alias("icon_url"),
+        f("canonical_url").alias("canonical_url"), f("registration_url").alias("registration_url"), F.when(kind == "ONLINE", F.lit("Online")).otherwise(F.coalesce(place, F.initcap(kind))).alias("location"),
+        f("registration_deadline.value").alias("deadline"), f("event_start.value").alias("event_start"), f("prize_information").alias("prize"), points.alias("score"), ranked.alias("tier"),
+        f("registration_state").alias("registration"), f("event_phase").alias("phase"), "announced",
+    )

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quarrylight import rules
 from quarrylight.functions import dates
-from quarrylight.functions.text import content_prefix_hash, edition_key, editions_conflict, normalize_text, normalize_title, summarise, tokens
+from quarrylight.functions.text import content_prefix_hash, edition_key, editions_conflict, normalize_text, normalize_title, summarise, summarise_eligibility, tokens
 from quarrylight.operators.classify import classify_category, classify_document, classify_mention, detect_country, is_plausibly_relevant
 from quarrylight.operators.decide import authority_points, tier
 from quarrylight.operators.extract import confidence, extract_eligibility, extract_location, merge_fill_only
 from quarrylight.operators.leads import mentions
 from quarrylight.operators.resolve import leaders, similar_recent, similar_to_leader
+from quarrylight.sources.search import prefetched
 from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
 
@@ -186,6 +187,25 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", summarise(F.col("text")).alias("summary"))
 
 
+def doc_eligibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentence of each text, cut at 200 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", summarise_eligibility(F.col("text")).alias("summary"))
+
+
+DOC_SENTENCE = r"""WITH f AS (SELECT doc_id, regexp_extract(trim(text), '^((?s:.*?[.!?]))[ \t\n\x0B\f\r]', 1) AS ended, trim(text) AS whole FROM documents),
+s AS (SELECT doc_id, CASE WHEN ended <> '' THEN ended ELSE whole END AS first FROM f)
+SELECT doc_id, nullif(CASE WHEN length(first) > 200 THEN regexp_replace(left(first, 200), ' [^ ]*$', '') || '…' ELSE first END, '') AS summary FROM s"""
+
+
+def doc_prefetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as seeds that brought their content along."""
+    seeds = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://x.test/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("links"))
+    return prefetched(seeds).select(F.col("final_url").alias("url"), "fetch_method", "content_hash", "usable")
+
+
+DOC_PREFETCHED = r"""SELECT 'https://x.test/' || doc_id AS url, 'prefetched' AS fetch_method, sha256(coalesce(text, '')) AS content_hash, regexp_matches(coalesce(text, ''), '[^ \t\n\x0B\f\r]') AS usable FROM documents"""
+
+
 def doc_similar_to_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share their first six words with a smaller one, the leader, and
     most of the others; equal texts are folded first, so a frequent text is one row."""
@@ -283,10 +303,10 @@ _names = ", ".join(repr(w) for w in (*rules.NAME_STOPS, *rules.NAME_WEAK, *sorte
 THREAD_LEADS = f"""WITH n AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM conversations)
 SELECT left(sha256(w || ' hackathon|2026'), 48) AS lead_key, w || ' hackathon' AS normalized_name, w || ' hackathon 2026' AS query, count(*) AS sightings FROM n WHERE w <> '' AND w NOT IN ({_names}) GROUP BY w"""
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_similar_to_leader, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_to_leader, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,
     "doc_score_tier": DOC_SCORE, "doc_location": DOC_LOCATION, "doc_eligibility": DOC_ELIGIBILITY, "doc_merge_fill_only": DOC_MERGE, "order_labelled_dates": ORDER_DATES,
-    "thread_classify": THREAD_KIND, "thread_merge_longest": THREAD_LONGEST, "thread_records": THREAD_RECORDS, "thread_leads": THREAD_LEADS,
+    "doc_eligibility_summary": DOC_SENTENCE, "doc_prefetched": DOC_PREFETCHED, "thread_classify": THREAD_KIND, "thread_merge_longest": THREAD_LONGEST, "thread_records": THREAD_RECORDS, "thread_leads": THREAD_LEADS,
 }

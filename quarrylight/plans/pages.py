@@ -9,6 +9,7 @@ from quarrylight import rules
 from quarrylight.functions import urls
 from quarrylight.plans.common import any_of, below, table
 from quarrylight.sources.html import hrefs_of, parse_html, title_of
+from quarrylight.sources.search import paid_seeds
 
 HOST = r"lower(regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)', 2))"
 PATH = r"lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1))"
@@ -84,6 +85,29 @@ u AS (SELECT page_id, title, unnest(links) AS link, generate_subscripts(links, 1
 r AS (SELECT page_id, title, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS position, link FROM f) SELECT * FROM r WHERE position < 500"""
 
 
+def page_rendered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's address and the same path on two well-known hosts, as lines."""
+    moved = [F.regexp_replace("url", "^(https?://)[^/]*", f"$1{host}") for host in ("bit.ly", "youtu.be")]
+    return table(spark, sf_dir, "pages").select("page_id", urls.rendered_links(F.array("url", *moved), DOMAINS).alias("links"))
+
+
+_label = r"regexp_replace(h, '([\\*_~`|\[\]])', '\\\1', 'g')"
+PAGE_RENDERED = rf"""WITH p AS (SELECT page_id, url, {HOST} AS h FROM pages)
+SELECT page_id, left(CASE WHEN {_trust} >= 60 OR {below('h', rules.FORM_HOSTS)} THEN '[' || {_label} || '](' || url || ')' ELSE '`' || url || '`' END
+|| chr(10) || '`' || regexp_replace(url, '^(https?://)[^/]*', '\1bit.ly') || '` (shortened link)', 1024) AS links FROM p"""
+
+
+def page_paid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as payloads of a search service with two results each, read back."""
+    result = lambda url, title: F.struct(url.alias("url"), title.alias("title"), F.lit("x").alias("description"))
+    both = F.array(result(F.col("url"), F.col("page_id").cast("string")), result(F.lit("ftp://x.test/"), F.lit("no")))
+    payload = F.to_json(F.struct(F.struct(both.alias("results")).alias("web")))
+    return paid_seeds(table(spark, sf_dir, "pages").select(F.col("page_id").alias("query"), payload.alias("payload"))).select("query", "rank", "url", "title", "snippet")
+
+
+PAGE_PAID = "SELECT page_id AS query, CAST(0 AS INTEGER) AS rank, url, CAST(page_id AS VARCHAR) AS title, 'x' AS snippet FROM pages"
+
+
 def page_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(urls.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.countDistinct(urls.normalize_url(F.col("url"))).alias("addresses"))
 
@@ -124,5 +148,5 @@ def page_public_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_PUBLIC = f"SELECT page_id, page_id % 2 = 0 OR list_extract([{', '.join(repr(a in ('172.40.0.1', '8.8.8.8')).lower() for a in ADDRESSES)}], CAST(page_id % {len(ADDRESSES)} + 1 AS INTEGER)) AS public FROM pages"
 
-QUERIES = {f.__name__: f for f in (page_url_normalized, page_host_authority, page_url_flags, page_link_trust, page_title_links, page_host_counts, page_content_hash, page_parsed, page_fetch_policy, page_public_address)}
-SQL = {"page_url_normalized": PAGE_URL, "page_host_authority": PAGE_AUTHORITY, "page_url_flags": PAGE_FLAGS, "page_link_trust": PAGE_TRUST, "page_title_links": PAGE_LINKS, "page_host_counts": PAGE_HOSTS, "page_content_hash": PAGE_HASH, "page_fetch_policy": PAGE_POLICY, "page_public_address": PAGE_PUBLIC}
+QUERIES = {f.__name__: f for f in (page_url_normalized, page_host_authority, page_url_flags, page_link_trust, page_title_links, page_host_counts, page_content_hash, page_parsed, page_fetch_policy, page_public_address, page_rendered_links, page_paid_results)}
+SQL = {"page_url_normalized": PAGE_URL, "page_host_authority": PAGE_AUTHORITY, "page_url_flags": PAGE_FLAGS, "page_link_trust": PAGE_TRUST, "page_title_links": PAGE_LINKS, "page_host_counts": PAGE_HOSTS, "page_content_hash": PAGE_HASH, "page_fetch_policy": PAGE_POLICY, "page_public_address": PAGE_PUBLIC, "page_rendered_links": PAGE_RENDERED, "page_paid_results": PAGE_PAID}

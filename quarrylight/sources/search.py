@@ -47,3 +47,21 @@ def catalogue_seeds(pages: DataFrame) -> DataFrame:
     last = rows.withColumn("n", F.row_number().over(Window.partitionBy("h.url").orderBy(F.desc("page"), F.desc("at")))).filter("n = 1")
     snippet = F.concat_ws("; ", F.col("h.organization_name"), F.col("h.displayed_location.location"), F.col("h.submission_period_dates"))
     return last.select(F.col("h.url").alias("url"), F.col("h.title").alias("title"), snippet.alias("snippet"))
+
+
+def paid_seeds(pages: DataFrame) -> DataFrame:
+    """Payloads (query, payload) of a search service that nests its results under ``web``
+    -> a row a result; results without a web address go."""
+    schema = "web struct<results:array<struct<url:string,title:string,description:string>>>"
+    rows = pages.select("query", F.posexplode(F.from_json("payload", schema)["web"]["results"]).alias("rank", "r")).filter(F.lower("r.url").rlike("^https?://[^/]"))
+    return rows.select("query", "rank", F.col("r.url").alias("url"), normalize_url(F.col("r.url")).alias("normalized_url"), F.col("r.title").alias("title"), F.col("r.description").alias("snippet"))
+
+
+def prefetched(seeds: DataFrame) -> DataFrame:
+    """Seeds (url, title, content, links) whose content came with them, as fetched pages:
+    every later stage applies to them."""
+    text = F.coalesce("content", F.lit(""))
+    return seeds.withColumns({"text": text, "links": F.coalesce("links", F.array().cast("array<string>"))}).select(
+        F.col("url").alias("requested_url"), F.col("url").alias("final_url"), F.lit("prefetched").alias("fetch_method"), F.lit(200).alias("status_code"), F.lit("text/plain").alias("content_type"),
+        "title", "text", "links", F.sha2("text", 256).alias("content_hash"), F.col("text").rlike(r"\S").alias("usable"),
+    )

@@ -370,3 +370,51 @@ def test_reworded_posts_resolve_by_content(spark):
     incoming = spark.createDataFrame([(*event("i1", key="2026", title="x", organizer=""), "Sharing this: join the river data challenge of Delta!", NOW), (*event("i2", title="y", organizer=""), "an old announcement of something", NOW)], kind)
     got = resolve.match(incoming, stored, {"url": ["canonical_url"]}, text="words", as_of=F.lit(NOW))
     assert rows(got, "id", "match", "rung", "action") == [("i1", "s1", "content", "MERGE")]
+
+
+def test_first_sentence_and_escaping(spark):
+    from quarrylight.functions.text import escaped, summarise_eligibility
+
+    long = "word " * 60
+    df = spark.createDataFrame([("Open to all. And more.",), (long,), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(summarise_eligibility(F.col("t"))).collect()] == ["Open to all.", ("word " * 40).rsplit(" ", 1)[0] + "…", None, None]
+    df = spark.createDataFrame([("[Click](https://e.test) *now*\n> quote",), (None,)], "t string")
+    assert [r[0] for r in df.select(escaped(F.col("t"))).collect()] == ["\\[Click\\](https://e.test) \\*now\\*\n\\> quote", ""]
+
+
+def test_rendered_links_and_icons(spark):
+    from quarrylight.functions.urls import organizer_icon, rendered_links
+
+    df = spark.createDataFrame([(["https://devpost.com/a", "https://bit.ly/b", "https://x.test/c", "https://youtu.be/d", None],), (None,), (["https://youtu.be/d"],), ([f"https://x.test/{i}" for i in range(9)],)], "u array<string>")
+    got = [r[0] for r in df.select(rendered_links(F.col("u"))).collect()]
+    assert got[0] == "[devpost.com](https://devpost.com/a)\n`https://bit.ly/b` (shortened link)\n`https://x.test/c`"
+    assert got[1] is None and got[2] is None and got[3].count("\n") == 4
+    df = spark.createDataFrame([("https://devpost.com/a",), ("https://x.test/a",), ("https://www.org.test/a",), (None,)], "u string")
+    assert [r[0] for r in df.select(organizer_icon(F.col("u"), {"org.test": "https://org.test/l.png"})).collect()] == ["https://devpost.com/favicon.ico", None, "https://org.test/l.png", None]
+
+
+def test_targets(spark):
+    from quarrylight.sources.threads import targets
+
+    df = spark.createDataFrame([("group", "https://www.facebook.com/groups/hacks/?x=1", None, None), ("group", " /makers/ ", "m", "Cebu"), ("page", "https://facebook.com/acme", "", None), ("page", "", "none", None), ("page", None, None, None)], "kind string, url string, name string, location string")
+    feed = "/?sorting_setting=CHRONOLOGICAL"
+    assert rows(targets(df)) == [("group", f"https://www.facebook.com/groups/hacks{feed}", "hacks", "Philippines"), ("group", f"https://www.facebook.com/groups/makers{feed}", "m", "Cebu"), ("page", "https://www.facebook.com/acme", "acme", "Philippines")]
+
+
+def test_cards_and_manual_alerts(spark):
+    from quarrylight.operators import notify, reports
+
+    judged_ = judged(spark.createDataFrame([doc("a"), doc("b", url="https://x.test/b")], DOC), F.lit(NOW)).withColumn("image_url", F.concat("url", F.lit("/i.png")))
+    sent = spark.createDataFrame([("a", "SENT"), ("b", "FAILED")], "id string, state string")
+    got = {r.id: r for r in reports.cards(judged_, sent).collect()}
+    assert got["a"].announced and not got["b"].announced
+    assert got["a"].image_url == "https://devpost.com/a/i.png" and got["b"].image_url is None and got["b"].icon_url is None
+    assert got["a"].category == "Hackathon" and got["a"].location.startswith("Makati")
+    alerts = notify.manual_alerts(judged_.unionByName(judged_), F.lit(NOW)).collect()
+    assert len({r.dedupe_key for r in alerts}) == 4 and all(r.dedupe_key.startswith("manual:") and r.kind == "MANUAL_SEND" for r in alerts)
+
+
+def test_openings_are_filled_in(spark):
+    df = spark.createDataFrame([(1, "One title of four", ("words here",), None), (2, "short", (None,), None), (3, "kept", (None,), "k")], "id int, title string, facts struct<description:string>, content_prefix_hash string")
+    got = {r.id: r.content_prefix_hash for r in history.with_prefix(df).collect()}
+    assert len(got[1]) == 32 and got[2] is None and got[3] == "k"

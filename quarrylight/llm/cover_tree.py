@@ -2,9 +2,11 @@
 
 Rows are dealt into blocks by their nearest pivot, so that blocks are compact; a pivot
 with many rows has several blocks, so that none is large.  Queries form groups in the
-same way.  Every group
-meets every block; in each meeting a cover tree of the queries and one of the rows
-are descended together.  A pair of nodes is given up if the largest score that their
+same way.  Before anything is
+shuffled, each query gives up every pivot whose ball, the covering radius of its rows or
+their greatest length, leaves no score at its worst kth score; only groups and blocks
+that a query is left for meet.  In each meeting a cover tree of the queries and one of
+the rows are descended together.  A pair of nodes is given up if the largest score that their
 covering radii leave possible is below the worst kth score of the node's queries.
 Those scores start from a search of a fixed, bounded sample, so most of a far block
 goes at its root.  The best of a query over all blocks are merged at the end.
@@ -32,10 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ship_package, written
+from quarrylight.llm.common import ship_package, small, written
 
 #: Rows in a block and queries in a group, about; pivots; rows of the first sample.
-BLOCK, GROUP, PIVOTS, SAMPLE = 8192, 1024, 32, 2048
+BLOCK, GROUP, PIVOTS, SAMPLE = 4096, 4096, 32, 2048
 #: Points that a leaf of a tree holds at most, children that a node has at most, and
 #: how much a level shrinks radii if so many children can.
 LEAF, FANOUT, SHRINK = 64, 16, 0.6
@@ -177,7 +179,9 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
     pivots = points[_spread(points, PIVOTS)].astype(np.float64)
     shared = spark.sparkContext.broadcast((ids, points, pivots))
 
-    def placed(batches, with_start: bool):
+    def placed(batches, balls: tuple[np.ndarray, np.ndarray] | None = None):
+        """Rows with the nearest pivot, the distance to it and their length; queries, if
+        the pivots' balls are known, with a first kth score and the pivots to visit."""
         near_ids, near, centres = shared.value
         for batch in batches:
             batch = batch[batch["v"].map(len) == width]
@@ -185,11 +189,17 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
                 vectors, own = _matrix(batch["v"]), batch["id"].to_numpy()
                 pivot = ((centres**2).sum(axis=1) - 2 * vectors.astype(np.float64) @ centres.T).argmin(axis=1)
                 out = pd.DataFrame({"id": own, "v": batch["v"].to_numpy(), "pivot": pivot})
-                yield out.assign(start=_first_scores(vectors, own, near, near_ids, k)) if with_start else out
-
-    def dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        """Rows with a number (``name``) of parts of about that size, near rows together."""
-        counts = {r.pivot: r.n for r in df.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+                if balls is None:
+                    exact = vectors.astype(np.float64)
+                    yield out.assign(away=np.sqrt(((exact - centres[pivot]) ** 2).sum(axis=1)), length=np.sqrt((exact**2).sum(axis=1)))
+                else:
+                    start = _first_scores(vectors, own, near, near_ids, k)
+                    hopeful = ~(_most(vectors.astype(np.float64), centres, *balls) < start[:, None])
+                    yield out.assign(start=start, visits=[np.flatnonzero(h).tolist() for h in hopeful])
+
+    def parts_of(counts: dict[int, int], size: int) -> tuple[list[int], list[int]]:
+        """The number of each pivot's first part, and how many parts of about that size
+        it has; small pivots share one, near rows stay together."""
         first, parts, number, room = [0] * len(pivots), [1] * len(pivots), -1, 0
         for pivot, n in sorted(counts.items()):
             if n > room:
@@ -197,16 +207,29 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
             first[pivot], parts[pivot] = number, max(1, -(-n // size))
             number += parts[pivot] - 1
             room = room - n if parts[pivot] == 1 else 0
-        at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("pivot") + 1).cast("int"))
-        return df.withColumn(name, at(first) + F.pmod(F.xxhash64("id"), at(parts)).cast("int")), number + 1
-
-    blocks = written(kept.mapInPandas(lambda it: placed(it, False), "id long, v array<long>, pivot long"), "topk-blocks")
-    groups = written(take(queries).distinct().mapInPandas(lambda it: placed(it, True), "id long, v array<long>, pivot long, start double"), "topk-groups")
-    (blocks, n_blocks), (groups, n_groups) = dealt(blocks, BLOCK, "b"), dealt(groups, GROUP, "g")
-    if not n_groups:
+        return first, parts
+
+    def at(values: list[int], pivot: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (pivot + 1).cast("int"))
+
+    def dealt(first: list[int], parts: list[int]) -> Column:
+        return at(first, F.col("pivot")) + F.pmod(F.xxhash64("id"), at(parts, F.col("pivot"))).cast("int")
+
+    blocks = written(kept.mapInPandas(lambda it: placed(it), "id long, v array<long>, pivot long, away double, length double"), "topk-blocks")
+    found = blocks.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("away"), F.max("length").alias("length")).collect()  # a row a pivot
+    radii, lengths = np.full(len(pivots), -np.inf), np.full(len(pivots), -np.inf)
+    for r in found:
+        radii[r.pivot], lengths[r.pivot] = r.away, r.length
+    groups = written(take(queries).distinct().mapInPandas(lambda it: placed(it, (radii, lengths)), "id long, v array<long>, pivot long, start double, visits array<int>"), "topk-groups")
+    sizes = {r.pivot: r.n for r in groups.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    if not sizes:
         return empty
-    blocks = blocks.select("b", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), "id", "v")
-    groups = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "id", "v", "start")
+    first, parts = parts_of({r.pivot: r.n for r in found}, BLOCK)
+    last = [a + n - 1 for a, n in zip(first, parts, strict=True)]
+    visited = F.array_distinct(F.flatten(F.transform("visits", lambda p: F.sequence(at(first, p), at(last, p)))))
+    groups = groups.select(dealt(*parts_of(sizes, GROUP)).alias("g"), F.explode(visited).alias("b"), "id", "v", "start")
+    meetings = written(groups.select("g", "b").distinct(), "topk-meetings")
+    blocks = blocks.select(dealt(first, parts).alias("b"), "id", "v").join(small(meetings), "b")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -220,6 +243,18 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _most(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The highest score that each query can have with a row of each pivot's ball, with
+    room for rounding; -inf for a pivot without rows."""
+    own = np.sqrt((queries**2).sum(axis=1))[:, None]
+    held, away, longest = np.isfinite(radii) & np.isfinite(lengths), np.where(radii >= 0, radii, 0), np.where(lengths >= 0, lengths, 0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        ball = queries @ centres.T + own * away
+        slack = 1e-9 * own * (np.sqrt((centres**2).sum(axis=1)) + away + longest) + 1e-6
+        most = np.minimum(ball, own * longest) + slack
+    return np.where(held, most, np.where(np.isneginf(radii), -np.inf, np.inf))
+
+
 def _spread(points: np.ndarray, n: int) -> list[int]:
     """Indices of points that are far from one another."""
     chosen, gap = [0], np.full(len(points), np.inf)

@@ -293,6 +293,36 @@ def test_cover_tree_search(spark):
         assert rows(got) == brute_top(data, queries, 5)
 
 
+def test_cover_tree_gives_up_far_balls(spark):
+    """Bounds hold for every row of a ball, and clusters that point elsewhere are given
+    up before any row is copied to meet their queries; results are those of brute force."""
+    from quarrylight.llm import cover_tree
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 400, (12, 16))
+    vectors = np.rint(np.repeat(centres, 60, axis=0) + rng.normal(0, 12, (720, 16))).astype(int)
+    away = np.array([np.sqrt(((vectors[i * 60 : i * 60 + 60] - centres[i]) ** 2).sum(axis=1)).max() for i in range(12)])
+    longest = np.array([np.sqrt((vectors[i * 60 : i * 60 + 60] ** 2).sum(axis=1)).max() for i in range(12)])
+    most = cover_tree._most(vectors.astype(float), centres, away, longest)
+    assert ((vectors @ vectors.T).reshape(720, 12, 60).max(axis=2) <= most).all()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, v array<long>")
+    seen, real = [], cover_tree.written
+
+    def spied(df, name):
+        out = real(df, name)
+        seen.extend([out.count()] if name == "topk-meetings" else [])
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in {"BLOCK": 60, "GROUP": 60, "PIVOTS": 12, "written": spied}.items():
+            patch.setattr(cover_tree, name, value)
+        got = rows(cover_tree.top_k(frame, frame, k=5))
+    scores = vectors @ vectors.T
+    want = [(q, n, int(i), int(scores[q, i])) for q in range(720) for n, i in enumerate([i for i in np.lexsort((np.arange(720), -scores[q])) if i != q][:5], 1)]
+    assert got == sorted(want)
+    assert seen[0] < 12 * 12 / 3
+
+
 def test_cover_tree_prunes_and_covers():
     from quarrylight.llm.cover_tree import DualTree, cover_tree
 

@@ -13,6 +13,7 @@ from quarrylight.llm.common import table
 from quarrylight.llm.cover_tree import quantised, top_k
 from quarrylight.llm.line_dedup import drop_boilerplate
 from quarrylight.llm.packing import pack_documents
+from quarrylight.llm.phrases import collocations
 from quarrylight.llm.pii import BASE, find_spans, span_text
 from quarrylight.llm.quality_rules import apply_rules
 from quarrylight.llm.sharding import feistel_shards
@@ -130,6 +131,30 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, most=2000)
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(w) AS BIGINT) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inside AS (SELECT DISTINCT c.lang, array_to_string(c.w[i:i + j - 1], ' ') AS phrase, a FROM c, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS j)
+           WHERE j < c.k AND i + j - 1 <= c.k),
+kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a)),
+cuts AS (SELECT c.lang, c.phrase, c.a, t.n, j, l.f AS l, r.f AS r, CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+         FROM kept c JOIN (SELECT unnest(range(1, 5)) AS j) ON j < c.k JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+         JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_simhash_anchors": op1_simhash_anchors,
     "op2_tool_calls": op2_tool_calls,
@@ -141,5 +166,6 @@ QUERIES = {
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op9_boosted_pii": op9_boosted_pii,
     "op10_random_indexing": op10_random_indexing,
+    "op13_son_phrases": op13_son_phrases,
 }
-ORACLE_SQL: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_cover_tree": OP3_SQL, "op6_site_lines": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_cover_tree": OP3_SQL, "op6_site_lines": OP6_SQL, "op13_son_phrases": OP13_SQL}

@@ -18,6 +18,7 @@ from quarrylight.llm.pii import BASE, find_spans, span_text
 from quarrylight.llm.quality_rules import apply_rules
 from quarrylight.llm.sharding import feistel_shards
 from quarrylight.llm.simhash import simhash_components
+from quarrylight.llm.whitening import whiten
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -131,6 +132,10 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=32, scale=64, shift=1_000_000)
+
+
 def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, most=2000)
 
@@ -166,6 +171,7 @@ QUERIES = {
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op9_boosted_pii": op9_boosted_pii,
     "op10_random_indexing": op10_random_indexing,
+    "op12_spectrum_whitening": op12_spectrum_whitening,
     "op13_son_phrases": op13_son_phrases,
 }
 ORACLE_SQL: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_cover_tree": OP3_SQL, "op6_site_lines": OP6_SQL, "op13_son_phrases": OP13_SQL}

@@ -42,8 +42,9 @@ from quarrylight.llm.common import ship_package, small, written
 LONGEST = 5
 #: Shards at least (or as many as the table has partitions), and bytes of text in one.
 SHARDS, SHARD_BYTES = 24, 64 << 20
-#: Bytes of text, and distinct words, that the counting pass holds at once.
-CHUNK_BYTES, WORDS = 24 << 20, 1 << 20
+#: Bytes of text that are split at once, that the counting pass holds as numbers, and
+#: distinct words that it holds.
+SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 24 << 20, 1 << 20
 #: The map of candidates has 2**BITS bits, in pieces as Spark's bitmap functions have them.
 BITS, PIECE = 26, 1 << 15
 #: Ends a piece of text; no word holds one of these signs.
@@ -122,8 +123,38 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"), F.octet_length(text).cast("long").alias("size"))
 
 
-def _binary(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+class Numbered:
+    """Texts of each language as numbers of words, split a few at a time: words as
+    objects take ten times the room of their text."""
+
+    def __init__(self, words: Vocabulary) -> None:
+        self.words, self.size = words, 0
+        self.texts: dict[str, list[bytes]] = {}
+        self.done: dict[str, list[np.ndarray]] = {}
+        self.waiting = 0
+
+    def add(self, batch: pa.RecordBatch, rows: slice) -> None:
+        column = batch.column("text").slice(rows.start, rows.stop - rows.start).cast(pa.binary())
+        for lang, text in zip(batch.column("lang")[rows].to_pylist(), column, strict=True):
+            text = text.as_py()
+            self.texts.setdefault(lang, []).append(text)
+            self.waiting += len(text)
+            if self.waiting >= SPLIT_BYTES:
+                self.split()
+        self.split()
+
+    def split(self) -> None:
+        for lang, texts in self.texts.items():
+            self.done.setdefault(lang, []).append(self.words.numbers([*tokens_of(texts), STOP]))
+        self.size, self.waiting = self.size + self.waiting, 0
+        self.texts.clear()
+
+    def taken(self) -> Iterator[tuple[str, np.ndarray]]:
+        """A language at a time, each given up as it is handed out."""
+        while self.done:
+            lang, parts = self.done.popitem()
+            yield lang, np.concatenate(parts)
+        self.size = 0
 
 
 def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
@@ -134,17 +165,13 @@ def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col:
     shards = max(SHARDS, -(-total // SHARD_BYTES))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Vocabulary(), {}, 0
+        words, size = Vocabulary(), 0
+        held = Numbered(words)
         for batch in batches:
             size += sum(batch.column("size").to_pylist())
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), _binary(batch.column("text")), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, own in by_lang.items():
-                held.setdefault(lang, []).append(words.numbers([*tokens_of(own), STOP]))
+            held.add(batch, slice(0, batch.num_rows))
         support = max(1, -(-least * size // max(total, 1)))
-        while held:
-            tokens = np.concatenate(held.popitem()[1])
+        for _, tokens in held.taken():
             for _, _, _, slot in levels(tokens, words.hashes, support=support):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot))], names=["slot"])
 
@@ -164,35 +191,29 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary()
-
-        def sums(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            nonlocal words
-            tokens = words.numbers(tokens_of(texts))
-            phrases, numbers = [b""], [np.array([np.count_nonzero(tokens)])]
-            for length, first, n, _ in levels(tokens, words.hashes, known=shared.value):
-                spelled = [map(words.words.__getitem__, tokens[first + j].tolist()) for j in range(length)]
-                phrases += map(b" ".join, zip(*spelled, strict=True))
-                numbers.append(n)
-            numbers = np.concatenate(numbers)
-            for at in range(0, len(phrases), 1 << 16):
-                part = pa.array(phrases[at : at + (1 << 16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part.view(pa.string()), pa.array(numbers[at : at + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
+        held = Numbered(Vocabulary())
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            words = held.words
+            for lang, tokens in held.taken():
+                phrases, numbers = [b""], [np.array([np.count_nonzero(tokens)])]
+                for length, first, n, _ in levels(tokens, words.hashes, known=shared.value):
+                    spelled = [map(words.words.__getitem__, tokens[first + j].tolist()) for j in range(length)]
+                    phrases += map(b" ".join, zip(*spelled, strict=True))
+                    numbers.append(n)
+                numbers = np.concatenate(numbers)
+                for at in range(0, len(phrases), 1 << 16):
+                    part = pa.array(phrases[at : at + (1 << 16)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part.view(pa.string()), pa.array(numbers[at : at + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
             if len(words) > WORDS:
-                words = Vocabulary()
+                held.words = Vocabulary()
 
-        held: dict[str, list[bytes]] = {}
-        size = 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), _binary(batch.column("text")), strict=True):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    while held:
-                        yield from sums(*held.popitem())
-                    size = 0
-        while held:
-            yield from sums(*held.popitem())
+            for at in range(0, batch.num_rows, 256):
+                held.add(batch, slice(at, min(at + 256, batch.num_rows)))
+                if held.size >= CHUNK_BYTES:
+                    yield from sums()
+        yield from sums()
 
     sums = _texts(docs, text_col, lang_col).drop("size").mapInArrow(count, "lang string, phrase string, n long")
     return sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))

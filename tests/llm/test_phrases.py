@@ -79,6 +79,7 @@ def test_small_chunks_and_a_full_map(spark, monkeypatch):
     want = rows_of(brute(texts, 5, 2000))
     monkeypatch.setattr(phrases, "candidates", lambda docs, **_: phrases.np.full(1 << phrases.BITS >> 3, 255, phrases.np.uint8))
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(phrases, "SPLIT_BYTES", 1)
     monkeypatch.setattr(phrases, "WORDS", 1)
     assert rows(collocations(frame(spark, texts), least=5), *COLUMNS) == want
 

@@ -11,6 +11,7 @@ from quarrylight.llm.chat import format_conversations
 from quarrylight.llm.classifier import quality_scores
 from quarrylight.llm.common import table
 from quarrylight.llm.cover_tree import quantised, top_k
+from quarrylight.llm.language import languages
 from quarrylight.llm.line_dedup import drop_boilerplate
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.phrases import collocations
@@ -125,11 +126,21 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def held_out():
+    """A fifth of the documents, by id; a row without an id is not one of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
 def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    scored = quality_scores(docs, labels.filter(~held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = quality_scores(docs, labels.filter(~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op11_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages(docs, docs.filter(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +182,7 @@ QUERIES = {
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op9_boosted_pii": op9_boosted_pii,
     "op10_random_indexing": op10_random_indexing,
+    "op11_language_families": op11_language_families,
     "op12_spectrum_whitening": op12_spectrum_whitening,
     "op13_son_phrases": op13_son_phrases,
 }

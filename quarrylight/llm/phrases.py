@@ -4,13 +4,15 @@ A phrase of 1 to :data:`LONGEST` words with at least ``least`` occurrences in al
 has, in some shard of the texts, at least the shard's share of ``least``: shares add up
 to one.  So the job is three passes:
 
-1. *Mine.*  Texts are read in shards, one a task, of about :data:`SHARD_BYTES`.  Each is
-   mined completely, level by level (a phrase can be frequent only if it is so without
-   its first and without its last word), at ``least`` times the shard's share of the
-   bytes, rounded up.
-2. *Unite.*  A phrase is put at a bit of a map of fixed size (8 MB); the union of all
-   shards' phrases is the or of their maps.  Two phrases may meet at a bit: that costs a
-   count more in pass 3 and changes no result.
+1. *Mine.*  A task cuts its texts into shards of about a :data:`SHARDS`-th of all bytes
+   (and of :data:`SHARD_BYTES` at most).  Each is mined completely, level by level (a
+   phrase can be frequent only if it is so without its first and without its last word),
+   at half of ``least`` times the shard's share of the bytes, rounded up.
+2. *Unite.*  Where a phrase isn't frequent it has less than half its shard's due, so all
+   such shards together hold less than half of ``least``.  A phrase is a candidate if
+   the rest, summed over the shards in which it is frequent, can make up the other half.
+   Sums go by a hash of 64 bits; candidates are bits of a map of fixed size (8 MB).
+   Phrases that share a hash or a bit cost a count more in pass 3 and change no result.
 3. *Count.*  All phrases at a set bit are counted exactly, by their words, in all texts.
    A task sums up its own texts before it sends a row a phrase.
 
@@ -18,10 +20,10 @@ Scores are DataFrame work on the frequent phrases: the parts of a frequent phras
 frequent, too, so cuts are joins of that table with itself.  Products pass 64 bits and
 are decimals of 38 digits.
 
-There are :data:`SHARDS` shards while texts are small, so that local support stays at a
-few occurrences; from there on their number grows with the texts.  Beyond ``least``
-shards local support is one: the map then fills up, and pass 3 counts all phrases, in
-work that still grows in proportion to the texts.
+The number of shards, and so the local support, is the same for any texts of up to
+``SHARDS * SHARD_BYTES`` bytes; from there on shards grow in number.  Beyond ``least / 2``
+shards the local support is one: pass 1 sends a row for every phrase of a shard, in work
+and shuffled bytes that still grow in proportion to the texts.
 
 Defined results: a null or blank text has no words; a null language is ``und``; repeated
 rows count each time; other columns are not read; an empty table gives no rows.
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import ship_package, small, written
 
 LONGEST = 5
-#: Shards at least (or as many as the table has partitions), and bytes of text in one.
-SHARDS, SHARD_BYTES = 24, 64 << 20
+#: Shards at least (uneven tasks make more), and bytes of text in one at most.
+SHARDS, SHARD_BYTES = 24, 48 << 20
 #: Bytes of text that are split at once, that the counting pass holds as numbers, and
 #: distinct words that it holds.
 SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 24 << 20, 1 << 20
@@ -83,12 +85,13 @@ class Vocabulary(dict):
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
+    """Bits of the map: the first of the spread hash."""
     return (hashes * _SPREAD >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def levels(tokens: np.ndarray, hashes: np.ndarray, *, support: int = 1, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """-> words, first places, counts and slots of the phrases of each length that have
-    the support (and, given a map, are in it), as have all their parts."""
+    """-> words, first places, counts and spread hashes of the phrases of each length that
+    have the support (and, given a map, are in it), as have all their parts."""
     import pandas as pd
 
     place = np.flatnonzero(tokens)
@@ -107,7 +110,7 @@ def levels(tokens: np.ndarray, hashes: np.ndarray, *, support: int = 1, known: n
         first = np.empty(len(distinct), np.int64)
         first[code[::-1]] = place[::-1]
         good = count >= support
-        yield length, first[good], count[good], _slots(chain[first[good]])
+        yield length, first[good], count[good], (chain[first[good]] * _SPREAD).view(np.int64)
         dense = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
         group = np.full(len(tokens) + 1, -1, np.int32)
         group[place] = dense[code]
@@ -149,6 +152,15 @@ class Numbered:
         self.size, self.waiting = self.size + self.waiting, 0
         self.texts.clear()
 
+    def joined(self, other: Numbered) -> bool:
+        """Take over another's texts, if they are numbered alike."""
+        if self.words is not other.words:
+            return False
+        for lang, parts in other.done.items():
+            self.done.setdefault(lang, []).extend(parts)
+        self.size += other.size
+        return True
+
     def taken(self) -> Iterator[tuple[str, np.ndarray]]:
         """A language at a time, each given up as it is handed out."""
         while self.done:
@@ -162,20 +174,32 @@ def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col:
     ship_package(docs.sparkSession)
     texts = _texts(docs, text_col, lang_col)
     total = texts.agg(F.sum("size")).first()[0] or 0
-    shards = max(SHARDS, -(-total // SHARD_BYTES))
+    shard = max(1, min(SHARD_BYTES, -(-total // SHARDS)))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = Vocabulary(), 0
-        held = Numbered(words)
+        held, earlier = Numbered(Vocabulary()), None
+
+        def mined(part: Numbered) -> Iterator[pa.RecordBatch]:
+            support = max(1, -(-least * part.size // (2 * max(total, 1))))
+            for _, tokens in part.taken():
+                for _, _, count, key in levels(tokens, part.words.hashes, support=support):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count - (support - 1))], names=["key", "rest"])
+
         for batch in batches:
-            size += sum(batch.column("size").to_pylist())
-            held.add(batch, slice(0, batch.num_rows))
-        support = max(1, -(-least * size // max(total, 1)))
-        for _, tokens in held.taken():
-            for _, _, _, slot in levels(tokens, words.hashes, support=support):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot))], names=["slot"])
-
-    slots = texts.coalesce(shards).mapInArrow(mine, "slot long")
+            for at in range(0, batch.num_rows, 256):
+                held.add(batch, slice(at, min(at + 256, batch.num_rows)))
+                if held.size >= shard:
+                    # a full shard waits for the next one, so that what is left at the
+                    # end isn't a shard of its own, with hardly a share
+                    if earlier is not None:
+                        yield from mined(earlier)
+                    earlier, held = held, Numbered(held.words if len(held.words) <= WORDS else Vocabulary())
+        if earlier is not None and not held.joined(earlier):
+            yield from mined(earlier)
+        yield from mined(held)
+
+    rest = texts.coalesce(max(1, -(-total // shard))).mapInArrow(mine, "key long, rest long").groupBy("key").agg(F.sum("rest").alias("rest"))
+    slots = rest.filter(F.col("rest") * 2 > least).select(F.shiftrightunsigned("key", 64 - BITS).alias("slot"))
     pieces = slots.groupBy(F.expr(f"cast(slot div {PIECE} as int)").alias("piece")).agg(F.expr(f"bitmap_construct_agg(slot % {PIECE})").alias("bits"))
     known = np.zeros(1 << BITS >> 3, np.uint8)
     for row in pieces.toLocalIterator():  # at most 2**BITS / PIECE rows of PIECE / 8 bytes

@@ -94,6 +94,24 @@ def test_shards_mine_what_is_frequent_in_one(spark):
     assert rows(collocations(docs, least=12), *COLUMNS) == rows_of(brute(texts, 12, 2000))
 
 
+def test_many_small_shards_in_a_task(spark, monkeypatch):
+    """Shards of one text or two, vocabularies that start anew, and whole tasks as one."""
+    texts = made(4)
+    want = rows_of(brute(texts, 6, 2000))
+    for shard, words in ((1, 1), (1, 1 << 20), (1500, 5)):
+        monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
+        monkeypatch.setattr(phrases, "WORDS", words)
+        assert rows(collocations(frame(spark, texts, 2), least=6), *COLUMNS) == want
+
+
+def test_candidates_are_few(spark, monkeypatch):
+    """Phrases that one shard alone holds, too rarely for all of them, are not counted."""
+    docs = frame(spark, [(f"one{i} two{i} three{i}. " * 5, "en") for i in range(40)] + [("these are all over", "en")] * 40, 8)
+    known = candidates(docs, least=40)
+    assert sum(int(b).bit_count() for b in known if b) == 10  # the parts of four words
+    assert {r.phrase for r in counted(docs, known, least=40).collect()} >= {"these are all over", "are all", ""}
+
+
 def test_one_hot_pair_and_products_beyond_64_bits(spark):
     """A third of all rows repeat one pair; the parts' product passes 64 bits."""
     texts = [("hot pair", "en")] * 50 + [("cold", "en")] * 100

@@ -14,8 +14,8 @@ probabilities.
 
 Defined results: a null, empty or blank text is the zero vector and gets the score
 that the network gives it; without labels of both kinds every score is the share of
-ones (or a half); repeated rows get equal results; other columns are dropped, so
-clashing names cannot occur.
+ones (or a half); repeated rows get equal results, and rows that share a labelled id count
+as one when the network learns; other columns are dropped, so clashing names cannot occur.
 """
 
 from __future__ import annotations
@@ -195,16 +195,18 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, id_col: st
     """The network, learned from at most ``most`` of the labelled documents."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)  # the bound of the broadcast and of what comes to the driver
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "label", F.xxhash64("text").alias("hash"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    schema = "_id string, label int, pooled binary"
+    schema = "_id string, label int, hash long, pooled binary"
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [pooled(t.as_py(), shared.value).astype("<f4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("label"), pa.array(found, pa.binary())], names=["_id", "label", "pooled"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("label"), batch.column("hash"), pa.array(found, pa.binary())], names=["_id", "label", "hash", "pooled"])
 
-    got = sorted(map(tuple, rows.mapInArrow(pool, schema).collect()))  # one order, whatever the tasks' order
+    # a row an id, however many rows share it: at most ``most`` come to the driver
+    each = rows.mapInArrow(pool, schema).groupBy("_id", "label").agg(F.min_by("pooled", "hash").alias("pooled"))
+    got = sorted(map(tuple, each.collect()))  # one order, whatever the tasks' order
     x = np.array([np.frombuffer(r[2], "<f4") for r in got]).reshape(len(got), DIMS)
     return fit(x, np.array([r[1] for r in got]))
 

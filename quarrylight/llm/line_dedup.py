@@ -51,20 +51,20 @@ def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str
     ``n_lines`` and ``n_dropped`` (long)."""
     lines = written(boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, least_pages=least_pages), "boilerplate")
     small = lines.count() <= BROADCAST_LINES
-    marked = docs.withColumn("_host", F.coalesce(F.col(host_col), F.lit("")))
-    by_host = lines.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_drop"))
+    # the input's other columns travel in a struct, where no name can clash
+    others = [c for c in docs.columns if c != text_col]
+    column = lambda c: F.col(f"`{c}`")
+    rows = docs.select(F.struct(*map(column, others)).alias("row"), F.coalesce(column(host_col), F.lit("")).alias("host"), column(text_col).alias("text"))
+    by_host = lines.groupBy("host").agg(F.collect_set("line").alias("drop"))
     if small:
-        joined = marked.join(F.broadcast(by_host), "_host", "left")
+        joined = rows.join(F.broadcast(by_host), "host", "left")
     else:
-        dealt = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        marked = marked.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = marked.join(dealt, ["_host", "_salt"], "left").drop("_salt")
-    split = joined.withColumn("_lines", _lines(F.col(text_col)))
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~(x.rlike(WORDY) & F.array_contains("_drop", F.xxhash64(x)))))
-    cleaned = split.withColumn("_kept", kept)
-    return (
-        cleaned.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
-        .select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
-    )
+        dealt = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        joined = rows.join(dealt, ["host", "salt"], "left")
+    split = joined.withColumn("lines", _lines(F.col("text")))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~(x.rlike(WORDY) & F.array_contains("drop", F.xxhash64(x)))))
+    counted = split.withColumn("kept", kept).withColumns({"n_lines": F.coalesce(F.size("lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long")})
+    made = {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped"), text_col: F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text"))}
+    columns = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
+    return counted.select(*(made.get(c, F.col("row")[c]).alias(c) for c in columns))

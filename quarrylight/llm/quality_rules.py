@@ -13,8 +13,9 @@ that the rules are learned from, at most :data:`LABELLED` rows.
 
 Defined results: a null, empty or blank text has no words and fails the base rules;
 repeated rows get equal results; without labels of both kinds the list is empty and
-the base rules decide alone; other columns are kept by :func:`apply_rules`, whose
-statistics replace columns of those names.
+the base rules decide alone; rows that share a labelled id count as one when rules are
+learned; other columns are kept by :func:`apply_rules`, whose statistics, ``base_failed``,
+``rule`` and ``kept`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -114,10 +115,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the statistics of whole texts as columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.drop(*(c for c in STATISTICS if c in docs.columns))
-    docs = docs.withColumns({"_w": _word_statistics(words_of(F.col(text_col))), "_l": _line_statistics(text)})
-    columns = {c: F.col("_w")[c] for c in STATISTICS[:4]} | {c: F.col("_l")[c] for c in STATISTICS[4:6]}
+    words, lines = (next(n for n in (kind + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for kind in ("words_of_", "lines_of_"))
+    docs = docs.withColumns({words: _word_statistics(words_of(F.col(text_col))), lines: _line_statistics(text)})
+    columns = {c: F.col(words)[c] for c in STATISTICS[:4]} | {c: F.col(lines)[c] for c in STATISTICS[4:6]}
     columns |= {"n_symbols": _only(text, SYMBOLS), "n_capitals": _only(text, r"\p{Lu}"), "n_marks": _only(text, "!?")}
-    return docs.withColumns(columns).drop("_w", "_l")
+    return docs.withColumns(columns).drop(words, lines)
 
 
 def base_failed() -> Column:
@@ -155,11 +157,12 @@ def decision(rules: list[list[Condition]]) -> Column:
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", most: int = LABELLED) -> DataFrame:
     """Statistics of at most ``most`` labelled documents, chosen by the hash of their
-    id; written to the shared folder."""
+    id; written to the shared folder.  Of rows that share an id the one with the least
+    statistics stands for all, so that ``most`` bounds the rows, too."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) == 0).cast("int").alias("_reject"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)  # the bound of the broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = with_statistics(rows, "_text").drop("_text")
+    rows = with_statistics(rows, "_text").groupBy("_id", "_reject").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("_id", "_reject", "s.*")
     return written(rows.withColumn("_aside", F.pmod(F.xxhash64("_id", F.lit("aside")), F.lit(3)) == 0), "labelled").coalesce(4)
 
 

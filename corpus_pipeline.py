@@ -5,13 +5,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's ``docs``.  All stages but the last return
 the columns of ``documents``; ``n_chars`` follows the text.  Null and empty texts fail
 the first stage; each row is judged by its own text, whether its id is null or shared
-with other rows; columns of ``docs`` beyond those of ``documents`` pass through the first
-four stages.
+with other rows; columns of ``docs`` beyond those of ``documents``, whatever their names,
+pass through the first four stages unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import small, table, written
@@ -26,33 +26,42 @@ from quarrylight.llm.simhash import near_copies
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
-    return docs.select(*columns)
+    return docs.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
-    return apply_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    held = docs.select(F.struct("*").alias("row"), "doc_id", "text")  # no name can clash in a struct
+    return apply_rules(held, table(spark, sf_dir, "labels")).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
-    return _counted(drop_boilerplate(docs, host_col="source", ratio=0.05, least_pages=5), docs.columns)
+    held = docs.select(F.struct("*").alias("row"), "source", "text")
+    cleaned = drop_boilerplate(held, host_col="source", ratio=0.05, least_pages=5)
+    return _counted(cleaned.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*"), docs.columns)
+
+
+def _digest(docs: DataFrame) -> Column:
+    """Hash of all columns of a row; maps have none of their own."""
+    column = lambda f: F.col(f"`{f.name}`")
+    return F.xxhash64(*(F.to_json(F.struct(column(f))) if "map<" in f.dataType.simpleString() else column(f) for f in docs.schema))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, null last, and
     of several such the one with the least hash; of rows equal in all columns, any."""
-    digest = F.xxhash64(*docs.columns)
-    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), digest.alias("hash")))
-    found = written(near_copies(keyed, id_col="_row").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n")), "near-rows")
+    digest = _digest(docs)
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), digest.alias("hash")).alias("key"), "text")
+    found = written(near_copies(keyed, id_col="key").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n")), "near-rows")
     first = F.col("doc_id") == F.col("group_id")
-    surplus = written(found.filter(~first).select(F.col("doc_id.hash").alias("_hash")), "near-surplus")
-    marked = docs.withColumn("_hash", digest)
-    once = marked.join(small(surplus), "_hash", "left_anti")
-    repeated = written(found.filter(first & (F.col("n") > 1)).select(F.col("doc_id.hash").alias("_hash")), "near-repeated")
+    surplus = written(found.filter(~first).select(F.col("doc_id.hash").alias("hash")), "near-surplus")
+    marked = docs.select(F.struct("*").alias("row"), digest.alias("hash"))
+    once = marked.join(small(surplus), "hash", "left_anti")
+    repeated = written(found.filter(first & (F.col("n") > 1)).select(F.col("doc_id.hash").alias("hash")), "near-repeated")
     if not repeated.isEmpty():
-        once = once.join(small(repeated), "_hash", "left_anti").unionByName(marked.join(small(repeated), "_hash", "left_semi").dropDuplicates(["_hash"]))
-    return once.select(*docs.columns)
+        once = once.join(small(repeated), "hash", "left_anti").unionByName(marked.join(small(repeated), "hash", "left_semi").dropDuplicates(["hash"]))
+    return once.select("row.*")
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

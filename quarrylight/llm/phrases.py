@@ -46,7 +46,7 @@ LONGEST = 5
 SHARDS, SHARD_BYTES = 24, 48 << 20
 #: Bytes of text that are split at once, that the counting pass holds as numbers, and
 #: distinct words that it holds.
-SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 24 << 20, 1 << 20
+SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 64 << 20, 1 << 20
 #: The map of candidates has 2**BITS bits, in pieces as Spark's bitmap functions have them.
 BITS, PIECE = 26, 1 << 15
 #: Ends a piece of text; no word holds one of these signs.
@@ -169,12 +169,17 @@ class Numbered:
         self.size = 0
 
 
+def _sizes(texts: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and of a shard."""
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    return total, max(1, min(SHARD_BYTES, -(-total // SHARDS)))
+
+
 def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
-    """Passes 1 and 2: the map of all phrases that are frequent in a shard."""
+    """Passes 1 and 2: the map of all phrases that may be frequent."""
     ship_package(docs.sparkSession)
     texts = _texts(docs, text_col, lang_col)
-    total = texts.agg(F.sum("size")).first()[0] or 0
-    shard = max(1, min(SHARD_BYTES, -(-total // SHARDS)))
+    total, shard = _sizes(texts)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, earlier = Numbered(Vocabulary()), None
@@ -213,6 +218,8 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
     phrases with at least ``least`` occurrences; the empty phrase counts all words."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(known)
+    texts = _texts(docs, text_col, lang_col)
+    total, shard = _sizes(texts)  # small files together: a task sends a row a phrase
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Numbered(Vocabulary())
@@ -239,7 +246,7 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
                     yield from sums()
         yield from sums()
 
-    sums = _texts(docs, text_col, lang_col).drop("size").mapInArrow(count, "lang string, phrase string, n long")
+    sums = texts.drop("size").coalesce(max(1, -(-total // shard))).mapInArrow(count, "lang string, phrase string, n long")
     return sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import rules
 from quarrylight.functions.text import content_prefix_hash
+from quarrylight.operators.scan import beside, decayed
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -29,11 +30,10 @@ def insert_if_absent(current: DataFrame, incoming: DataFrame, keys: list[str], o
 
 def versions(rows: DataFrame, key: str, order: list[str], facts: list[str]) -> DataFrame:
     """Rows whose facts differ from the row before, numbered from 1 for each key."""
-    window = Window.partitionBy(key).orderBy(*order)
     digest = F.sha2(F.to_json(F.struct(*sorted(facts)), {"ignoreNullFields": "false"}), 256)
-    changed = rows.withColumn("_digest", digest).withColumn("_before", F.lag("_digest").over(window))
-    kept = changed.filter(~F.col("_digest").eqNullSafe(F.col("_before")))
-    return kept.withColumn("version", F.row_number().over(window)).drop("_digest", "_before")
+    told = beside(rows.withColumn("_digest", digest), key, order, "_digest")
+    kept = told.filter(F.col("_first") | ~F.col("_digest").eqNullSafe(F.col("_before")))
+    return kept.select(*rows.columns, F.col("_changes").cast("int").alias("version"))
 
 
 def accept_update(stored: DataFrame, offered: DataFrame, key: str) -> DataFrame:
@@ -69,9 +69,11 @@ def change_columns(before: str, after: str) -> Column:
 
 def debounce(changes: DataFrame, key: str, at: str, minutes: int = rules.DEBOUNCE_MINUTES) -> DataFrame:
     """``quiet``: another change of the key came in the minutes before."""
-    seconds = F.unix_seconds(F.col(at).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy(seconds).rangeBetween(-60 * minutes, Window.currentRow)
-    return changes.withColumn("quiet", F.count("*").over(window) > 1)
+    told = beside(changes.withColumn("_second", F.unix_seconds(F.col(at).cast("timestamp"))), key, ["_second"], "_second")
+    recent = F.col("_second") - F.col("_before") <= 60 * minutes
+    # a change of the same second counts, whichever of the two comes first
+    quiet = F.coalesce(recent, F.lit(False)) | F.coalesce(F.col("_after") == F.col("_second"), F.lit(False))
+    return told.withColumn("quiet", quiet).select(*changes.columns, "quiet")
 
 
 def overlay(rows: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -98,14 +100,8 @@ def last_judged(trace: Column) -> Column:
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
-    """Exponentially weighted mean of each key's values in order; the first starts it.
-
-    The mean is a weighted sum by the place from the end, so ranks and a sum do; no
-    history is gathered in memory, however long."""
-    back = Window.partitionBy(key).orderBy(F.desc(order))
-    ranked = rows.select(key, F.col(value).cast("double").alias("_v"), F.row_number().over(back).alias("_r"), F.lead(order).over(back).isNull().alias("_first"))
-    part = F.pow(F.lit(1 - weight), F.col("_r") - 1) * F.when(F.col("_first"), 1.0).otherwise(weight)
-    return ranked.groupBy(key).agg(F.sum(F.col("_v") * part).alias("smoothed"))
+    """Exponentially weighted mean of each key's values in order; the first starts it."""
+    return decayed(rows, key, order, value, weight)
 
 
 def failures_in_a_row(rows: DataFrame, key: str, order: str, failed: Column) -> DataFrame:

@@ -1,7 +1,8 @@
 """Language of a text by hierarchical discrimination: family first, then language.
 
 *Features.*  Letters are lower-cased and cut into words; a word gives its 1 to 3 letter
-grams, with its ends marked, hashed into :data:`BUCKETS` buckets.  A text is the mean of
+grams, with its ends marked, hashed into :data:`BUCKETS` buckets (all grams of a text at
+once, as arrays).  A text is the mean of
 its grams, each scaled so that rare and frequent grams weigh alike.  No length cap: every
 word of a text counts.
 
@@ -12,8 +13,7 @@ languages of each family.  :data:`FAMILIES` names closely related languages; a l
 in none is a family of its own.  A scale fitted on texts set aside turns margins into
 probabilities.
 
-*Prediction.*  Machines are linear, so a text's margins are the mean of its words'
-margins: a worker remembers those of frequent words.  The winner of a stage is the class
+*Prediction.*  The winner of a stage is the class
 with most duels won, then with the larger sum of margins; the score is the probability of
 its closest duel, multiplied over both stages.
 
@@ -28,8 +28,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.bpe import Memory
 from quarrylight.llm.common import ship_package, written
 
-BUCKETS = 1 << 12
+BITS, PIECE = 12, 1 << 20
+BUCKETS = 1 << BITS
 #: Texts that the machines learn from, at most, and languages that they tell apart.
 LABELLED, LANGUAGES = 4000, 200
 #: Closely related languages, by ISO 639-1 code.
@@ -57,8 +57,6 @@ FAMILIES = {
     "semitic": ("ar", "he", "mt"),
     "malayic": ("id", "ms", "jv", "su", "tl"),
 }
-#: Runs of letters that no digit or underscore touches: codes and keys have no language.
-WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 UNKNOWN = "und"
 
 
@@ -68,37 +66,59 @@ def family_of(lang: str) -> str:
     return next((name for name, members in FAMILIES.items() if code in members), f"={lang}")
 
 
-class Buckets(dict):
-    """Gram -> bucket; starts anew when it is full."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[gram] = bucket = crc32(gram.encode("utf-8", "replace")) % BUCKETS
-        return bucket
-
-
-_buckets = Buckets()
-
-
-def grams(chunk: str) -> list[int]:
-    """Buckets of the letter grams of a run of signs without white space."""
-    out: list[int] = []
-    for word in WORD.findall(chunk.lower()):
-        raw = f"<{word}>"
-        out += map(_buckets.__getitem__, word)
-        out += map(_buckets.__getitem__, map(str.__add__, raw, raw[1:]))
-        out += [_buckets[raw[i : i + 3]] for i in range(len(word))]
-    return out
-
-
-_memory = Memory(lambda chunk: np.array(grams(chunk), "<u2").tobytes(), 1 << 16)
+@cache
+def _classes() -> np.ndarray:
+    """Of each code point: 1 for a letter, 2 for what else can be in a word, 0."""
+    return np.array([1 if c.isalpha() else 2 if c.isalnum() or c == "_" else 0 for c in map(chr, range(0x110000))], np.uint8)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in parts of about :data:`PIECE` characters, cut at blanks where there are."""
+    while len(text) > PIECE:
+        cut = text.rfind(" ", 0, PIECE) + 1 or PIECE
+        yield text[:cut]
+        text = text[cut:]
+    yield text
+
+
+def _hashed(*signs: np.ndarray) -> np.ndarray:
+    """Bucket of a gram, from its code points (0: a word's end)."""
+    mixed = np.full(len(signs[0]), len(signs), np.uint32)
+    for sign in signs:
+        mixed = (mixed ^ sign) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+    return mixed >> np.uint32(32 - BITS)
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, bool]:
+    """How often each bucket occurs among a text's grams; whether it has a letter."""
+    total, letters = np.zeros(BUCKETS, np.int64), False
+    for piece in _pieces((text or "").lower()):
+        signs = np.frombuffer(piece.encode("utf-32-le", "replace"), "<u4")
+        signs = np.concatenate([[0], signs, [0]]).astype(np.uint32)
+        kind = _classes()[signs]
+        letter = kind == 1
+        if not letter.any():
+            continue
+        letters = True
+        # codes and keys have no language: words that touch a digit are left out
+        starts, ends = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1, np.flatnonzero(letter[:-1] & ~letter[1:])
+        touched = (kind[starts - 1] == 2) | (kind[ends + 1] == 2)
+        for a, b in zip(starts[touched].tolist(), ends[touched].tolist(), strict=True):
+            letter[a : b + 1] = False
+        signs = np.where(letter, signs, np.uint32(0))
+        at = np.flatnonzero(letter)
+        own, before, after = signs[at], signs[at - 1], signs[at + 1]
+        head = before == 0
+        grams = (_hashed(own), _hashed(own, after), _hashed(before[head], own[head]), _hashed(before, own, after))
+        total += np.bincount(np.concatenate(grams), minlength=BUCKETS)
+    return total, letters
 
 
 def frequencies(text: str | None) -> np.ndarray:
     """Shares of the buckets among a text's grams."""
-    found = np.frombuffer(b"".join(map(_memory.__getitem__, (text or "").split())), "<u2")
-    return np.bincount(found, minlength=BUCKETS).astype(np.float32) / max(1, len(found))
+    counts, _ = gram_counts(text)
+    return (counts / max(1, counts.sum())).astype(np.float32)
 
 
 def machine(x: np.ndarray, positive: np.ndarray, *, cost: float = 0.1, rounds: int = 12, seed: int = 42) -> np.ndarray:
@@ -198,7 +218,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Hierarchy | None:
 
     top = stage(families, np.ones(len(x), bool))
     below = [stage(langs_of, families == name) for name in top.members]
-    table = np.array(weights, np.float32).T if weights else np.zeros((BUCKETS, 0), np.float32)
+    table = np.array(weights).T if weights else np.zeros((BUCKETS, 0))
     return Hierarchy(np.ascontiguousarray(table), np.array(biases), top, below)
 
 
@@ -240,23 +260,13 @@ def predict(docs: DataFrame, model: Hierarchy | None, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        width = own.weights.shape[1] + 2
-
-        def of(chunk: str) -> bytes:
-            found, out = grams(chunk), np.zeros(width, np.float32)
-            out[:-2] = own.weights[found].sum(axis=0)
-            out[-2:] = len(found), any(map(str.isalpha, chunk))
-            return out.tobytes()
-
-        memory = Memory(of, max(1 << 10, min(1 << 17, (1 << 25) // width)))
         for batch in batches:
-            sums = np.zeros((batch.num_rows, width))
+            sums, number, letters = np.zeros((batch.num_rows, own.weights.shape[1])), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             for row, text in enumerate(batch.column("text")):
-                chunks = (text.as_py() or "").split()
-                for at in range(0, len(chunks), 1 << 16):
-                    sums[row] += np.frombuffer(b"".join(map(memory.__getitem__, chunks[at : at + (1 << 16)])), np.float32).reshape(-1, width).sum(axis=0, dtype=float)
-            names, score = own.predict(sums[:, :-2], sums[:, -2])
-            letters = sums[:, -1] > 0
+                counts, letters[row] = gram_counts(text.as_py())
+                number[row] = counts.sum()
+                sums[row] = counts @ own.weights
+            names, score = own.predict(sums, number)
             names = [n if some else UNKNOWN for n, some in zip(names, letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], names=schema.names)
 

@@ -39,15 +39,28 @@ def test_held_out_documents(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.99 * len(held)
 
 
-def brute(model, text):
-    """Family first, then language, gram by gram."""
+def bucket(gram):
+    mixed = len(gram)
+    for sign in gram:
+        mixed = ((mixed ^ sign) * 0x9E3779B1) % 2**32
+        mixed ^= mixed >> 15
+    return mixed >> 20
+
+
+def gram_counts(text):
+    """Word by word and gram by gram."""
     counts = np.zeros(BUCKETS)
-    for chunk in text.split():
-        for word in re.findall(r"(?<!\w)[^\W\d_]+(?!\w)", chunk.lower()):
-            raw = f"<{word}>"
-            found = [*word, *(raw[i : i + 2] for i in range(len(raw) - 1)), *(raw[i : i + 3] for i in range(len(raw) - 2))]
-            for gram in found:
-                counts[zlib.crc32(gram.encode()) % BUCKETS] += 1
+    for word in re.findall(r"(?<!\w)[^\W\d_]+(?!\w)", text.lower()):
+        raw = [0, *map(ord, word), 0]
+        for size, own in ((1, raw[1:-1]), (2, raw), (3, raw)):
+            for i in range(len(own) - size + 1):
+                counts[bucket(own[i : i + size])] += 1
+    return counts
+
+
+def brute(model, text):
+    """Family first, then language."""
+    counts = gram_counts(text)
     margins = counts / max(1, counts.sum()) @ model.weights + model.biases
 
     def winner(stage):
@@ -73,6 +86,16 @@ def test_against_a_second_implementation(spark):
         assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-3
 
 
+def test_grams_against_a_second_implementation(monkeypatch):
+    texts = ["", "a", "The cat, the CAT", "x1y ab_c d 2abc fg\tÉté ß İ", "日本語 日本 \U0001f600 \U00020000", "a" * 50, "one two three " * 9]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(language, "PIECE", piece)
+        for text in texts:
+            if piece > 7 or " " in text and max(map(len, text.split())) < 7 and "1" not in text:
+                assert (language.gram_counts(text)[0] == gram_counts(text)).all(), text
+    assert language.gram_counts("12 ½")[1] is False and language.gram_counts("1a")[1] is True
+
+
 def test_families_and_odd_rows(spark):
     odd = [(0, None, "en"), (1, "", "en"), (2, " 12 !? _ ½\n", "en"), (3, "日本語 日本", None), (4, "x" * 50_000, "en"), (5, "the of " * 40_000, "en"), (6, "qqq qxq", None), (None, "los las el", "es"), (7, "2abc3ff2ca", "en"), (8, "the\x00of \udc80".encode("utf-8", "ignore").decode(), "en")]
     result = languages(frame(spark, [*odd, odd[6]]), known(spark))

@@ -18,12 +18,17 @@ from pyspark.sql import types as T
 
 from quarrylight import rules
 from quarrylight.functions import dates
-from quarrylight.functions.similarity import Crowd, content_ratio, title_ratio
+from quarrylight.functions.similarity import Crowd, title_ratio
 from quarrylight.functions.text import editions_conflict, normalize_text, tokens
+from quarrylight.operators.similar import title_links
 from quarrylight.plans.common import staged
 from quarrylight.shipping import ship_package
 
 
+#: Ratio of two titles from which on they may be of one event.
+POSSIBLE = 85.0
+
+
 def compatible(a: str, b: str) -> Column:
     """The editions and dates of two rows (column prefixes) don't contradict."""
     ya, yb = F.col(f"{a}edition_year"), F.col(f"{b}edition_year")
@@ -31,22 +36,23 @@ def compatible(a: str, b: str) -> Column:
     return ~years & ~editions_conflict(F.col(f"{a}edition_key"), F.col(f"{b}edition_key")) & ~dates.dates_contradict(F.col(f"{a}start"), F.col(f"{b}start"))
 
 
-def compare(a: str, b: str) -> Column:
+def compare(a: str, b: str, ratio: Column | None = None) -> Column:
     """MERGE, POSSIBLE_DUPLICATE or SEPARATE for two rows with canonical_url,
-    registration_url (normalised), title and organizer (normalised), start, editions."""
+    registration_url (normalised), title and organizer (normalised), start, editions.
+    ``ratio``: that of the titles, if it is known."""
     c = lambda side, n: F.col(f"{side}{n}")
     same = lambda n: F.coalesce((c(a, n) == c(b, n)) & (c(a, n) != ""), F.lit(False))
     years = F.coalesce(c(a, "edition_year") != c(b, "edition_year"), F.lit(False))
     gap = dates.days_apart(c(a, "start")["value"], c(b, "start")["value"])
     close = F.coalesce(gap <= 14, F.lit(False))
-    ratio, organizer = title_ratio(c(a, "title"), c(b, "title")), same("organizer")
+    ratio, organizer = title_ratio(c(a, "title"), c(b, "title")) if ratio is None else ratio, same("organizer")
     far = dates.dates_contradict(c(a, "start"), c(b, "start"))
     return (
         F.when(years | editions_conflict(c(a, "edition_key"), c(b, "edition_key")), "SEPARATE")
         .when(same("canonical_url") | same("registration_url"), F.when(far, "SEPARATE").otherwise("MERGE"))
         .when(gap > 120, "SEPARATE")
         .when((ratio >= 92) & organizer & close, "MERGE")
-        .when((ratio >= 85) & (organizer | close), "POSSIBLE_DUPLICATE")
+        .when((ratio >= POSSIBLE) & (organizer | close), "POSSIBLE_DUPLICATE")
         .otherwise("SEPARATE")
     )
 
@@ -61,6 +67,18 @@ def _best(pairs: DataFrame, rung: str) -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("i_id").alias("id"), F.col("s_id").alias("match"), F.lit(rung).alias("rung"), "action")
 
 
+def _like_titles(i: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs of a block that titles or an address can bring together, with the ratio of
+    their titles: equal titles and equal addresses by equi-joins, others by
+    :func:`similar.title_links`.  No other pair of the block is looked at."""
+    titles = i.select("block", F.col("i_title").alias("text")).unionByName(t.select("block", F.col("s_title").alias("text")))
+    links = title_links(titles, POSSIBLE)
+    links = links.unionByName(links.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
+    same = [i.join(t.withColumnRenamed("block", "_b"), (F.col("block") == F.col("_b")) & (F.col(f"i_{k}") == F.col(f"s_{k}")) & (F.col(f"i_{k}") != "")).drop("_b").withColumn("ratio", F.lit(r)) for k, r in (("title", 100.0), ("canonical_url", 0.0), ("registration_url", 0.0))]
+    like = i.join(links.select("block", F.col("a").alias("i_title"), F.col("b").alias("s_title"), "ratio"), ["block", "i_title"]).join(t, ["block", "s_title"])
+    return reduce(DataFrame.unionByName, [*same, like])
+
+
 def _like_any(shared, least: float):
     """Arrays of words -> the numbers of the shared (number, words) that are like them."""
 
@@ -134,7 +152,7 @@ def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *,
         # an organizer's events, else a series', else those of one title
         block = lambda side: F.coalesce(*(F.nullif(f"{side}_{c}", F.lit("")) for c in ("organizer", "series_key") if c in stored.columns), F.col(f"{side}_title"))
         i, t = _sides(left, "i_").withColumn("block", block("i")), s.withColumn("block", block("s"))
-        pairs = i.join(t, "block").filter("i_id <> s_id").withColumn("action", compare("i_", "s_")).filter("action <> 'SEPARATE'")
+        pairs = _like_titles(i, t).filter("i_id <> s_id").withColumn("action", compare("i_", "s_", F.col("ratio"))).filter("action <> 'SEPARATE'")
         order = Window.partitionBy("i_id").orderBy(F.col("action") != "MERGE", "s_id")
         ranked = pairs.withColumn("n", F.row_number().over(order)).filter("n = 1")
         found.append(ranked.select(F.col("i_id").alias("id"), F.col("s_id").alias("match"), F.lit("title").alias("rung"), "action"))
@@ -158,12 +176,3 @@ def edition_leaders(rows: DataFrame, key: str, edition: str, order: list[str]) -
     led = own.join(named, "_key", "left").select("_key", "_edition", F.when(F.col("_edition").isNull(), F.coalesce("g.leader", "f.leader")).otherwise(F.col("f.leader")).alias("leader"))
     joined = rows.join(led, (F.col(key) == F.col("_key")) & F.col(edition).eqNullSafe(F.col("_edition")), "left")
     return joined.withColumn("leader", F.coalesce("leader", "id")).drop("_key", "_edition")
-
-
-def similar_to_leader(rows: DataFrame, block: str, text: str, least: float = rules.CONTENT_RATIO) -> DataFrame:
-    """Rows whose words are those of their block's leader (its smallest id), at least to
-    that ratio: id, leader, score.  One comparison a row, however large a block is."""
-    own = rows.select("id", F.col(block).alias("block"), normalize_text(F.col(text)).alias("t")).filter("block is not null")
-    first = own.groupBy("block").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = own.join(first, "block").filter(F.col("id") != F.col("first.id"))
-    return pairs.withColumn("score", content_ratio("t", "first.t")).filter(F.col("score") >= least).select("id", F.col("first.id").alias("leader"), "score")

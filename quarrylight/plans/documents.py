@@ -14,7 +14,8 @@ from quarrylight.operators.classify import classify_category, classify_document,
 from quarrylight.operators.decide import authority_points, tier
 from quarrylight.operators.extract import confidence, extract_eligibility, extract_location, merge_fill_only
 from quarrylight.operators.leads import mentions
-from quarrylight.operators.resolve import leaders, similar_recent, similar_to_leader
+from quarrylight.operators.resolve import leaders, similar_recent
+from quarrylight.operators.similar import similar_contents, similar_titles
 from quarrylight.sources.search import prefetched
 from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
@@ -206,13 +207,19 @@ def doc_prefetched(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOC_PREFETCHED = r"""SELECT 'https://x.test/' || doc_id AS url, 'prefetched' AS fetch_method, sha256(coalesce(text, '')) AS content_hash, regexp_matches(coalesce(text, ''), '[^ \t\n\x0B\f\r]') AS usable FROM documents"""
 
 
-def doc_similar_to_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share their first six words with a smaller one, the leader, and
-    most of the others; equal texts are folded first, so a frequent text is one row."""
-    d = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    first = F.slice(tokens(normalize_text(F.col("text"))), 1, 6)
-    blocked = d.withColumn("block", F.when(F.size(first) == 6, F.sha2(F.array_join(first, " "), 256)))
-    return similar_to_leader(blocked, "block", "text")
+def doc_similar_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class (equal words), and how many other classes have most
+    of its words."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    return similar_contents(d, "text").withColumnRenamed("id", "doc_id")
+
+
+def doc_similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the others of its language whose first line, as a title, is
+    spelled like its own."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    title = normalize_title(F.substring_index(F.col("text"), "\n", 1))
+    return similar_titles(d.select(F.col("doc_id").alias("id"), "lang", title.alias("title")), "lang", "title").withColumnRenamed("id", "doc_id")
 
 
 def doc_similar_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +310,7 @@ _names = ", ".join(repr(w) for w in (*rules.NAME_STOPS, *rules.NAME_WEAK, *sorte
 THREAD_LEADS = f"""WITH n AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM conversations)
 SELECT left(sha256(w || ' hackathon|2026'), 48) AS lead_key, w || ' hackathon' AS normalized_name, w || ' hackathon 2026' AS query, count(*) AS sightings FROM n WHERE w <> '' AND w NOT IN ({_names}) GROUP BY w"""
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_to_leader, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_contents, doc_similar_titles, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,

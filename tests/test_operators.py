@@ -122,11 +122,6 @@ def test_leaders(spark):
     assert rows(resolve.leaders(df, "key", ["at"]), "id", "leader") == [("a", "b"), ("b", "b"), ("c", "c")]
 
 
-def test_similar_to_the_leader(spark):
-    df = spark.createDataFrame([(1, "k", "join the code fest in may"), (2, "k", "dear all join the code fest in may"), (3, "k", "nothing alike whatsoever"), (4, None, "join the code fest in may")], "id int, b string, t string")
-    assert rows(resolve.similar_to_leader(df, "b", "t"), "id", "leader", "score") == [(2, 1, 100.0)]
-
-
 FACTS = "registration_state:string,registration_deadline:struct<value:timestamp>,event_start:struct<value:timestamp>,location:struct<city:string,venue:string>,eligibility:struct<student_only:boolean,university_students_allowed:boolean,professionals_allowed:boolean,philippines_allowed:boolean>,event_phase:string,event_end:struct<value:timestamp>,prize_information:string"
 
 

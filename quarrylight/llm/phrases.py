@@ -94,31 +94,36 @@ def levels(tokens: np.ndarray, hashes: np.ndarray, *, support: int = 1, known: n
     have the support (and, given a map, are in it), as have all their parts."""
     import pandas as pd
 
-    place = np.flatnonzero(tokens)
+    place = np.flatnonzero(tokens).astype(np.int32)
+    chain = hashes[tokens[place]]  # of the phrase at each place
     key = tokens[place].astype(np.int64)
-    chain = hashes[tokens]
-    own = chain.copy()
+    group = np.full(len(tokens) + 1, -1, np.int32)
     for length in range(1, LONGEST + 1):
         if known is not None:
-            slot = _slots(chain[place])
+            slot = _slots(chain)
             there = known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
-            place, key = place[there], key[there]
+            del slot
+            place, chain, key = place[there], chain[there], key[there]
         if not len(place):
             return
         code, distinct = pd.factorize(key)
-        count = np.bincount(code, minlength=len(distinct))
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = place[::-1]
+        distinct = len(distinct)
+        del key
+        count = np.bincount(code, minlength=distinct)
+        first = np.empty(distinct, np.int32)
+        first[code[::-1]] = np.arange(len(place) - 1, -1, -1, dtype=np.int32)
         good = count >= support
-        yield length, first[good], count[good], (chain[first[good]] * _SPREAD).view(np.int64)
-        dense = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
-        group = np.full(len(tokens) + 1, -1, np.int32)
-        group[place] = dense[code]
-        del code, place, key
-        place = np.flatnonzero((group[:-1] >= 0) & (group[1:] >= 0))
-        last = place + length
-        key = group[place].astype(np.int64) * len(hashes) + tokens[last]
-        chain[place] = chain[place] * _STEP + own[last]
+        yield length, place[first[good]], count[good], (chain[first[good]] * _SPREAD).view(np.int64)
+        dense = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)[code]
+        del code, first
+        group.fill(-1)
+        group[place] = dense
+        on = (dense >= 0) & (group[place + 1] >= 0)
+        place, chain, dense = place[on], chain[on], dense[on]
+        last = tokens[place + length]
+        key = dense.astype(np.int64) * len(hashes) + last
+        chain = chain * _STEP + hashes[last]
+        del dense, last, on
 
 
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:

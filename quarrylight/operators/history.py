@@ -115,15 +115,17 @@ def touch(current: DataFrame, seen: DataFrame, key: str, at: str, keep: list[str
     """Candidates with sightings merged in: new keys come in with their latest sighting,
     known ones get the later moment and, of the columns to ``keep``, a new value only
     where the sighting has one."""
-    newest = latest(seen, [key], [F.desc(at)]).select(key, F.col(at).alias("_at"), *(F.nullif(c, F.lit("")).alias(f"_{c}") for c in keep))
+    # of sightings of one moment the one with the largest values, null last
+    newest = latest(seen, [key], [F.desc(at), *map(F.desc, keep)]).select(key, F.col(at).alias("_at"), *(F.nullif(c, F.lit("")).alias(f"_{c}") for c in keep))
     both = current.join(newest, key, "full")
     return both.select(key, F.greatest(at, "_at").alias(at), *(F.coalesce(f"_{c}", c).alias(c) for c in keep), *(c for c in current.columns if c not in (key, at, *keep)))
 
 
-def append_snapshots(held: DataFrame, fetched: DataFrame, key: str, digest: str) -> DataFrame:
+def append_snapshots(held: DataFrame, fetched: DataFrame, key: str, digest: str, tie: str | None = None) -> DataFrame:
     """Fetched rows to append: those whose content isn't that of the key's newest
-    snapshot (``fetched_at`` orders them)."""
-    newest = latest(held, [key], [F.desc("fetched_at")]).select(key, F.col(digest).alias("_digest"))
+    snapshot.  ``fetched_at`` orders them, then ``tie`` (an id that grows), then the
+    digest: of snapshots of one moment always the same one is the newest."""
+    newest = latest(held, [key], [F.desc("fetched_at"), *([F.desc(tie)] if tie else []), F.desc(digest)]).select(key, F.col(digest).alias("_digest"))
     return fetched.join(newest, key, "left").filter(~F.col(digest).eqNullSafe(F.col("_digest"))).drop("_digest")
 
 

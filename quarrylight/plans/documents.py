@@ -15,7 +15,7 @@ from quarrylight.operators.decide import authority_points, tier
 from quarrylight.operators.extract import confidence, extract_eligibility, extract_location, merge_fill_only
 from quarrylight.operators.leads import mentions
 from quarrylight.operators.resolve import leaders, similar_recent
-from quarrylight.operators.similar import similar_contents, similar_titles
+from quarrylight.operators.similar import similar_contents
 from quarrylight.sources.search import prefetched
 from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
@@ -214,14 +214,6 @@ def doc_similar_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_contents(d, "text").withColumnRenamed("id", "doc_id")
 
 
-def doc_similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the others of its language whose first line, as a title, is
-    spelled like its own."""
-    d = table(spark, sf_dir, "documents").filter("doc_id is not null")
-    title = normalize_title(F.substring_index(F.col("text"), "\n", 1))
-    return similar_titles(d.select(F.col("doc_id").alias("id"), "lang", title.alias("title")), "lang", "title").withColumnRenamed("id", "doc_id")
-
-
 def doc_similar_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document announces (its summary) against the recent announcements, seen
     in the order of their ids, one a second: which of the 500 seen last have its words."""
@@ -310,7 +302,7 @@ _names = ", ".join(repr(w) for w in (*rules.NAME_STOPS, *rules.NAME_WEAK, *sorte
 THREAD_LEADS = f"""WITH n AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM conversations)
 SELECT left(sha256(w || ' hackathon|2026'), 48) AS lead_key, w || ' hackathon' AS normalized_name, w || ' hackathon 2026' AS query, count(*) AS sightings FROM n WHERE w <> '' AND w NOT IN ({_names}) GROUP BY w"""
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_contents, doc_similar_titles, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_contents, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,

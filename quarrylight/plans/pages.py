@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylight import rules
 from quarrylight.functions import urls
+from quarrylight.functions.text import normalize_title
+from quarrylight.operators.similar import similar_titles
 from quarrylight.plans.common import any_of, below, table
 from quarrylight.sources.html import hrefs_of, parse_html, title_of
 from quarrylight.sources.search import paid_seeds
@@ -122,6 +124,12 @@ def page_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_HASH = "SELECT page_id, sha256(html) AS content_hash FROM pages"
 
 
+def page_similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with the others of its top domain whose title is spelled like its own."""
+    p = table(spark, sf_dir, "pages").filter("page_id is not null").select(F.col("page_id").alias("id"), F.substring_index(urls.host_of(F.col("url")), ".", -2).alias("domain"), normalize_title(title_of(F.col("html"))).alias("title"))
+    return similar_titles(p, "domain", "title").withColumnRenamed("id", "page_id")
+
+
 def page_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the markup of each page says, by a parser."""
     p = table(spark, sf_dir, "pages").withColumn("p", parse_html("html", "url"))
@@ -148,5 +156,5 @@ def page_public_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_PUBLIC = f"SELECT page_id, page_id % 2 = 0 OR list_extract([{', '.join(repr(a in ('172.40.0.1', '8.8.8.8')).lower() for a in ADDRESSES)}], CAST(page_id % {len(ADDRESSES)} + 1 AS INTEGER)) AS public FROM pages"
 
-QUERIES = {f.__name__: f for f in (page_url_normalized, page_host_authority, page_url_flags, page_link_trust, page_title_links, page_host_counts, page_content_hash, page_parsed, page_fetch_policy, page_public_address, page_rendered_links, page_paid_results)}
+QUERIES = {f.__name__: f for f in (page_url_normalized, page_host_authority, page_url_flags, page_link_trust, page_title_links, page_host_counts, page_content_hash, page_similar_titles, page_parsed, page_fetch_policy, page_public_address, page_rendered_links, page_paid_results)}
 SQL = {"page_url_normalized": PAGE_URL, "page_host_authority": PAGE_AUTHORITY, "page_url_flags": PAGE_FLAGS, "page_link_trust": PAGE_TRUST, "page_title_links": PAGE_LINKS, "page_host_counts": PAGE_HOSTS, "page_content_hash": PAGE_HASH, "page_fetch_policy": PAGE_POLICY, "page_public_address": PAGE_PUBLIC, "page_rendered_links": PAGE_RENDERED, "page_paid_results": PAGE_PAID}

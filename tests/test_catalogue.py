@@ -61,7 +61,7 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
 from pyspark.sql import SparkSession
 s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
 import __spark_entry__ as e
-for name in ("thread_records", "page_parsed", "doc_similar_titles"):
+for name in ("thread_records", "page_parsed", "page_similar_titles"):
     assert e.queries()[name](s, {SF!r}).count() > 0
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)

@@ -176,6 +176,7 @@ NAME_HEADS = (
     "hackathon", "hackaton", "ideathon", "datathon", "codefest", "competition", "challenge", "tilt",
 )
 # words that no name reaches across
+ALIAS_CONNECTIVES = ("of", "the", "and", "for", "de", "la", "del", "los", "las", "ng", "sa", "at")
 NAME_STOPS = (
     "a", "an", "the", "this", "that", "these", "those", "some", "any", "every", "in", "on", "at", "of", "for", "to", "from", "with", "about", "by",
     "into", "and", "or", "but", "if", "as", "than", "then", "so", "because", "is", "are", "was", "were", "be", "been", "being", "am", "i", "we",

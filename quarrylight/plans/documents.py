@@ -17,7 +17,7 @@ from quarrylight.operators.leads import mentions
 from quarrylight.operators.resolve import leaders, similar_recent
 from quarrylight.operators.similar import similar_contents
 from quarrylight.sources.search import prefetched
-from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound
+from quarrylight.sources.threads import clean_lines, extract_urls, json_records, merge_threads, outbound, replayed
 from quarrylight.plans.common import LOWER, NORMAL, any_of, first_of, table
 
 #: A rules table whose terms occur in the invented prose of ``documents``.
@@ -257,6 +257,23 @@ WHEN NOT {any_of('x', rules.TALK_FORMATS)} AND {any_of('x', rules.TALK_WORDS)} T
 WHEN ({_cat} AND ({any_of('x', rules.ACTION_HINTS)} OR regexp_matches(b, '\\b20[0-9][0-9]\\b'))) OR ({any_of('x', rules.ACTION_HINTS)} AND regexp_matches(b, '\\b20[0-9][0-9]\\b')) THEN 'event' ELSE 'unrelated' END AS kind FROM t"""
 
 
+def thread_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as dumps of posts and replies with the kinds that they once had, read
+    back and judged again: rows of each kind before and now."""
+    ask = F.element_at(F.array(*map(F.lit, ASKS)), ((F.col("conv_id") + F.col("turn")) % len(ASKS) + 1).cast("int"))
+    item = F.struct(F.element_at(F.array(*map(F.lit, ONCE)), (F.col("turn") % len(ONCE) + 1).cast("int")).alias("kind"), F.concat(ask, "text").alias("text"), F.when(F.col("turn") > 0, F.col("conv_id")).alias("reply_to"))
+    dump = F.to_json(F.struct(F.array(F.struct(item.alias("node"))).alias("posts")))
+    dumps = table(spark, sf_dir, "conversations").select(dump.alias("payload"))
+    return replayed(dumps, "payload", lambda text: classify_mention(text, F.array().cast("array<string>")))
+
+
+ONCE = ("event", "question", "unrelated", "job")
+THREAD_REPLAY = f"""WITH k AS ({THREAD_KIND}),
+r AS (SELECT CASE WHEN k.turn > 0 THEN 'reply' ELSE 'post' END AS "where", list_extract([{", ".join(map(repr, ONCE))}], CAST(k.turn % {len(ONCE)} AS INTEGER) + 1) AS was, kind AS now FROM k),
+b AS (SELECT "where", was AS kind, 1 AS b, 0 AS n FROM r UNION ALL SELECT "where", now, 0, 1 FROM r)
+SELECT "where", kind, CAST(sum(b) AS BIGINT) AS before, CAST(sum(n) AS BIGINT) AS now FROM b GROUP BY "where", kind"""
+
+
 def thread_merge_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thread's turns as sightings of one post: its longest text (the earliest of
     equals), the roles in order as addresses, the first author of odd turns."""
@@ -302,10 +319,10 @@ _names = ", ".join(repr(w) for w in (*rules.NAME_STOPS, *rules.NAME_WEAK, *sorte
 THREAD_LEADS = f"""WITH n AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM conversations)
 SELECT left(sha256(w || ' hackathon|2026'), 48) AS lead_key, w || ' hackathon' AS normalized_name, w || ' hackathon 2026' AS query, count(*) AS sightings FROM n WHERE w <> '' AND w NOT IN ({_names}) GROUP BY w"""
 
-QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_contents, doc_similar_recent, order_labelled_dates, thread_classify, thread_merge_longest, thread_records, thread_leads)}
+QUERIES = {f.__name__: f for f in (doc_prefix_duplicates, doc_leaders, doc_normalized_title, doc_rule_category, doc_kind_ladder, doc_relevance_filter, doc_language_markers, doc_edition_key, doc_confidence_signals, doc_score_tier, doc_location, doc_eligibility, doc_merge_fill_only, doc_summary, doc_eligibility_summary, doc_prefetched, doc_similar_contents, doc_similar_recent, order_labelled_dates, thread_classify, thread_replay, thread_merge_longest, thread_records, thread_leads)}
 SQL = {
     "doc_prefix_duplicates": DOC_PREFIX, "doc_leaders": DOC_LEADERS, "doc_normalized_title": DOC_TITLE, "doc_rule_category": DOC_CATEGORY, "doc_kind_ladder": DOC_KIND,
     "doc_relevance_filter": DOC_RELEVANCE, "doc_language_markers": DOC_MARKERS, "doc_edition_key": DOC_EDITION, "doc_confidence_signals": DOC_CONFIDENCE,
     "doc_score_tier": DOC_SCORE, "doc_location": DOC_LOCATION, "doc_eligibility": DOC_ELIGIBILITY, "doc_merge_fill_only": DOC_MERGE, "order_labelled_dates": ORDER_DATES,
-    "doc_eligibility_summary": DOC_SENTENCE, "doc_prefetched": DOC_PREFETCHED, "thread_classify": THREAD_KIND, "thread_merge_longest": THREAD_LONGEST, "thread_records": THREAD_RECORDS, "thread_leads": THREAD_LEADS,
+    "doc_eligibility_summary": DOC_SENTENCE, "doc_prefetched": DOC_PREFETCHED, "thread_classify": THREAD_KIND, "thread_replay": THREAD_REPLAY, "thread_merge_longest": THREAD_LONGEST, "thread_records": THREAD_RECORDS, "thread_leads": THREAD_LEADS,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import dates
 from quarrylight.operators import history, leads, notify, reports
+from quarrylight.operators.buckets import merge_bucketed, read_bucketed
 from quarrylight.plans.common import shared_folder, table
 
 NOW = "2024-02-15 00:00:00"
@@ -170,6 +171,20 @@ EVENT_SMOOTHED = """WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS
 SELECT user_id, round(list_reduce(v, lambda m, x: 0.8::DOUBLE * m + 0.2::DOUBLE * x), 6) AS smoothed FROM s"""
 
 
+def event_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the events as a table of each user's newest, in buckets; the rest of
+    every fifth user's merged in, which rewrites their buckets alone."""
+    path, e = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", _events(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")
+    newest = [F.desc("ts"), F.desc("event_id")]
+    merge_bucketed(e.filter("event_id % 3 <> 0"), path, ["user_id"], newest)
+    merge_bucketed(e.filter("event_id % 3 = 0 and user_id % 5 = 0"), path, ["user_id"], newest)
+    return read_bucketed(spark, path).select("user_id", "event_id", "event_type")
+
+
+EVENT_MERGE = """WITH r AS (SELECT *, event_id % 3 = 0 AS late FROM events WHERE event_id % 3 <> 0 OR user_id % 5 = 0)
+SELECT user_id, event_id, event_type FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY late DESC, ts DESC, event_id DESC) = 1"""
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type, appended by a stream of micro-batches."""
     from quarrylight.streaming.seeds import append_new, read
@@ -261,11 +276,11 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TABLE_TOTALS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("events", "orders", "customer", "pages"))
 
-QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
+QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_merge, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
 SQL = {
     "event_latest_per_user": EVENT_LATEST, "event_retention": EVENT_RETENTION, "event_asof_purchase": EVENT_ASOF, "event_changes": EVENT_CHANGES, "event_versions": EVENT_VERSIONS,
     "event_debounce": EVENT_DEBOUNCE, "event_state_counts": EVENT_STATES, "event_reason_counts": EVENT_REASONS, "event_json_filter": EVENT_JSON, "event_last_success": EVENT_SUCCESS,
-    "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED,
+    "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED, "event_merge": EVENT_MERGE,
     "event_stream": EVENT_STREAM, "event_change_alerts": EVENT_ALERTS, "order_two_keys": ORDER_KEYS, "customer_announced": CUSTOMER_ANNOUNCED, "order_month_total": ORDER_TOTAL, "order_top_then_filter": ORDER_TOP,
     "order_overlay": ORDER_OVERLAY, "query_templates": QUERY_TEMPLATES, "table_totals": TABLE_TOTALS,
 }

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrylight import rules
+from quarrylight.operators.buckets import BUCKETS, bucket_of, exists, touched
+from quarrylight.plans.common import staged
 from quarrylight.shipping import ship_package
 
 
@@ -29,19 +31,18 @@ def not_older(stream: DataFrame, at: str, since: Column) -> DataFrame:
     return stream.filter(F.col(at).isNull() | (F.col(at) >= since))
 
 
-def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = BUCKETS) -> StreamingQuery:
     """Append each key once.  A batch that runs again overwrites its own folder, so the
-    effect of every batch is the same however often it runs."""
+    effect of every batch is the same however often it runs.  Rows lie in buckets of their
+    keys: a batch looks its keys up in the buckets that it touches, not in all output."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = transform(batch).dropDuplicates(keys)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.exists(folder):
-            earlier = spark.read.parquet(target).filter(F.col("batch") < number)
+        new = staged(transform(batch).dropDuplicates(keys).withColumn("bucket", bucket_of(keys, buckets)), "batch")
+        if exists(spark, target):
+            earlier = spark.read.parquet(target).filter((F.col("batch") < number) & F.col("bucket").isin(touched(new)))
             new = new.join(earlier.select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

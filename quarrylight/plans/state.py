@@ -200,6 +200,42 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_STREAM = "SELECT user_id, event_type, arg_min(event_id, struct_pack(ts := ts, event_id := event_id)) AS event_id FROM events GROUP BY user_id, event_type"
 
 
+def event_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of users as hosts, judged by a circuit breaker in a stream."""
+    from quarrylight.streaming.breaker import STORE, guarded
+    from quarrylight.streaming.seeds import read
+
+    folder = f"{shared_folder(spark)}/breaker-{uuid.uuid4().hex}"
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(F.col("event_type") == "purchase", "OK").when((F.col("event_type") == "signup") & (k % 2 == 0), "LIMITED").otherwise("FAILED")
+    stream = read(spark, sf_dir, _events(spark, sf_dir).schema, only="events.parquet")
+    requests = stream.select("user_id", F.col("event_id").alias("id"), (k % 9).cast("string").alias("url"), F.col("ts").cast("timestamp").alias("moment"), kind.alias("kind"), (k * 600).alias("delay"))
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    try:
+        for name, value in STORE.items():
+            spark.conf.set(name, value)
+        query = guarded(requests, "user_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", F.col("id").alias("event_id"), "admitted")
+
+
+EVENT_BREAKER = """WITH RECURSIVE
+r AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type FROM events),
+e AS (SELECT user_id, event_id, sec, CAST(k % 9 AS VARCHAR) AS url, CAST(k * 600 AS BIGINT) AS delay, CASE WHEN event_type = 'purchase' THEN 'OK' WHEN event_type = 'signup' AND k % 2 = 0 THEN 'LIMITED' ELSE 'FAILED' END AS kind,
+      row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS n FROM r),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, true AS admitted, CAST([] AS VARCHAR[]) AS failed, CAST(0 AS BIGINT) AS ends, CAST(NULL AS BIGINT) AS seen FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT user_id, n, event_id, lets, CASE WHEN NOT lets THEN f WHEN kind = 'OK' OR (kind = 'FAILED' AND len(g) >= 5) THEN [] WHEN kind = 'FAILED' THEN g ELSE f END,
+             CASE WHEN NOT lets THEN ends WHEN kind = 'LIMITED' THEN greatest(ends, sec + delay) WHEN kind = 'FAILED' AND len(g) >= 5 THEN sec + 3600 ELSE ends END, sec
+      FROM (SELECT e.*, s.ends, s.ends <= e.sec AS lets, CASE WHEN e.sec - s.seen > 86400 THEN [] ELSE s.failed END AS f,
+                   list_distinct(list_append(CASE WHEN e.sec - s.seen > 86400 THEN [] ELSE s.failed END, e.url)) AS g
+            FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT user_id, event_id, admitted FROM s WHERE n > 0"""
+
+
 def event_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts about the changes of a user's day, one for each."""
     kinds = {"signup": "REGISTRATION_OPENED", "purchase": "DEADLINE_EXTENDED", "click": "LOCATION_CHANGED", "error": "EVENT_CANCELLED", "view": "PRIZE_CHANGED"}
@@ -276,11 +312,11 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TABLE_TOTALS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("events", "orders", "customer", "pages"))
 
-QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_merge, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
+QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_merge, event_breaker, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
 SQL = {
     "event_latest_per_user": EVENT_LATEST, "event_retention": EVENT_RETENTION, "event_asof_purchase": EVENT_ASOF, "event_changes": EVENT_CHANGES, "event_versions": EVENT_VERSIONS,
     "event_debounce": EVENT_DEBOUNCE, "event_state_counts": EVENT_STATES, "event_reason_counts": EVENT_REASONS, "event_json_filter": EVENT_JSON, "event_last_success": EVENT_SUCCESS,
-    "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED, "event_merge": EVENT_MERGE,
+    "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED, "event_merge": EVENT_MERGE, "event_breaker": EVENT_BREAKER,
     "event_stream": EVENT_STREAM, "event_change_alerts": EVENT_ALERTS, "order_two_keys": ORDER_KEYS, "customer_announced": CUSTOMER_ANNOUNCED, "order_month_total": ORDER_TOTAL, "order_top_then_filter": ORDER_TOP,
     "order_overlay": ORDER_OVERLAY, "query_templates": QUERY_TEMPLATES, "table_totals": TABLE_TOTALS,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import dates
-from quarrylight.operators import history, leads, notify, reports
+from quarrylight.operators import commands, history, leads, notify, reports
 from quarrylight.operators.buckets import merge_bucketed, read_bucketed
 from quarrylight.plans.common import shared_folder, table
 
@@ -200,6 +200,28 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_STREAM = "SELECT user_id, event_type, arg_min(event_id, struct_pack(ts := ts, event_id := event_id)) AS event_id FROM events GROUP BY user_id, event_type"
 
 
+def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands on customers: edits, resets and deletes, which take the
+    customer's orders along; customers and orders that are left."""
+    k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    named, moved = F.concat(F.lit("n"), k.cast("string")), F.when(k % 4 > 0, F.concat(F.lit("s"), k.cast("string")))
+    op = F.when((kind == "error") & (k < 8), "DELETE").when(kind == "signup", "SEARCH_NOW").otherwise("EDIT")
+    fields = F.when(kind == "click", F.create_map(F.lit("name"), named)).when(kind == "view", F.create_map(F.lit("state"), moved)).when(kind == "purchase", F.create_map(F.lit("name"), named, F.lit("state"), moved))
+    log = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), op.alias("op"), fields.alias("fields"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("state"), F.col("c_nationkey").cast("int").alias("search_runs"))
+    left = commands.cascade(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), log, "id").groupBy("id").agg(F.count("*").alias("n"))
+    return commands.apply_commands(rows, log, "id").join(left, "id", "left").select("id", "name", "state", "search_runs", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+EVENT_COMMANDS = """WITH l AS (SELECT event_id AS seq, user_id AS id, event_type AS t, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+d AS (SELECT DISTINCT id FROM l WHERE t = 'error' AND k < 8),
+n AS (SELECT id, arg_max('n' || k, seq) AS v FROM l WHERE t IN ('click', 'purchase') GROUP BY id),
+s AS (SELECT id, CASE WHEN t = 'signup' THEN 'NEW' WHEN k % 4 > 0 THEN 's' || k END AS v FROM l WHERE t IN ('view', 'purchase', 'signup') QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+r AS (SELECT DISTINCT id FROM l WHERE t = 'signup'), o AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS id, coalesce(n.v, c_name) AS name, CASE WHEN s.id IS NULL THEN c_mktsegment ELSE s.v END AS state, CAST(CASE WHEN r.id IS NULL THEN c_nationkey ELSE 0 END AS INTEGER) AS search_runs, coalesce(o.n, 0) AS n_orders
+FROM customer LEFT JOIN n ON n.id = c_custkey LEFT JOIN s ON s.id = c_custkey LEFT JOIN r ON r.id = c_custkey LEFT JOIN o ON o.id = c_custkey WHERE c_custkey NOT IN (SELECT id FROM d)"""
+
+
 def event_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests of users as hosts, judged by a circuit breaker in a stream."""
     from quarrylight.streaming.breaker import STORE, guarded
@@ -312,11 +334,11 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TABLE_TOTALS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("events", "orders", "customer", "pages"))
 
-QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_merge, event_breaker, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
+QUERIES = {f.__name__: f for f in (event_latest_per_user, event_retention, event_asof_purchase, event_changes, event_versions, event_debounce, event_state_counts, event_reason_counts, event_json_filter, event_last_success, event_due_backoff, event_overdue_topk, event_upsert, event_outbox, event_smoothed, event_merge, event_commands, event_breaker, event_stream, event_change_alerts, order_two_keys, customer_announced, order_month_total, order_top_then_filter, order_overlay, query_templates, table_totals)}
 SQL = {
     "event_latest_per_user": EVENT_LATEST, "event_retention": EVENT_RETENTION, "event_asof_purchase": EVENT_ASOF, "event_changes": EVENT_CHANGES, "event_versions": EVENT_VERSIONS,
     "event_debounce": EVENT_DEBOUNCE, "event_state_counts": EVENT_STATES, "event_reason_counts": EVENT_REASONS, "event_json_filter": EVENT_JSON, "event_last_success": EVENT_SUCCESS,
-    "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED, "event_merge": EVENT_MERGE, "event_breaker": EVENT_BREAKER,
+    "event_due_backoff": EVENT_BACKOFF, "event_overdue_topk": EVENT_OVERDUE, "event_upsert": EVENT_UPSERT, "event_outbox": EVENT_OUTBOX, "event_smoothed": EVENT_SMOOTHED, "event_merge": EVENT_MERGE, "event_commands": EVENT_COMMANDS, "event_breaker": EVENT_BREAKER,
     "event_stream": EVENT_STREAM, "event_change_alerts": EVENT_ALERTS, "order_two_keys": ORDER_KEYS, "customer_announced": CUSTOMER_ANNOUNCED, "order_month_total": ORDER_TOTAL, "order_top_then_filter": ORDER_TOP,
     "order_overlay": ORDER_OVERLAY, "query_templates": QUERY_TEMPLATES, "table_totals": TABLE_TOTALS,
 }

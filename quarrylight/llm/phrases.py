@@ -31,7 +31,8 @@ rows count each time; other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -47,6 +48,8 @@ SHARDS, SHARD_BYTES = 24, 48 << 20
 #: Bytes of text that are split at once, that the counting pass holds as numbers, and
 #: distinct words that it holds.
 SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 64 << 20, 1 << 20
+#: Keys that are counted at once.
+PART = 1 << 20
 #: The map of candidates has 2**BITS bits, in pieces as Spark's bitmap functions have them.
 BITS, PIECE = 26, 1 << 15
 #: Ends a piece of text; no word holds one of these signs.
@@ -55,12 +58,49 @@ _FOLD = bytes.maketrans(b",;:!?\n\x0b\x0c\r", STOP * 9)
 _SPREAD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def folded(texts: list[bytes]) -> bytes:
+    """Texts as one, with A-Z in lower case and :data:`STOP` for what ends a piece."""
+    return (b" . ".join(texts)).lower().translate(_FOLD)
+
+
 def tokens_of(texts: list[bytes]) -> list[bytes]:
     """Words of texts in order, with :data:`STOP` between pieces.
 
-    ``lower`` of bytes changes A-Z alone, and ``split`` knows no white space but space,
-    tab and the line ends that are stops here."""
-    return (b" . ".join(texts)).lower().translate(_FOLD).replace(STOP, b" . ").split()
+    ``split`` of bytes knows no white space but space, tab and the line ends that are
+    stops here."""
+    return folded(texts).replace(STOP, b" . ").split()
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base modulo 2**64, and of its inverse."""
+    base = 0x9FB21C651E98DF25
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def token_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of folded text in order, 0 for a stop, by running sums."""
+    signs = np.frombuffer(data, np.uint8)
+    stop = signs == STOP[0]
+    word = np.concatenate([[False], ~(stop | (signs == 0x20) | (signs == 0x09)), [False]])
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
+    power, inverse = (p[: len(signs)] for p in _powers(max(1, len(signs)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((signs.astype(np.uint64) + np.uint64(1)) * power)])
+    at = np.zeros(len(signs), np.uint64)
+    at[starts] = np.maximum((sums[ends] - sums[starts]) * inverse[starts], np.uint64(1))
+    stop[starts] = True
+    return at[stop]
+
+
+def _split_at_blanks(data: bytes) -> Iterator[bytes]:
+    """Parts of about :data:`SPLIT_BYTES`, none of which cuts a word."""
+    while len(data) > 2 * SPLIT_BYTES:
+        cut = max(data.find(b" ", SPLIT_BYTES), data.find(STOP, SPLIT_BYTES))
+        if cut < 0:
+            break
+        yield data[:cut]
+        data = data[cut:]
+    yield data
 
 
 class Vocabulary(dict):
@@ -75,12 +115,11 @@ class Vocabulary(dict):
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
         out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         new = list(islice(self, len(self.words), None))
         self.words += new
-        self.hashes = np.append(self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
+        if new:
+            self.hashes = np.concatenate([self.hashes, *map(token_hashes, _split_at_blanks(b" ".join(new)))])
         return out
 
 
@@ -89,11 +128,30 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes * _SPREAD >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _numbered(key: np.ndarray, support: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """-> each key's number among those with the support, or -1; their first places and
+    counts.  Many keys go in parts, so that only one part's table is held."""
+    import pandas as pd
+
+    dense, firsts, counts, known = np.full(len(key), -1, np.int32), [], [], 0
+    parts = -(-len(key) // PART)
+    for part in range(parts):
+        at = np.flatnonzero(key % parts == part).astype(np.int32) if parts > 1 else np.arange(len(key), dtype=np.int32)
+        code, distinct = pd.factorize(key[at])
+        count = np.bincount(code, minlength=len(distinct))
+        first = np.empty(len(distinct), np.int32)
+        first[code[::-1]] = at[::-1]
+        good = count >= support
+        dense[at] = np.where(good, np.cumsum(good) - 1 + known, -1).astype(np.int32)[code]
+        known += int(good.sum())
+        firsts.append(first[good])
+        counts.append(count[good])
+    return dense, np.concatenate(firsts), np.concatenate(counts)
+
+
 def levels(tokens: np.ndarray, hashes: np.ndarray, *, support: int = 1, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """-> words, first places, counts and spread hashes of the phrases of each length that
     have the support (and, given a map, are in it), as have all their parts."""
-    import pandas as pd
-
     place = np.flatnonzero(tokens).astype(np.int32)
     chain = hashes[tokens[place]]  # of the phrase at each place
     key = tokens[place].astype(np.int64)
@@ -106,16 +164,9 @@ def levels(tokens: np.ndarray, hashes: np.ndarray, *, support: int = 1, known: n
             place, chain, key = place[there], chain[there], key[there]
         if not len(place):
             return
-        code, distinct = pd.factorize(key)
-        distinct = len(distinct)
+        dense, first, count = _numbered(key, support)
         del key
-        count = np.bincount(code, minlength=distinct)
-        first = np.empty(distinct, np.int32)
-        first[code[::-1]] = np.arange(len(place) - 1, -1, -1, dtype=np.int32)
-        good = count >= support
-        yield length, place[first[good]], count[good], (chain[first[good]] * _SPREAD).view(np.int64)
-        dense = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)[code]
-        del code, first
+        yield length, place[first], count, (chain[first] * _SPREAD).view(np.int64)
         group.fill(-1)
         group[place] = dense
         on = (dense >= 0) & (group[place + 1] >= 0)
@@ -131,15 +182,14 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"), F.octet_length(text).cast("long").alias("size"))
 
 
-class Numbered:
-    """Texts of each language as numbers of words, split a few at a time: words as
-    objects take ten times the room of their text."""
+class Held:
+    """Texts of each language as arrays, made of a few texts at a time: words as objects
+    take ten times the room of their text."""
 
-    def __init__(self, words: Vocabulary) -> None:
-        self.words, self.size = words, 0
+    def __init__(self, number: Callable[[list[bytes]], np.ndarray]) -> None:
+        self.number, self.size, self.waiting = number, 0, 0
         self.texts: dict[str, list[bytes]] = {}
         self.done: dict[str, list[np.ndarray]] = {}
-        self.waiting = 0
 
     def add(self, batch: pa.RecordBatch, rows: slice) -> None:
         column = batch.column("text").slice(rows.start, rows.stop - rows.start).cast(pa.binary())
@@ -153,18 +203,15 @@ class Numbered:
 
     def split(self) -> None:
         for lang, texts in self.texts.items():
-            self.done.setdefault(lang, []).append(self.words.numbers([*tokens_of(texts), STOP]))
+            self.done.setdefault(lang, []).append(self.number([*texts, b""]))
         self.size, self.waiting = self.size + self.waiting, 0
         self.texts.clear()
 
-    def joined(self, other: Numbered) -> bool:
-        """Take over another's texts, if they are numbered alike."""
-        if self.words is not other.words:
-            return False
+    def join(self, other: Held) -> None:
+        """Take over another's texts."""
         for lang, parts in other.done.items():
             self.done.setdefault(lang, []).extend(parts)
         self.size += other.size
-        return True
 
     def taken(self) -> Iterator[tuple[str, np.ndarray]]:
         """A language at a time, each given up as it is handed out."""
@@ -186,13 +233,22 @@ def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col:
     texts = _texts(docs, text_col, lang_col)
     total, shard = _sizes(texts)
 
+    def hashed(own: list[bytes]) -> np.ndarray:
+        return np.concatenate(list(map(token_hashes, _split_at_blanks(folded(own)))))
+
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, earlier = Numbered(Vocabulary()), None
+        import pandas as pd
+
+        held, earlier = Held(hashed), None
 
-        def mined(part: Numbered) -> Iterator[pa.RecordBatch]:
+        def mined(part: Held) -> Iterator[pa.RecordBatch]:
             support = max(1, -(-least * part.size // (2 * max(total, 1))))
-            for _, tokens in part.taken():
-                for _, _, count, key in levels(tokens, part.words.hashes, support=support):
+            for _, words in part.taken():
+                # words of one hash count as one: their phrases may be found too often,
+                # and are then counted by their words; a 0 before all makes the stop 0
+                tokens, hashes = pd.factorize(np.concatenate([np.zeros(1, np.uint64), words]))
+                del words
+                for _, _, count, key in levels(tokens.astype(np.int32), hashes, support=support):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count - (support - 1))], names=["key", "rest"])
 
         for batch in batches:
@@ -203,9 +259,9 @@ def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col:
                     # end isn't a shard of its own, with hardly a share
                     if earlier is not None:
                         yield from mined(earlier)
-                    earlier, held = held, Numbered(held.words if len(held.words) <= WORDS else Vocabulary())
-        if earlier is not None and not held.joined(earlier):
-            yield from mined(earlier)
+                    earlier, held = held, Held(hashed)
+        if earlier is not None:
+            held.join(earlier)
         yield from mined(held)
 
     rest = texts.coalesce(max(1, -(-total // shard))).mapInArrow(mine, "key long, rest long").groupBy("key").agg(F.sum("rest").alias("rest"))
@@ -227,10 +283,11 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
     total, shard = _sizes(texts)  # small files together: a task sends a row a phrase
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Numbered(Vocabulary())
+        words = Vocabulary()
+        held = Held(lambda own: words.numbers(tokens_of(own)))
 
         def sums() -> Iterator[pa.RecordBatch]:
-            words = held.words
+            nonlocal words
             for lang, tokens in held.taken():
                 phrases, numbers = [b""], [np.array([np.count_nonzero(tokens)])]
                 for length, first, n, _ in levels(tokens, words.hashes, known=shared.value):
@@ -242,7 +299,7 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
                     part = pa.array(phrases[at : at + (1 << 16)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part.view(pa.string()), pa.array(numbers[at : at + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
             if len(words) > WORDS:
-                held.words = Vocabulary()
+                words = Vocabulary()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -101,6 +101,7 @@ def test_many_small_shards_in_a_task(spark, monkeypatch):
     for shard, words in ((1, 1), (1, 1 << 20), (1500, 5)):
         monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
         monkeypatch.setattr(phrases, "WORDS", words)
+        monkeypatch.setattr(phrases, "PART", words)
         assert rows(collocations(frame(spark, texts, 2), least=6), *COLUMNS) == want
 
 
@@ -132,6 +133,23 @@ def test_no_rows_and_no_words(spark):
     assert collocations(frame(spark, [(None, None), ("", "en"), ("...", "en")]), least=1).count() == 0
 
 
+def test_hashes_of_tokens(monkeypatch):
+    """Equal words have equal hashes wherever they stand; stops are 0; cuts change nothing."""
+    texts = [b"One two\tTWO, three  . a\x1cb", b"", b"one" * 50 + b" end", " ß ".encode() * 40]
+    tokens, hashes = tokens_of(texts), phrases.token_hashes(phrases.folded(texts))
+    assert len(tokens) == len(hashes)
+    assert {(t == b".", int(h) == 0) for t, h in zip(tokens, hashes, strict=True)} == {(True, True), (False, False)}
+    assert len(set(zip(tokens, hashes.tolist(), strict=True))) == len(set(tokens)) == len(set(hashes.tolist()))
+    monkeypatch.setattr(phrases, "SPLIT_BYTES", 4)
+    parts = list(phrases._split_at_blanks(phrases.folded(texts)))
+    assert len(parts) > 3 and b"".join(parts) == phrases.folded(texts)
+    assert phrases.np.concatenate(list(map(phrases.token_hashes, parts))).tolist() == hashes.tolist()
+    assert phrases.token_hashes(b"").tolist() == []
+    words = phrases.Vocabulary()
+    numbers = words.numbers(tokens)
+    assert words.hashes[numbers].tolist() == hashes.tolist()
+
+
 def test_tokens():
     text = "AÄ b.c\td\x0ce f\x1cg"
     assert b" ".join(tokens_of([text.encode(), b"h"])).decode() == "aÄ b . c d . e f\x1cg . h"

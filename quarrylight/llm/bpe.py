@@ -32,7 +32,7 @@ from quarrylight.llm.common import ship_package
 
 #: Chunks that a worker remembers, twice (a young and an old generation), and the
 #: length up to which it remembers one: what it holds is bounded in bytes.
-REMEMBERED, LONGEST = 1 << 19, 48
+REMEMBERED, LONGEST = 1 << 18, 48
 #: White space of the tokenizer's patterns. str.split() also cuts at 1C to 1F.
 _GAPS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_GAPS = re.compile(r"[\x1c-\x1f]")

@@ -280,7 +280,9 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     texts = _texts(docs, text_col, lang_col)
-    total, shard = _sizes(texts)  # small files together: a task sends a row a phrase
+    total, _ = _sizes(texts)
+    # small files together, as a task sends a row a phrase
+    tasks = max(SHARDS // 2, -(-total // SHARD_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary()
@@ -308,7 +310,7 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
                     yield from sums()
         yield from sums()
 
-    sums = texts.drop("size").coalesce(max(1, -(-total // shard))).mapInArrow(count, "lang string, phrase string, n long")
+    sums = texts.drop("size").coalesce(tasks).mapInArrow(count, "lang string, phrase string, n long")
     return sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 

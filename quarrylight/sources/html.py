@@ -155,11 +155,11 @@ def parse(html: str | None, base: str | None) -> tuple:
     items = [v for s in page.scripts for v in _loaded(s)]
     title = " ".join((page.title or "").split())
     if event := next(filter(_is_event, items), None):
-        page.meta["event_json_ld"] = json.dumps(event, ensure_ascii=False)
+        page.meta["event_json_ld"] = json.dumps(event, ensure_ascii=False, separators=(",", ":"))
         title = title or str(event.get("name") or "")
     if page.failed:
         page.meta["parse_error"] = "true"
-    return title or None, page.main_text(), list(links)[:LINKS], page.meta, [json.dumps(v, ensure_ascii=False) for v in items[:BLOCKS]]
+    return title or None, page.main_text(), list(links)[:LINKS], page.meta, [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in items[:BLOCKS]]
 
 
 def _joined(base: str | None, href: str) -> str:

@@ -10,7 +10,7 @@ from quarrylight.functions import urls
 from quarrylight.functions.text import normalize_title
 from quarrylight.operators.similar import similar_titles
 from quarrylight.plans.common import any_of, below, table
-from quarrylight.sources.html import hrefs_of, parse_html, title_of
+from quarrylight.sources.html import content_hash, hrefs_of, parse_html, title_of
 from quarrylight.sources.search import paid_seeds
 
 HOST = r"lower(regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)', 2))"
@@ -118,7 +118,7 @@ PAGE_HOSTS = PAGE_URL.replace("SELECT page_id, coalesce(nullif(s", "SELECT h AS
 
 
 def page_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("content_hash"))
+    return table(spark, sf_dir, "pages").select("page_id", content_hash(F.col("html")).alias("content_hash"))
 
 
 PAGE_HASH = "SELECT page_id, sha256(html) AS content_hash FROM pages"

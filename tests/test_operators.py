@@ -413,3 +413,16 @@ def test_openings_are_filled_in(spark):
     df = spark.createDataFrame([(1, "One title of four", ("words here",), None), (2, "short", (None,), None), (3, "kept", (None,), "k")], "id int, title string, facts struct<description:string>, content_prefix_hash string")
     got = {r.id: r.content_prefix_hash for r in history.with_prefix(df).collect()}
     assert len(got[1]) == 32 and got[2] is None and got[3] == "k"
+
+
+def test_snapshots_of_one_moment_have_one_newest(spark):
+    """Two held snapshots of the same moment: the answer doesn't depend on their order."""
+    at = NOW
+    fetched = spark.createDataFrame([("k", "a", at)], "k string, digest string, fetched_at timestamp")
+    for order in (1, -1):
+        held = spark.createDataFrame([("k", "a", at, 1), ("k", "b", at, 2)][::order], "k string, digest string, fetched_at timestamp, row int").coalesce(1)
+        assert history.append_snapshots(held, fetched, "k", "digest").count() == 1
+        assert history.append_snapshots(held, fetched, "k", "digest", tie="row").count() == 1
+        seen = spark.createDataFrame([("k", at, "x"), ("k", at, None)][::order], "k string, at timestamp, title string").coalesce(1)
+        current = spark.createDataFrame([("k", at, "old")], "k string, at timestamp, title string")
+        assert history.touch(current, seen, "k", "at", ["title"]).first().title == "x"

@@ -1,7 +1,7 @@
 """Entity resolution: which incoming events are ones that we hold already.
 
 Rungs, each on the rows that the one before left over: a shared URL, a shared opening of
-the text (equi-joins), the words of one of the most recent rows, then similar titles
+the text (joins of groups of rows, not of rows), the words of one of the most recent rows, then similar titles
 within a block.  Merging is not
 transitive (editions and dates veto it), so rows attach to the block's leader and not
 to one another; in a batch the leader is its smallest row by ``order``."""
@@ -27,6 +27,9 @@ from quarrylight.shipping import ship_package
 
 #: Ratio of two titles from which on they may be of one event.
 POSSIBLE = 85.0
+#: Seconds that dates of one edition are apart at most, and in a bin of time.
+GAP = rules.EDITION_GAP_DAYS * 86400
+BIN = GAP // 16
 
 
 def compatible(a: str, b: str) -> Column:
@@ -61,10 +64,54 @@ def _sides(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{side}{c}") for c in df.columns))
 
 
-def _best(pairs: DataFrame, rung: str) -> DataFrame:
-    """The smallest partner of each incoming row."""
-    order = Window.partitionBy("i_id").orderBy("s_id")
-    return pairs.withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("i_id").alias("id"), F.col("s_id").alias("match"), F.lit(rung).alias("rung"), "action")
+def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each key: ``k``, ``key``, ``y`` and ``e`` (year and edition, empty if
+    there is none), ``t`` (seconds, of trustworthy dates only) and its bin, ``id``."""
+    year, edition = F.coalesce(F.col("edition_year").cast("string"), F.lit("")), F.coalesce("edition_key", F.lit(""))
+    t = F.when(dates.trustworthy(F.col("start")), F.unix_timestamp(F.col("start")["value"]))
+    each = [rows.select(F.lit(n).alias("k"), F.col(c).cast("string").alias("key"), year.alias("y"), edition.alias("e"), t.alias("t"), "id") for n, c in enumerate(columns)]
+    return reduce(DataFrame.unionByName, each).filter("key <> ''").withColumn("bin", F.expr(f"t div {BIN} - if(t % {BIN} < 0, 1, 0)"))
+
+
+def _least(rows: DataFrame, by: list[str], held: str = "id") -> DataFrame:
+    """The two smallest ids of each group: one of them is no row's own."""
+    ranked = rows.withColumn("_n", F.dense_rank().over(Window.partitionBy(*by).orderBy(held))).filter("_n <= 2")
+    return ranked.select(*by, F.col(held).alias("s_id")).distinct()
+
+
+def same_key(incoming: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:
+    """-> id, ``match``: the smallest compatible stored row that has one of the keys, for
+    incoming rows that have such a row.
+
+    Rows of a key don't meet: groups of rows do, of one year and edition, each with its
+    smallest ids.  Dates split time into bins of a sixteenth of the gap that is allowed:
+    rows up to fifteen bins away are near enough, whatever their dates, so bins meet bins;
+    only in the sixteenth bin do dates meet dates.  Without a date all of a key are near."""
+    i, s = _keyed(incoming, columns), _keyed(stored, columns)
+    group = ["k", "key", "y", "e"]
+    dated, undated = i.filter("t is not null"), i.filter("t is null")
+
+    def found(rows: DataFrame, sides: DataFrame, by: list[str], on: list[str], near: DataFrame | None = None) -> DataFrame:
+        """``by``: what rows have in common that are near the same; ``on``: equal columns."""
+        wanted = (rows.select(*by).distinct() if near is None else near).alias("i")
+        held = sides.select(*on, *(F.col(c).alias(f"s_{c}") for c in ("y", "e")), "s_id", *(F.col(c).alias("s_t") for c in ("t",) if c in sides.columns))
+        met = wanted.join(held, on).filter(((F.col("y") == "") | (F.col("s_y") == "") | (F.col("y") == F.col("s_y"))) & ~editions_conflict(F.col("e"), F.col("s_e")))
+        if "s_t" in held.columns:
+            met = met.filter(F.abs(F.col("t") - F.col("s_t")) <= GAP)
+        return rows.join(_least(met, by, "s_id"), by).filter("id <> s_id").select("id", "s_id")
+
+    def around(by: list[str], *bins: int) -> DataFrame:
+        near = F.explode(F.sequence(F.col("bin") + bins[0], F.col("bin") + bins[1], F.lit(bins[2]).cast("long")))
+        return dated.select(*by).distinct().withColumn("bin_", near)
+
+    far, there = 16, s.filter("t is not null").withColumn("bin_", F.col("bin"))
+    pairs = [
+        found(undated, _least(s, group), group, ["k", "key"]),
+        found(dated, _least(s.filter("t is null"), group), group, ["k", "key"]),
+        found(dated, _least(there, [*group, "bin_"]), [*group, "bin"], ["k", "key", "bin_"], around([*group, "bin"], 1 - far, far - 1, 1)),
+        found(dated, _least(there, [*group, "bin_", "t"]), [*group, "bin", "t"], ["k", "key", "bin_"], around([*group, "bin", "t"], -far, far, 2 * far)),
+    ]
+    return reduce(DataFrame.unionByName, pairs).groupBy("id").agg(F.min("s_id").alias("match"))
 
 
 def _like_titles(i: DataFrame, t: DataFrame) -> DataFrame:
@@ -134,15 +181,13 @@ def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *,
     left, found = incoming, []
     s = _sides(stored, "s_")
     for rung, columns in keys.items():
-        i = _sides(left, "i_")
-        # one equi-join for each key: a disjunction would compare all with all
-        pairs = [i.join(s, (F.col(f"i_{k}") == F.col(f"s_{k}")) & (F.col(f"i_{k}") != "") & (F.col("i_id") != F.col("s_id"))).filter(compatible("i_", "s_")) for k in columns]
-        got = _best(reduce(DataFrame.unionByName, pairs).withColumn("action", F.lit("MERGE")), rung)
+        # written once: what a rung found is asked for by all after it
+        got = staged(same_key(left, stored, columns).select("id", "match", F.lit(rung).alias("rung"), F.lit("MERGE").alias("action")), "rung")
         found.append(got)
         left = left.join(got.select("id"), "id", "left_anti")
     if text is not None:
         left = staged(left, "unmatched")
-        # written once: the rung runs in Python, and the next one asks what it left over
+        # written once, too: the rung runs in Python, and the next one asks what it left over
         near = staged(similar_recent(left, stored, text, seen, as_of), "content")
         pairs = _sides(left, "i_").join(near, F.col("i_id") == F.col("id")).join(s, F.col("match") == F.col("s_id")).filter(compatible("i_", "s_"))
         got = pairs.groupBy(F.col("i_id").alias("id")).agg(F.min_by("s_id", "newness").alias("match"))
@@ -151,7 +196,7 @@ def match(incoming: DataFrame, stored: DataFrame, keys: dict[str, list[str]], *,
     if by_title:
         # an organizer's events, else a series', else those of one title
         block = lambda side: F.coalesce(*(F.nullif(f"{side}_{c}", F.lit("")) for c in ("organizer", "series_key") if c in stored.columns), F.col(f"{side}_title"))
-        i, t = _sides(left, "i_").withColumn("block", block("i")), s.withColumn("block", block("s"))
+        i, t = staged(_sides(left, "i_").withColumn("block", block("i")), "left"), s.withColumn("block", block("s"))
         pairs = _like_titles(i, t).filter("i_id <> s_id").withColumn("action", compare("i_", "s_", F.col("ratio"))).filter("action <> 'SEPARATE'")
         order = Window.partitionBy("i_id").orderBy(F.col("action") != "MERGE", "s_id")
         ranked = pairs.withColumn("n", F.row_number().over(order)).filter("n = 1")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -117,6 +118,31 @@ def test_resolution_rungs(spark):
     assert rows(got, "id", "match", "rung", "action") == [("i1", "s1", "url", "MERGE"), ("i3", "s2", "prefix", "MERGE"), ("i4", "s2", "title", "MERGE")]
 
 
+def test_rows_of_a_key_against_all_pairs(spark):
+    """Groups of rows meet, and each row gets the smallest compatible one: of years,
+    editions and dates up to the very gap, before 1970, too; none is its own match."""
+    draw = random.Random(4)
+    gap, base = 45 * 86400, -20 * 86400
+    moments = [base + d for d in (0, gap, gap + 1, -gap, -gap - 1, gap // 16, gap - gap // 16, 7, 2 * gap)]
+    data = []
+    for i in range(240):
+        t = draw.choice([None, *moments, draw.randrange(-4 * gap, 4 * gap)])
+        start = None if t is None else (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=t), draw.choice([0.95, 0.95, 0.95, 0.1]), draw.random() < 0.1)
+        key = draw.choice([None, "", "2026", "2026-03", "2027", "2027-09"])
+        data.append((i, draw.choice([None, "", "u1", "u2"]), draw.choice([None, None, "u1", "r1"]), start, key, draw.choice([None, int(key[:4]) if key else None]), t))
+    df = spark.createDataFrame(data, "id int, canonical_url string, registration_url string, start struct<value:timestamp,confidence:double,year_inferred:boolean>, edition_key string, edition_year int, t long").repartition(3)
+    i, s = df.filter("id % 2 = 0 or id % 5 = 0"), df.filter("id % 2 = 1")
+    got = resolve.same_key(i, s, ["canonical_url", "registration_url"])
+    side = lambda d, p: d.select(*(F.col(c).alias(p + c) for c in d.columns))
+    same = "((i_canonical_url = s_canonical_url and i_canonical_url <> '') or (i_registration_url = s_registration_url and i_registration_url <> '')) and i_id <> s_id"
+    want = side(i, "i_").join(side(s, "s_"), F.expr(same)).filter(resolve.compatible("i_", "s_")).groupBy(F.col("i_id").alias("id")).agg(F.min("s_id").alias("match"))
+    assert rows(got, "id", "match") == rows(want, "id", "match")
+    assert got.count() > 60
+    assert resolve.same_key(i.limit(0), s, ["canonical_url"]).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_leaders(spark):
     df = spark.createDataFrame([("b", 1, "k"), ("a", 2, "k"), ("c", 1, None)], "id string, at int, key string")
     assert rows(resolve.leaders(df, "key", ["at"]), "id", "leader") == [("a", "b"), ("b", "b"), ("c", "c")]

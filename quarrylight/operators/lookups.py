@@ -32,6 +32,33 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, start: str, end: st
     return joined.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).select(*points.columns, *ranges.columns)
 
 
+def totals_in_ranges(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, **totals: tuple[str, str]) -> DataFrame:
+    """The ranges that hold a point, with totals of the points in each: name = (function,
+    column), the function ``sum``, ``min`` or ``max``.  No pair of a point and a range is made.
+
+    Points are summed up by moment, and these by dyadic cells; a range is the union of at
+    most two cells of each width, so it meets twice as many totals as it has bits."""
+    combine = lambda f, c: getattr(F, f)(c)
+    if set(totals) & set(ranges.columns) or any(f not in ("sum", "min", "max") for f, _ in totals.values()):
+        raise ValueError("totals are sums, minima or maxima, and no columns of the ranges")
+    known = ranges.select(start, end).filter(F.col(start) < F.col(end)).distinct()
+    longest = known.agg(F.max(F.col(end) - F.col(start))).first()[0] or 1
+    levels = range(longest.bit_length())
+    bin_of = lambda value, level: F.call_function("shiftright", value, F.lit(level))
+
+    def cells(level: int) -> Column:
+        low, high = -bin_of(-F.col(start), level), bin_of(F.col(end), level)
+        one = lambda odd, cell: F.when((low < high) & (odd % 2 != 0), F.struct(F.lit(level).alias("l"), cell.alias("b")))
+        return F.array(one(low, low), one(high, high - 1))
+
+    moments = points.filter(F.col(at).isNotNull()).groupBy(at).agg(*(combine(f, c).alias(n) for n, (f, c) in totals.items()))
+    placed = moments.withColumn("_k", F.explode(F.array(*(F.struct(F.lit(k).alias("l"), bin_of(F.col(at), k).alias("b")) for k in levels))))
+    summed = placed.groupBy("_k.l", "_k.b").agg(*(combine(f, n).alias(n) for n, (f, _) in totals.items()))
+    pieces = known.withColumn("_c", F.explode(F.flatten(F.array(*map(cells, levels))))).filter("_c is not null").select(start, end, "_c.l", "_c.b")
+    told = pieces.join(summed, ["l", "b"]).groupBy(start, end).agg(*(combine(f, n).alias(n) for n, (f, _) in totals.items()))
+    return ranges.join(told, [start, end]).select(*ranges.columns, *totals)
+
+
 def near(left: DataFrame, right: DataFrame, a: str, b: str, within: int) -> DataFrame:
     """Rows of both sides whose longs ``a`` and ``b`` are at most ``within`` apart."""
     around = right.withColumns({"_from": F.col(b) - within, "_to": F.col(b) + within + 1})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import normalize_text, tokens
-from quarrylight.operators.lookups import in_ranges, near, term_hits
+from quarrylight.operators.lookups import near, term_hits, totals_in_ranges
 from quarrylight.plans.common import NORMAL, table
 
 
@@ -37,7 +37,8 @@ def order_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.lit(8766) + (k * 37) % 2400  # from 1994-01-01 on
     windows = table(spark, sf_dir, "supplier").select("s_suppkey", start.cast("long").alias("from_day"), (start + F.element_at(F.array(F.lit(14), F.lit(45), F.lit(120)), (k % 3 + 1).cast("int"))).cast("long").alias("to_day"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", _day("o_orderdate").alias("day"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    return in_ranges(orders, windows, "day", "from_day", "to_day").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.min("o_orderkey").alias("first_order"))
+    totals = totals_in_ranges(orders.withColumn("one", F.lit(1).cast("long")), windows, "day", "from_day", "to_day", n=("sum", "one"), cents=("sum", "cents"), first_order=("min", "o_orderkey"))
+    return totals.select("s_suppkey", "n", "cents", "first_order")
 
 
 ORDER_WINDOWS = """WITH w AS (SELECT s_suppkey, 8766 + (s_suppkey * 37) % 2400 AS a, CASE s_suppkey % 3 WHEN 0 THEN 14 WHEN 1 THEN 45 ELSE 120 END AS n FROM supplier),

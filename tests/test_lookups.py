@@ -32,6 +32,26 @@ def test_ranges_against_all_pairs(spark):
         lookups.in_ranges(p, p, "at", "at", "at")
 
 
+def test_totals_in_ranges_against_all_pairs(spark):
+    draw = random.Random(3)
+    points = [(i, draw.choice([None, 5, 5, -1, 0, draw.randrange(-300, 300)]), draw.choice([None, draw.randrange(-50, 50)])) for i in range(300)]
+    spans = [(i, a, a + draw.randrange(0, 200)) for i, a in enumerate(draw.randrange(-300, 300) for _ in range(80))] + [(80, 5, 5), (81, 9, 3), (82, None, 4), (83, 1, None), (84, -(1 << 40), 1 << 40), (85, -1, 1), (86, 5, 6), (87, 5, 6)]
+    p, r = spark.createDataFrame(points, "p int, at long, v long"), spark.createDataFrame(spans, "r int, lo long, hi long")
+    got = lookups.totals_in_ranges(p, r, "at", "lo", "hi", total=("sum", "v"), first=("min", "p"), last=("max", "p"))
+    assert got.columns == ["r", "lo", "hi", "total", "first", "last"]
+    want = []
+    for j, a, b in spans:
+        inside = [(i, v) for i, x, v in points if None not in (x, a, b) and a <= x < b]
+        values = [v for _, v in inside if v is not None]
+        if inside:
+            want.append((j, sum(values) if values else None, min(inside)[0], max(inside)[0]))
+    assert rows(got, "r", "total", "first", "last") == sorted(want) and len(want) > 70
+    for some, others in ((p.limit(0), r), (p, r.limit(0))):
+        assert lookups.totals_in_ranges(some, others, "at", "lo", "hi", first=("min", "p")).count() == 0
+    with pytest.raises(ValueError):
+        lookups.totals_in_ranges(p, r, "at", "lo", "hi", mean=("avg", "v"))
+
+
 def test_terms_against_a_search(spark, monkeypatch):
     draw = random.Random(2)
     words = ["one", "two", "Three", "four", "É", "a"]

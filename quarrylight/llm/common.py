@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.plans.common import shared_folder
 from quarrylight.shipping import ship_package
 
-__all__ = ["ship_package", "shared_folder", "small", "table", "words_of", "written"]
+__all__ = ["give_back", "ship_package", "shared_folder", "small", "table", "words_of", "written"]
 
 #: The white space that separates words: space, and tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -20,6 +22,15 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1 << 21
 
 
+def give_back() -> None:
+    """Free memory goes back to the machine: a worker outlives its task, and what it
+    keeps for itself counts beside what the next task's workers take."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table of a few longs a row, broadcast if it is counted to be small, so
     that texts aren't shuffled to meet it; a larger one is joined by shuffling."""

@@ -40,16 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ship_package, small, written
+from quarrylight.llm.common import give_back, ship_package, small, written
 
 LONGEST = 5
 #: Shards at least (uneven tasks make more), and bytes of text in one at most.
 SHARDS, SHARD_BYTES = 24, 48 << 20
-#: Bytes of text that are split at once, that the counting pass holds as numbers, and
-#: distinct words that it holds.
-SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 64 << 20, 1 << 20
+#: Bytes of text that are split into words at once, that are hashed at once, that the counting pass
+#: holds as numbers, and distinct words that it holds.
+WAIT_BYTES, SPLIT_BYTES, CHUNK_BYTES, WORDS = 1 << 20, 1 << 18, 64 << 20, 1 << 19
 #: Keys that are counted at once.
-PART = 1 << 20
+PART = 1 << 19
 #: The map of candidates has 2**BITS bits, in pieces as Spark's bitmap functions have them.
 BITS, PIECE = 26, 1 << 15
 #: Ends a piece of text; no word holds one of these signs.
@@ -197,7 +197,7 @@ class Held:
             text = text.as_py()
             self.texts.setdefault(lang, []).append(text)
             self.waiting += len(text)
-            if self.waiting >= SPLIT_BYTES:
+            if self.waiting >= WAIT_BYTES:
                 self.split()
         self.split()
 
@@ -248,9 +248,13 @@ def candidates(docs: DataFrame, *, least: int, text_col: str = "text", lang_col:
                 # and are then counted by their words; a 0 before all makes the stop 0
                 tokens, hashes = pd.factorize(np.concatenate([np.zeros(1, np.uint64), words]))
                 del words
-                for _, _, count, key in levels(tokens.astype(np.int32), hashes, support=support):
+                tokens = tokens.astype(np.int32)
+                for _, _, count, key in levels(tokens, hashes, support=support):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count - (support - 1))], names=["key", "rest"])
+                del tokens, hashes
+                give_back()
 
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 held.add(batch, slice(at, min(at + 256, batch.num_rows)))
@@ -285,6 +289,7 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
     tasks = max(SHARDS // 2, -(-total // SHARD_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = Vocabulary()
         held = Held(lambda own: words.numbers(tokens_of(own)))
 
@@ -302,6 +307,7 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part.view(pa.string()), pa.array(numbers[at : at + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
             if len(words) > WORDS:
                 words = Vocabulary()
+            give_back()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -309,6 +315,8 @@ def counted(docs: DataFrame, known: np.ndarray, *, least: int, text_col: str = "
                 if held.size >= CHUNK_BYTES:
                     yield from sums()
         yield from sums()
+        held = words = None
+        give_back()
 
     sums = texts.drop("size").coalesce(tasks).mapInArrow(count, "lang string, phrase string, n long")
     return sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))

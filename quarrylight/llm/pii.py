@@ -27,13 +27,14 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm.boosting import BoostedTrees, calibrated_threshold
-from quarrylight.llm.common import ship_package
+from quarrylight.llm.common import give_back, ship_package
 
 #: In the order in which results list them; the last three are only ever added.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "national_id")
@@ -330,8 +331,10 @@ def redact(docs: DataFrame, *, text_col: str = "text", precision: float = PRECIS
     model, thresholds = trained(precision=precision)
 
     @F.pandas_udf(T.StringType())
-    def clean(column):
-        return column.map(lambda t: redacted(t, spans_of(t, model, thresholds)[1]) if t else t)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()  # of what the stages before left in this worker
+        for batch in batches:
+            yield batch.map(lambda t: redacted(t, spans_of(t, model, thresholds)[1]) if t else t)
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
 

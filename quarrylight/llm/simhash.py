@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import ship_package, small, written
+from quarrylight.llm.common import give_back, ship_package, small, written
 
 #: Fingerprints at an anchor beyond which the finest code takes over.
 CROWD = 32
@@ -316,6 +316,7 @@ def _marked(source: DataFrame, shingle: int, similarity: float) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("key"), pa.array(nodes), pa.array(prints), pa.array([len(h) for h in sets], pa.int32()), pa.array([parities(h) for h in sets], pa.binary())]
             columns += [pa.array([p for p, _ in starts], pa.list_(pa.int64())), pa.array([c for _, c in starts], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -384,6 +385,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for batch in batches:
                 keep = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
         return written(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"), "near-links")
 

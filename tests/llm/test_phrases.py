@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -153,3 +154,13 @@ def test_hashes_of_tokens(monkeypatch):
 def test_tokens():
     text = "AÄ b.c\td\x0ce f\x1cg"
     assert b" ".join(tokens_of([text.encode(), b"h"])).decode() == "aÄ b . c d . e f\x1cg . h"
+
+
+def test_words_are_hashed_in_small_parts():
+    """A worker keeps the powers that its largest part needs: parts are small, cut no word,
+    and hash as the whole does."""
+    draw = np.random.default_rng(3)
+    data = b" ".join(b"w%d" % n + b" ." * (n % 7 == 0) for n in draw.integers(0, 5000, 200_000).tolist())
+    parts = list(phrases._split_at_blanks(data))
+    assert b"".join(parts) == data and max(map(len, parts)) <= 1 << 19
+    assert np.array_equal(np.concatenate([phrases.token_hashes(p) for p in parts]), phrases.token_hashes(data))

@@ -72,9 +72,11 @@ class ForcedBoundaryCodec:
     Reads word-level BPE files: NFC, lower case, white space dropped, a pattern
     that splits words, byte-level alphabet, an end-of-word suffix, no decoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, cut: bool = True):
         from tokenizers import Tokenizer
 
+        #: words of up to LONGEST signs are cut, too; the ids are the same
+        self.cut = cut
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
         model = spec["model"]
@@ -105,7 +107,7 @@ class ForcedBoundaryCodec:
     def _word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
             word = word.encode().decode("latin-1").translate(self.alphabet)
-        if self.joined.issuperset(map(add, word, word[1:])):
+        if not self.cut and len(word) <= LONGEST or self.joined.issuperset(map(add, word, word[1:])):
             ids = [t.id for t in self.last.tokenize(word)]
         else:
             *inner, last = self.fragments(word)
@@ -140,14 +142,14 @@ class ForcedBoundaryCodec:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-_codecs: dict[str, ForcedBoundaryCodec] = {}
+_codecs: dict[tuple[str, bool], ForcedBoundaryCodec] = {}
 
 
-def codec(path: str) -> ForcedBoundaryCodec:
+def codec(path: str, *, cut: bool = True) -> ForcedBoundaryCodec:
     """The codec of this worker process for a file."""
-    if path not in _codecs:
-        _codecs[path] = ForcedBoundaryCodec(path)
-    return _codecs[path]
+    if (path, cut) not in _codecs:
+        _codecs[path, cut] = ForcedBoundaryCodec(path, cut=cut)
+    return _codecs[path, cut]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, as_text: bool = False) -> DataFrame:

@@ -87,7 +87,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end
     given = crc32 if checksum else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer)
+        own = codec(tokenizer, cut=False)  # looking for cuts costs more than it saves here
         sequence = TaskContext.get().partitionId() << 32
         out: list[tuple] = []
         rest: list[tuple] = []

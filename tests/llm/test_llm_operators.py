@@ -736,3 +736,17 @@ def test_word_vectors_against_brute_force(spark):
     own = c.buckets_of(texts[5])
     mean = sum(vectors[b] for b in own.tolist()) / len(own)
     assert np.allclose(c.pooled(texts[5], vectors), mean / np.linalg.norm(mean), atol=1e-4) and not c.pooled(None, vectors).any()
+
+
+def test_packing_looks_for_no_cuts(monkeypatch):
+    """Short words are encoded whole, to the same ids."""
+    from quarrylight.llm import bpe
+    from quarrylight.llm.queries import tokenizer_path
+
+    texts = ["", "Straße naïve café 3x-ray", "zqxj" * 6 + " vkwz#~{} 漢字ΔΣ", "<|endoftext|> it's don't", "qzx" * 200]
+    want = [bpe.codec(tokenizer_path()).encode(t) for t in texts]
+    whole = bpe.ForcedBoundaryCodec(tokenizer_path(), cut=False)
+    assert [whole.encode(t) for t in texts] == want
+    monkeypatch.setattr(whole, "fragments", None)
+    whole.chunks.clear()
+    assert [whole.encode(t) for t in texts[:-1]] == want[:-1]

@@ -334,9 +334,12 @@ def redact(docs: DataFrame, *, text_col: str = "text", precision: float = PRECIS
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         give_back()  # of what the stages before left in this worker
         for batch in batches:
-            yield batch.map(lambda t: redacted(t, spans_of(t, model, thresholds)[1]) if t else t)
+            for at in range(0, len(batch), 256):
+                yield batch[at : at + 256].map(lambda t: redacted(t, spans_of(t, model, thresholds)[1]) if t else t)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    # texts that can't hold a span needn't leave the JVM
+    text = F.col(text_col)
+    return docs.withColumn(text_col, F.coalesce(clean(F.when(text.rlike(HINT.pattern), text)), text))
 
 
 def span_text(spans):

@@ -277,6 +277,7 @@ def _frequent(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray,
         for batch, new in _unseen(batches):
             sets = [shingles_of(t.as_py(), shingle) for t, n in zip(batch.column("text"), new, strict=True) if n]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["token"])
+        give_back()
 
     sample = source.filter(F.pmod("key", F.lit(SAMPLED)) == 0).select("text", "key").mapInArrow(tokens, "token long")
     counts = sample.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").orderBy(F.desc("times"), "token").limit(FREQUENT)
@@ -376,6 +377,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for batch, new in _unseen(batches):
                 own = batch.filter(pa.array(new, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([own.column("node"), pa.array([packed(shingles_of(t.as_py(), shingle)) for t in own.column("text")], pa.binary())], names=["node", "s"])
+            give_back()
 
         # copies of a text are one set
         found = texts.mapInArrow(sets, "node long, s binary").repartition("node").groupBy("node").agg(F.first("s").alias("s"))

@@ -750,3 +750,14 @@ def test_packing_looks_for_no_cuts(monkeypatch):
     monkeypatch.setattr(whole, "fragments", None)
     whole.chunks.clear()
     assert [whole.encode(t) for t in texts[:-1]] == want[:-1]
+
+
+def test_redaction_leaves_plain_texts_in_the_jvm(spark):
+    from quarrylight.llm.pii import redact
+
+    plan = redact(spark.createDataFrame([(1, "a")], "doc_id int, text string"))
+    assert "RLIKE" in plan._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[-1]
+    data = [(1, "mail a.b@example.com now"), (2, "plain words"), (3, None), (4, ""), *((i, f"call +49 30 1234567{i % 10}") for i in range(5, 700))]
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(data, "doc_id int, text string").coalesce(1)).collect()}
+    assert len(got) == len(data) and got[1] == "mail [EMAIL] now" and [got[k] for k in (2, 3, 4)] == ["plain words", None, ""]
+    assert all("[PHONE]" in got[i] for i in range(5, 700))

@@ -69,22 +69,31 @@ def term_hits(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """-> id, term, ``hits``: how often each term of a table (``term``: words, of which
     punctuation and case don't matter) stands in each row's text, as whole words.
 
-    Texts become the word sequences of the lengths that terms have; these meet the table
-    by equality, so a table of any size is one pass over the texts.  Terms without a word
+    Texts become a word sequence a place, of the longest term's length; as many of its
+    first words as the shortest term has meet those of terms by equality, whatever lengths
+    terms have, so a table of any size is one pass over the texts.  Terms without a word
     are in no text; a term of more than :data:`TERM_WORDS` words is an error."""
     known = terms.select(F.col("term").alias("term"), F.array_join(tokens(normalize_text(F.col("term"))), " ").alias("_words")).filter("_words <> ''").distinct()
     sizes = sorted(r[0] for r in known.select(F.size(F.split("_words", " "))).distinct().limit(TERM_WORDS + 2).collect())
     if sizes and sizes[-1] > TERM_WORDS:
         raise ValueError(f"a term has {sizes[-1]} words")
-    words = rows.select("id", tokens(normalize_text(F.col(text))).alias("w"))
-
-    def runs(size: int) -> Column:
-        last = F.size("w") - size
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, size), " "))).otherwise(F.array().cast("array<string>"))
-
-    spoken = words.select("id", F.explode(F.flatten(F.array(*map(runs, sizes or [1])))).alias("_words"))
-    table = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
-    return spoken.join(table, "_words").groupBy("id", "term").agg(F.count("*").alias("hits"))
+    least, most = (sizes[0], sizes[-1]) if sizes else (1, 1)
+    words = rows.select("id", tokens(normalize_text(F.col(text))).alias("w")).filter(F.size("w") >= least)
+    # a run of words from each place on, as long as the longest term; its first words meet those of terms
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - least + 1), lambda i: F.array_join(F.slice("w", i, most), " "))
+    spoken = words.select("id", F.explode(runs).alias("_run")).select("id", "_run", _head(F.col("_run"), least).alias("_head"))
+    size = F.size(F.split("_words", " "))
+    heads = known.groupBy(_head(F.col("_words"), least).alias("_head")).agg(F.collect_set(size).alias("_sizes"))
+    heads, table = (F.broadcast(heads), F.broadcast(known)) if known.count() <= BROADCAST_TERMS else (heads, known)
+    # a row a length that terms of that head have, however many terms those are
+    met = spoken.join(heads, "_head").select("id", "_run", F.explode("_sizes").alias("_size")).filter(F.size(F.split("_run", " ")) >= F.col("_size"))
+    met = met.select("id", F.call_function("substring_index", F.col("_run"), F.lit(" "), F.col("_size")).alias("_words"))
+    return met.join(table, "_words").groupBy("id", "term").agg(F.count("*").alias("hits"))
+
+
+def _head(words: Column, size: int) -> Column:
+    """The first words of a text of single blanks."""
+    return F.substring_index(words, " ", size)
 
 
 def organizer_terms(organizers: DataFrame) -> DataFrame:

@@ -86,3 +86,13 @@ def test_vocabulary_of_organizers(spark):
     df = spark.createDataFrame([("come to Join Manila Hackathon",)], "t string")
     named = df.select(competition_name(F.col("t"), known)["name"].alias("a"), competition_name(F.col("t"))["name"].alias("b")).first()
     assert named.a == "Join Manila Hackathon" and named.b == "Manila Hackathon"
+
+
+def test_terms_of_several_lengths_meet_texts_once(spark):
+    """A place of a text is one row, whatever lengths terms have; ends of texts and terms
+    that open alike count once each."""
+    df = spark.createDataFrame([(1, "a b c d a b"), (2, "a b"), (3, "a"), (4, None), (5, "b c d e f")], "id int, t string")
+    table = spark.createDataFrame([("a b",), ("a b c",), ("a b c d a b c",), ("b c d",), ("b c d e f",), ("d a b",)], "term string")
+    found = lookups.term_hits(df, "t", table)
+    assert rows(found, "id", "term", "hits") == [(1, "a b", 2), (1, "a b c", 1), (1, "b c d", 1), (1, "d a b", 1), (2, "a b", 1), (5, "b c d", 1), (5, "b c d e f", 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("flatten") == 0
